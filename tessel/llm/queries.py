@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessel.llm import mixing
+from tessel.llm import mixing, secrets
 
 QUERIES = {
+    "op2_secret_scan": secrets.secret_scan,
     "op8_source_mix": mixing.mixing,
 }
 SQL = {
+    "op2_secret_scan": secrets.SQL,
     "op8_source_mix": mixing.SQL,
 }
