@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessel.llm import mixing, secrets
+from tessel.llm import media, mixing, near_dedup, rules, secrets
 
 QUERIES = {
+    "op1_quality_rules": rules.quality_rules,
     "op2_secret_scan": secrets.secret_scan,
+    "op3_media_columns": media.media_columns,
     "op8_source_mix": mixing.mixing,
+    "op10_minhash_near_dedup": near_dedup.minhash_near_dedup,
 }
 SQL = {
     "op2_secret_scan": secrets.SQL,
