@@ -4,7 +4,7 @@ Rules look at a document and vote good (1) or bad (0) or abstain (-1). Their acc
 counts of all patterns of votes over all documents go to expectation maximisation of a two-class model in which rules
 err independently given the class. A document's quality is its pattern's posterior probability of being good, which
 takes the place of asking that all rules pass. What reaches the driver is a count for each pattern that occurs, at most
-3^8 whatever the number of documents; the posteriors go back as a broadcast table of that size.
+3^10 whatever the number of documents; the posteriors go back as a broadcast table of that size.
 
 Cases: a null or empty text has no words, so all counts are 0, ``base_failed`` holds and no rule votes but the one on
 length; repeated rows count once each and get equal results; an empty table gives an empty result; columns besides
@@ -13,6 +13,7 @@ doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,14 @@ from tessel.llm.words import batches, word_hashes
 from tessel.session import settle, table
 
 SYMBOLS = b"#*$%&|<>"
+_RUNS = re.compile(rb"[#*$%&|<>]+")
+_CAPITALS = bytes(range(65, 91))
+#: ASCII characters that aren't letters; all others count as letters.
+_OTHER = bytes(x for x in range(128) if not chr(x).isalpha())
 WINDOW = 5
 #: Posterior from which a document is kept.
 KEEP_FROM = 0.5
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_distinct long, n_lines long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_distinct long, n_lines long, n_symbol_runs long, n_letters long, n_stutters long"
 
 
 def repeat_words(hashes: np.ndarray, n: int = WINDOW) -> int:
@@ -56,7 +61,7 @@ def repeat_words(hashes: np.ndarray, n: int = WINDOW) -> int:
 def measure(text: str | None) -> tuple[int, ...]:
     """MEASURES of a text."""
     if not text:
-        return (0,) * 8
+        return (0,) * 11
     raw = text.encode()
     words = raw.split()
     glued = b"".join(words)
@@ -71,15 +76,11 @@ def measure(text: str | None) -> tuple[int, ...]:
     hashes = word_hashes(words)
     return (
         len(words), len(glued.decode()), len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeat_words(hashes),
-        _uppers(glued), len(np.unique(hashes)), lines,
+        len(glued) - len(glued.translate(None, _CAPITALS)), len(np.unique(hashes)), lines, len(_RUNS.findall(raw)),
+        len(glued.translate(None, _OTHER).decode()), int((hashes[1:] == hashes[:-1]).sum()),
     )
 
 
-def _uppers(raw: bytes) -> int:
-    """ASCII capitals."""
-    return len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-
-
 def measure_batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in MEASURES.split(", ")]
     for batch, texts in batches(rows):
@@ -109,7 +110,9 @@ def rules() -> dict[str, Column]:
             "capitals": _vote(_per("n_upper", "word_chars"), 0.15, 0.4),
             "word_length": F.when(_per("word_chars", "n_words").between(2.5, 9), 1).when(_per("word_chars", "n_words").between(2, 14), -1).otherwise(0),
             "variety": F.when(F.col("n_words") < 30, -1).otherwise(_vote(-_per("n_distinct", "n_words"), -0.3, -0.15)),
-            "line_words": F.when(_per("n_words", "n_lines") >= 5, 1).when(_per("n_words", "n_lines") >= 2, -1).otherwise(0),
+            "symbol_words": _vote(_per("n_symbol_runs", "n_words"), 0.02, 0.1),
+            "letters": _vote(-_per("n_letters", "word_chars"), -0.9, -0.7),
+            "stutters": _vote(_per("n_stutters", "n_words"), 0.1, 0.3),
         }.items()
     }
 
@@ -117,18 +120,18 @@ def rules() -> dict[str, Column]:
 def fit_accuracies(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over patterns of votes: the share of good, and for each rule P(vote good | good, voted), P(vote bad | bad, voted).
 
-    Starts from rules that are right in 80 % of their votes and a majority of good documents; a weak Beta prior about
-    that start keeps rules that hardly vote where they are.
+    Starts from mostly good documents, few of which get a bad vote, and rules that catch half of the bad ones; a weak
+    Beta prior about that start keeps rules that hardly vote where they are.
     """
     good, bad, n = (votes == 1).astype(float), (votes == 0).astype(float), counts.astype(float)
-    share, right_g, right_b = 0.8, np.full(votes.shape[1], 0.8), np.full(votes.shape[1], 0.8)
+    share, right_g, right_b = 0.8, np.full(votes.shape[1], 0.95), np.full(votes.shape[1], 0.5)
     for _ in range(rounds):
         p = posterior(votes, share, right_g, right_b)
         wg, wb = n * p, n * (1 - p)
         old = share
         share = (wg.sum() + 8) / (n.sum() + 10)
-        right_g = np.clip((wg @ good + 8) / (wg @ (good + bad) + 10), 0.5, 0.999)
-        right_b = np.clip((wb @ bad + 8) / (wb @ (good + bad) + 10), 0.05, 0.999)
+        right_g = np.clip((wg @ good + 9.5) / (wg @ (good + bad) + 10), 0.5, 0.999)
+        right_b = np.clip((wb @ bad + 5) / (wb @ (good + bad) + 10), 0.05, 0.999)
         if abs(share - old) < 1e-10:
             break
     return share, right_g, right_b
