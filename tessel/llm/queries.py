@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessel.llm import media, mixing, near_dedup, rules, secrets
+from tessel.llm import classifier, media, mixing, near_dedup, rules, secrets
 
 QUERIES = {
     "op1_quality_rules": rules.quality_rules,
     "op2_secret_scan": secrets.secret_scan,
     "op3_media_columns": media.media_columns,
+    "op6_quality_classifier": classifier.quality_classifier,
     "op8_source_mix": mixing.mixing,
     "op10_minhash_near_dedup": near_dedup.minhash_near_dedup,
 }
