@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessel.llm import classifier, media, mixing, near_dedup, rules, secrets
+from tessel.llm import classifier, media, mixing, near_dedup, rules, secrets, toxicity
 
 QUERIES = {
     "op1_quality_rules": rules.quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media_columns": media.media_columns,
     "op6_quality_classifier": classifier.quality_classifier,
     "op8_source_mix": mixing.mixing,
+    "op9_toxicity": toxicity.toxicity,
     "op10_minhash_near_dedup": near_dedup.minhash_near_dedup,
 }
 SQL = {
