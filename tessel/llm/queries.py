@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessel.llm import classifier, media, mixing, near_dedup, rules, secrets, toxicity
+from tessel.llm import classifier, extraction, lines, media, mixing, near_dedup, rules, secrets, toxicity
 
 QUERIES = {
     "op1_quality_rules": rules.quality_rules,
     "op2_secret_scan": secrets.secret_scan,
     "op3_media_columns": media.media_columns,
+    "op4_line_dedup": lines.line_dedup,
     "op6_quality_classifier": classifier.quality_classifier,
+    "op7_html_extraction": extraction.html_extraction,
     "op8_source_mix": mixing.mixing,
     "op9_toxicity": toxicity.toxicity,
     "op10_minhash_near_dedup": near_dedup.minhash_near_dedup,
