@@ -8,10 +8,13 @@ in a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures of ``BANDS * ROWS`` coordinates are cut into bands and joined on equal bands; a pair at similarity 0.8 has
 no band in common in 3 of 100,000 cases. Candidates are verified with their exact similarity, in two rounds, so that a
-bucket of m documents doesn't give m^2 pairs: first all against one leader a bucket, another one in each band; then,
-where a bucket still spans several components, the pairs between those components. All pairs within a bucket are
-then either verified or in one class already: no link is lost. Classes are the connected components of links, found by
-alternating large-star and small-star steps.
+bucket of m documents doesn't give m^2 rows: first all against one leader a bucket, another one in each band; then,
+where a bucket still spans several components, between those components. Before that second round documents are left
+out that can't have a link there, as too many of their windows occur in no other document concerned; the others are
+packed in blocks of some ``BLOCK`` documents, pairs of blocks go to tasks, and a pair of documents is looked at in its
+first common band, if their components differ. All pairs within a bucket are then verified, ruled out by an exact
+bound, or in one class already: no link is lost. Classes are the connected components of links, found by alternating
+large-star and small-star steps.
 
 Work is done on distinct texts (by MD5), copies are only given their text's class. The class id is the least doc_id.
 
@@ -34,6 +37,7 @@ from tessel.session import settle, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
+BLOCK = 64
 _STEP, _UNIT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -70,7 +74,7 @@ def _darts(cells: np.ndarray, share: np.ndarray, bound: float) -> tuple[np.ndarr
         shares = []
     while len(cells):
         n += 1
-        h = mix64(cells + _STEP * np.uint64(n))
+        h = mix64(cells + np.array([n], np.uint64) * _STEP)
         rank = rank - np.log(_uniform(h))
         on = rank < bound
         cells, share, rank, h = cells[on], share[on], rank[on], h[on]
@@ -145,6 +149,66 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
 
 
+def _windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in batches(rows):
+        sets = [weighted_set(t) for t in texts]
+        keys = pa.array([k.view(np.int64) for k, _ in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array([int(w.sum()) for _, w in sets], pa.int64()), keys, pa.array([w for _, w in sets], pa.list_(pa.int64()))], ["node", "n", "keys", "weights"]
+        )
+
+
+def _test_blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of a bucket, but for those that join labels which are joined already."""
+    for batch in rows:
+        out = []
+        for band, same, left, right in zip(*(batch.column(c).to_pylist() for c in ("band", "same", "left", "right")), strict=True):
+            bands = np.array([x["bands"] for x in right])
+            joined = set()
+            for i, a in enumerate(left):
+                first = (bands == np.array(a["bands"])).argmax(1)
+                for j in range(i + 1 if same else 0, len(right)):
+                    b = right[j]
+                    labels = (a["label"], b["label"])
+                    if first[j] != band or labels[0] == labels[1] or labels in joined or min(a["s"], b["s"]) * (1 + SIMILARITY) < SIMILARITY * (a["n"] + b["n"]) - 1e-6:
+                        continue
+                    for x in (a, b):
+                        if "set" not in x:
+                            x["set"] = (np.array(x["keys"]).view(np.uint64), np.array(x["weights"]))
+                    if similarity(a["set"], b["set"]) >= SIMILARITY:
+                        joined |= {labels, labels[::-1]}
+                        out.append((a["node"], b["node"]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+
+def _cross_links(open_rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between components of ``open_rows(band, key, node, label)``, by blocks of documents."""
+    windows = settle(texts.join(open_rows.select("node").distinct(), "node", "left_semi").mapInArrow(_windows, "node binary, n long, keys array<bigint>, weights array<bigint>"), "windows")
+    each = windows.select("node", F.explode(F.arrays_zip("keys", "weights")).alias("w")).select("node", "w.*")
+    alone = each.groupBy("keys").agg(F.count("*").alias("df"), F.min("node").alias("node"), F.sum("weights").alias("w")).filter("df = 1").groupBy("node").agg(F.sum("w").alias("alone"))
+    sizes = settle(windows.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")), "shared")
+
+    # similarity t needs an overlap of t / (1 + t) of both sizes, which s bounds; no partner is smaller than t times n or the bucket's least
+    rows = settle(open_rows.join(sizes, "node"), "open-sizes")
+    least = rows.groupBy("band", "key").agg(F.min("n").alias("least"))
+    smallest = F.greatest(F.col("least"), SIMILARITY * F.col("n"))
+    rows = rows.join(least, ["band", "key"]).filter(F.col("s") * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + smallest) - 1e-6).drop("least")
+    rows = settle(rows, "open-able")
+    counts = rows.groupBy("band", "key", "label").agg(F.count("*").alias("of_label"))
+    large = F.col("of_label") >= BLOCK // 2  # components that fill blocks of their own
+    counts = counts.withColumn("own", F.when(large, F.col("label")))
+    group = counts.groupBy("band", "key", "own").agg(F.sum("of_label").alias("size"))
+    open_ = counts.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "key")
+    plan = counts.join(open_, ["band", "key"]).join(group.withColumnRenamed("own", "o").withColumnRenamed("band", "band2").withColumnRenamed("key", "key2"), (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & F.equal_null("own", "o"))
+    plan = plan.select("band", "key", "label", "own", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    placed = rows.join(plan, ["band", "key", "label"]).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")))
+    item = F.struct("node", "label", "n", "s", "bands", "keys", "weights")
+    blocks = settle(placed.join(nodes, "node").join(windows.drop("n"), "node").groupBy("band", "key", "own", "block").agg(F.collect_list(item).alias("items")), "blocks")
+    one, two = (blocks.select("band", "key", F.struct(F.coalesce("own", F.unhex(F.lit(""))).alias("own"), "block").alias(f"at_{x}"), F.col("own").alias(f"own_{x}"), F.col("items").alias(x)) for x in ("left", "right"))
+    pairs = one.join(two, ["band", "key"]).filter((F.col("at_left") <= F.col("at_right")) & ((F.col("own_left") != F.col("own_right")) | F.col("own_left").isNull() | F.col("own_right").isNull()))
+    return pairs.select("band", (F.col("at_left") == F.col("at_right")).alias("same"), "left", "right").mapInArrow(_test_blocks, "a binary, b binary").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes in ``edges(a, b)``: the least node of the connected component."""
     edges = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -187,9 +251,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     labelled = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
     open_ = labelled.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("band", "key")
     rest = settle(labelled.join(open_, ["band", "key"]), "open-buckets")
-    one, two = (rest.select("band", "key", F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    cross = one.join(two, ["band", "key"]).filter("la < lb").select("a", "b").distinct()
-    more = settle(_links(cross.join(pairs, ["a", "b"], "left_anti"), texts), "more-links")
+    more = settle(_cross_links(rest, texts, firsts), "more-links")
     if not more.isEmpty():
         labels = settle(components(links.unionByName(more)), "labels")
 
