@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessel.llm import classifier, extraction, lines, media, mixing, near_dedup, rules, secrets, toxicity
+from tessel.llm import classifier, extraction, lines, media, mixing, near_dedup, pieces, rules, secrets, toxicity
 
 QUERIES = {
     "op1_quality_rules": rules.quality_rules,
     "op2_secret_scan": secrets.secret_scan,
     "op3_media_columns": media.media_columns,
     "op4_line_dedup": lines.line_dedup,
+    "op5_sentencepiece_codec": pieces.sentencepiece_codec,
     "op6_quality_classifier": classifier.quality_classifier,
     "op7_html_extraction": extraction.html_extraction,
     "op8_source_mix": mixing.mixing,
