@@ -11,8 +11,8 @@ no band in common in 3 of 100,000 cases. Candidates are verified with their exac
 bucket of m documents doesn't give m^2 rows: first all against one leader a bucket, another one in each band; then,
 where a bucket still spans several components, between those components. Before that second round documents are left
 out that can't have a link there, as too many of their windows occur in no other document concerned; the others are
-packed in blocks of some ``BLOCK`` documents, pairs of blocks go to tasks, and a pair of documents is looked at in its
-first common band, if their components differ. All pairs within a bucket are then verified, ruled out by an exact
+dealt into slabs of some ``SLAB`` documents of a bucket, each two slabs are a group for a task, and a pair of documents
+is looked at in its first common band, if their components differ. All pairs within a bucket are then verified, ruled out by an exact
 bound, or in one class already: no link is lost. Classes are the connected components of links, found by alternating
 large-star and small-star steps.
 
@@ -37,7 +37,7 @@ from tessel.session import settle, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
-BLOCK = 64
+SLAB = 512
 _STEP, _UNIT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -47,10 +47,13 @@ def weighted_set(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard: sum of least over sum of greatest weights."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return float(both / (a[1].sum() + b[1].sum() - both)) if len(a[0]) and len(b[0]) else 0.0
+    """Weighted Jaccard of sets in order: sum of least over sum of greatest weights."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    hit = b[0][at] == a[0]
+    both = np.minimum(a[1][hit], b[1][at[hit]]).sum()
+    return float(both / (a[1].sum() + b[1].sum() - both))
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -158,27 +161,49 @@ def _windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _test_blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between two blocks of a bucket, but for those that join labels which are joined already."""
-    for batch in rows:
-        out = []
-        for band, same, left, right in zip(*(batch.column(c).to_pylist() for c in ("band", "same", "left", "right")), strict=True):
-            bands = np.array([x["bands"] for x in right])
-            joined = set()
-            for i, a in enumerate(left):
-                first = (bands == np.array(a["bands"])).argmax(1)
-                for j in range(i + 1 if same else 0, len(right)):
-                    b = right[j]
-                    labels = (a["label"], b["label"])
-                    if first[j] != band or labels[0] == labels[1] or labels in joined or min(a["s"], b["s"]) * (1 + SIMILARITY) < SIMILARITY * (a["n"] + b["n"]) - 1e-6:
-                        continue
-                    for x in (a, b):
-                        if "set" not in x:
-                            x["set"] = (np.array(x["keys"]).view(np.uint64), np.array(x["weights"]))
-                    if similarity(a["set"], b["set"]) >= SIMILARITY:
-                        joined |= {labels, labels[::-1]}
-                        out.append((a["node"], b["node"]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+def _lists(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """A column of lists of numbers as views."""
+    x = column.combine_chunks()
+    if isinstance(x, pa.ChunkedArray):
+        x = x.chunk(0)
+    values, at = x.values.to_numpy(zero_copy_only=False).view(kind), x.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(at, at[1:])]
+
+
+def _test_slabs(key: tuple, group: pa.Table) -> pa.Table:
+    """Links between components within a group (band, key, i, j): between its two slabs, or in its one slab."""
+    band, one = key[0].as_py(), key[2].as_py() == key[3].as_py()
+    nodes, names = group["node"].to_pylist(), group["label"].to_pylist()
+    code = {x: i for i, x in enumerate(dict.fromkeys(names))}
+    labels = np.array([code[x] for x in names])
+    n, s, slab = (group[c].to_numpy() for c in ("n", "s", "slab"))
+    bands = np.stack(_lists(group["bands"], np.int64))
+    keys, weights = _lists(group["keys"], np.uint64), _lists(group["weights"], np.int64)
+    up = list(range(len(code)))  # labels joined so far
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for i in range(len(nodes)):
+        rest = slice(i + 1, None)
+        able = (labels[rest] != labels[i]) & (np.minimum(s[rest], s[i]) * (1 + SIMILARITY) >= SIMILARITY * (n[rest] + n[i]) - 1e-6)
+        if not one:
+            able &= slab[rest] != slab[i]
+        at = np.flatnonzero(able)
+        if not len(at):
+            continue
+        at += i + 1
+        at = at[(bands[at] == bands[i]).argmax(1) == band]
+        for j in at.tolist():
+            x, y = root(labels[i]), root(labels[j])
+            if x != y and similarity((keys[i], weights[i]), (keys[j], weights[j])) >= SIMILARITY:
+                up[x] = y
+                out.append((nodes[i], nodes[j]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
 
 def _cross_links(open_rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,19 +219,12 @@ def _cross_links(open_rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> Da
     smallest = F.greatest(F.col("least"), SIMILARITY * F.col("n"))
     rows = rows.join(least, ["band", "key"]).filter(F.col("s") * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + smallest) - 1e-6).drop("least")
     rows = settle(rows, "open-able")
-    counts = rows.groupBy("band", "key", "label").agg(F.count("*").alias("of_label"))
-    large = F.col("of_label") >= BLOCK // 2  # components that fill blocks of their own
-    counts = counts.withColumn("own", F.when(large, F.col("label")))
-    group = counts.groupBy("band", "key", "own").agg(F.sum("of_label").alias("size"))
-    open_ = counts.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "key")
-    plan = counts.join(open_, ["band", "key"]).join(group.withColumnRenamed("own", "o").withColumnRenamed("band", "band2").withColumnRenamed("key", "key2"), (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & F.equal_null("own", "o"))
-    plan = plan.select("band", "key", "label", "own", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    placed = rows.join(plan, ["band", "key", "label"]).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")))
-    item = F.struct("node", "label", "n", "s", "bands", "keys", "weights")
-    blocks = settle(placed.join(nodes, "node").join(windows.drop("n"), "node").groupBy("band", "key", "own", "block").agg(F.collect_list(item).alias("items")), "blocks")
-    one, two = (blocks.select("band", "key", F.struct(F.coalesce("own", F.unhex(F.lit(""))).alias("own"), "block").alias(f"at_{x}"), F.col("own").alias(f"own_{x}"), F.col("items").alias(x)) for x in ("left", "right"))
-    pairs = one.join(two, ["band", "key"]).filter((F.col("at_left") <= F.col("at_right")) & ((F.col("own_left") != F.col("own_right")) | F.col("own_left").isNull() | F.col("own_right").isNull()))
-    return pairs.select("band", (F.col("at_left") == F.col("at_right")).alias("same"), "left", "right").mapInArrow(_test_blocks, "a binary, b binary").distinct()
+    able = rows.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / SLAB).alias("slabs")).filter("x <> y").drop("x", "y")
+    dealt = rows.join(able, ["band", "key"]).withColumn("slab", F.pmod(F.xxhash64("node", "band"), F.col("slabs")))
+    dealt = dealt.join(nodes, "node").join(windows.drop("n"), "node").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slabs") - 1)))
+    dealt = dealt.withColumn("i", F.least("slab", "with")).withColumn("j", F.greatest("slab", "with"))
+    columns = ["band", "key", "i", "j", "node", "label", "n", "s", "slab", "bands", "keys", "weights"]
+    return dealt.select(*columns).groupBy("band", "key", "i", "j").applyInArrow(_test_slabs, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,16 +233,18 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = settle(large, "large-star")  # all u > v
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = settle(small.filter("u <> v").distinct(), "small-star")
-        # at the end each node has one edge, to its component's least: then nothing changes any more
-        stars = new.groupBy("u").count().filter("count > 1").isEmpty() and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
-        edges = new
-        if stars:
+        # large star: greater neighbours to the least one; as u > v holds, these are the edges' ends v with their u
+        large = edges.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
+        large = settle(large.distinct(), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        # small star: lesser neighbours, and the node itself, to the least one
+        small = large.join(least, "u").select("u", "v", "m", "n")
+        small = small.select("n", F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("n", "e.*")
+        edges = settle(small.filter("u <> v").groupBy("u", "v").agg(F.max("n").alias("n")), "small-star")
+        # done when no node had two lesser neighbours and no least node has a lesser one
+        if edges.filter("n > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
+        edges = edges.select("u", "v")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
