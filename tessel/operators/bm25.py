@@ -18,8 +18,8 @@ EMPTY = "__empty__"
 
 
 def tokens_or_empty(text: Column) -> Column:
-    t = tokenize(F.coalesce(text, F.lit("")))
-    return F.when(F.size(t) == 0, F.array(F.lit(EMPTY))).otherwise(t)
+    # as a lambda's argument the tokens are computed once
+    return F.transform(F.array(tokenize(F.coalesce(text, F.lit("")))), lambda t: F.when(F.size(t) == 0, F.array(F.lit(EMPTY))).otherwise(t))[0]
 
 
 def term_stats(corpus: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from tessel.plans import retrieval
+from tessel.plans import catalog, retrieval
 from tessel.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "retrieval"]
+__all__ = ["QUERIES", "SQL", "catalog", "retrieval"]

@@ -9,7 +9,7 @@ from tessel.functions import text as T
 from tessel.functions.vector import l2_normalize, norm
 from tessel.operators import bm25, fusion, vectors
 from tessel.plans.registry import literal_rows, query
-from tessel.session import table
+from tessel.session import settle, table
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 
@@ -38,7 +38,8 @@ PAIRED = "a.vec_id IN (SELECT item_id FROM benchmark)"
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.corpus_of(table(spark, sf_dir, "documents"))
+    """The index's token lists, written once: statistics, lengths and postings all read them."""
+    return settle(bm25.corpus_of(table(spark, sf_dir, "documents")), "tokens")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
