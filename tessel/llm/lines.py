@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.words import batches, mix64, word_hashes
+from tessel.llm.words import batches, mix64, slices, word_hashes
 from tessel.session import settle, table
 
 LEAST, NEAR = 3, 10
@@ -80,7 +80,7 @@ def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each candidate line: (a, b, place) with place -1 for whole lines and for variants as whole lines."""
-    for batch in rows:
+    for batch in slices(rows):
         line, kind, place, keys = [], [], [], []
         for i, (text, hit) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hit").to_pylist(), strict=True)):
             words = text.encode().split()
@@ -122,7 +122,7 @@ def edit_distance_1(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
+    for batch in slices(rows):
         pairs = zip(batch.column("text").to_pylist(), batch.column("partner_text").to_pylist(), strict=True)
         yield batch.select(["line"]).filter(pa.array([edit_distance_1(a.encode().split(), b.encode().split()) for a, b in pairs], pa.bool_()))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.html import attributes, tokens
-from tessel.llm.words import batches
+from tessel.llm.words import batches, slices
 from tessel.session import settle, table
 
 WIDTH = 64
@@ -157,7 +157,7 @@ def read_media(media: DataFrame) -> DataFrame:
     """Stored media read back and measured, a row per digest; the rows are made before they are shuffled."""
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows):
             out = []
             for digest, stored in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 p = decode_samples(stored)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.words import batches, mix64, shingle_hashes, word_hashes, words_of
+from tessel.llm.words import batches, mix64, shingle_hashes, slices, word_hashes, words_of
 from tessel.session import settle, table
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -133,7 +133,7 @@ def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
+    for batch in slices(rows):
         kept: dict[str, tuple] = {}
         close = []
         for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):

@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.words import batches
+from tessel.llm.words import batches, slices
 from tessel.session import settle, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -262,13 +262,13 @@ def encode_giants(giants: DataFrame, path: str = MODEL, size: int = CHUNK, fan:
 
     def transfers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        for batch in rows:
+        for batch in slices(rows, 32):
             found = [pieces.transfer(*x).tolist() for x in zip(*(batch.column(c).to_pylist() for c in ("s", "lo", "hi", "stop")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "t", "no")] + [pa.array(found, pa.list_(pa.list_(pa.float64())))], ["doc_id", "t", "no", "m"])
 
     def traces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        for batch in rows:
+        for batch in slices(rows, 32):
             found = [pieces.trace(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("s", "lo", "hi", "stop", "entry", "leave")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "t", "copies", "no")] + [pa.array(found, pa.list_(pa.int32()))], ["doc_id", "t", "copies", "no", "ids"])
 
@@ -305,7 +305,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
     def decode_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in rows:
+        for batch in slices(rows):
             texts = [None if x is None else model.decode(x) for x in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
 
@@ -319,7 +319,7 @@ def encode_checked(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     def check(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in rows:
+        for batch in slices(rows):
             same = [None if x is None else hashlib.md5(model.decode(x).encode()).digest() == t for x, t in zip(batch.column("token_ids").to_pylist(), batch.column("t").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("token_ids"), pa.array(same, pa.bool_())], ["doc_id", "token_ids", "round_trip"])
 

@@ -41,6 +41,13 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def batches(rows: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def slices(rows: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that a task's Python objects stay few whatever Spark's batch size."""
     for batch in rows:
+        for i in range(0, batch.num_rows, size):
+            yield batch.slice(i, size)
+
+
+def batches(rows: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    for batch in slices(rows):
         yield batch, batch.column(column).to_pylist()
