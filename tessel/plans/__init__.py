@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from tessel.plans import catalog, evaluation, retrieval, state
+from tessel.plans import catalog, evaluation, pipelines, retrieval, state, values
 from tessel.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalog", "evaluation", "retrieval", "state"]
+__all__ = ["QUERIES", "SQL", "catalog", "evaluation", "pipelines", "retrieval", "state", "values"]
