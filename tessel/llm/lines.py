@@ -182,7 +182,9 @@ def dedup_lines(docs: DataFrame, emptied: str = "keep") -> DataFrame:
     """
     found = settle(repeated_lines(docs), "repeated-lines").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "places")
     joined = docs.join(found, F.equal_null(docs["doc_id"], F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__t")), "left")
-    left = F.expr("CASE WHEN places IS NULL THEN text ELSE array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(places, i)), '\\n') END")
+    # array_except hashes its places, so a document of many lines takes time in proportion to them
+    joined = joined.withColumn("__lines", F.when(F.col("places").isNotNull(), F.split("text", "\n", -1)))
+    left = F.expr("CASE WHEN places IS NULL THEN text ELSE array_join(transform(array_except(sequence(0, size(__lines) - 1), places), i -> __lines[i]), '\\n') END")
     out = joined.withColumn("text", left)
     if emptied == "drop":
         out = out.filter(F.col("places").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
