@@ -41,6 +41,11 @@ def terms_of(text: str | None) -> list[str]:
     return _TERM.findall(text.lower()) if text else []
 
 
+def kth(scores: np.ndarray, k: int) -> float:
+    """The k-th greatest score, 0 if there are fewer."""
+    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0.0
+
+
 class Index:
     """Postings of the examples' vectors in blocks, and what votes need."""
 
@@ -50,16 +55,17 @@ class Index:
         self.base = float(self.toxic.mean()) if n else 0.0
         df = Counter(t for c in counts for t in c)
         self.idf = {t: float(np.log((1 + n) / (1 + df[t])) + 1) for t in vocabulary}
-        self.terms = re.compile("|".join(map(re.escape, sorted(vocabulary, key=len, reverse=True))) or "(?!)")
         vectors = [self.vector(c) for c in counts]
         lists: dict[str, list] = {t: [] for t in vocabulary}
         for i, v in enumerate(vectors):
             for t, w in v.items():
                 lists[t].append((i, w))
-        self.blocks: dict[str, list[tuple[float, np.ndarray, np.ndarray]]] = {}
+        # by term: examples, weights, each block's greatest weight, and each posting's block
+        self.postings: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for t, found in lists.items():
-            at, w = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found])
-            self.blocks[t] = [(float(w[i : i + BLOCK].max()), at[i : i + BLOCK], w[i : i + BLOCK]) for i in range(0, len(at), BLOCK)]
+            at, w = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], float)
+            tops = np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) if len(w) else w
+            self.postings[t] = at, w, tops, np.arange(len(w)) // BLOCK
         none = np.array([not v for v in vectors], bool)
         self.without = float((self.toxic[none].sum() + self.base) / (none.sum() + 1)) if n else 0.0
 
@@ -74,19 +80,21 @@ class Index:
         Terms come by falling bound. Once the bounds of the terms to come can't lift a new example into the first k,
         only blocks that may still matter to examples seen so far are added, and these get their exact cosine.
         """
-        order = sorted(query, key=lambda t: -query[t] * max((b[0] for b in self.blocks[t]), default=0.0))
-        tops = [query[t] * max((b[0] for b in self.blocks[t]), default=0.0) for t in order]
-        scores: dict[int, float] = {}
+        best = {t: query[t] * float(self.postings[t][2].max(initial=0.0)) for t in query}
+        order = sorted(query, key=lambda t: -best[t])
+        scores = np.zeros(len(self.ids))
         for i, t in enumerate(order):
-            rest = sum(tops[i:])
-            bar = sorted(scores.values(), reverse=True)[k - 1] if len(scores) >= k else -1.0
-            for top, at, w in self.blocks[t]:
-                fresh = query[t] * top + rest - tops[i] > bar - 1e-12  # may hold an example that isn't seen yet
-                for x, y in zip(at.tolist(), w.tolist(), strict=True):
-                    if fresh or x in scores:
-                        scores[x] = scores.get(x, 0.0) + query[t] * y
-        best = sorted(scores.items(), key=lambda s: (-round(s[1], 12), s[0]))[:k]
-        return np.array([b[0] for b in best], np.int64), np.array([b[1] for b in best])
+            at, w, tops, block = self.postings[t]
+            later = sum(best[x] for x in order[i + 1 :])
+            if later <= scores.max(initial=0.0):  # else all blocks may hold an example that isn't seen yet
+                fresh = query[t] * tops + later > kth(scores, k) - 1e-12
+                if not fresh.all():
+                    use = fresh[block] | (scores[at] > 0)
+                    at, w = at[use], w[use]
+            scores[at] += query[t] * w
+        found = np.flatnonzero((scores > 0) & (scores >= kth(scores, k) - 1e-11))
+        found = found[np.lexsort((found, -np.round(scores[found], 12)))][:k]
+        return found, scores[found]
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
         query = self.vector(counts)
@@ -117,8 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     counted = settle(rows.mapInArrow(_term_counts, "doc_id long, toxic int, terms map<string,int>"), "examples")
     vocabulary = choose_terms(counted)
-    known = F.array(*map(F.lit, vocabulary)).cast("array<string>")
-    found = counted.withColumn("terms", F.map_filter("terms", lambda t, _: F.array_contains(known, t))).collect()
+    found = counted.withColumn("terms", F.map_filter("terms", lambda t, _: t.isin(vocabulary))).collect()  # a hashed set in the plan
     found = sorted(found, key=lambda r: r["doc_id"])
     return Index([r["doc_id"] for r in found], np.array([r["toxic"] for r in found]), [r["terms"] for r in found], vocabulary)
 
@@ -138,8 +145,7 @@ def score_toxicity(docs: DataFrame, index: Index) -> DataFrame:
         for batch, texts in batches(rows):
             out = []
             for t in texts:
-                low = t.lower() if t else ""
-                counts = Counter(w for w in _TERM.findall(low) if w in index.idf) if index.terms.search(low) else {}
+                counts = Counter(filter(index.idf.__contains__, terms_of(t)))
                 key = tuple(sorted(counts.items()))
                 if key not in held:
                     if len(held) >= 20000:
