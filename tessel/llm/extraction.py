@@ -9,8 +9,10 @@ composite text density is
 
 with zeros in denominators as 1, so that link text lowers a block's characters per tag. Densities of a block's children
 are summed; the block of greatest sum is the core of the page. The least density on its path to the body is the
-threshold: the core grows to an ancestor as long as what that adds beside it is as dense, is a heading, or belongs to
-the same article. All text of the subtree so selected is returned, block by block, in page order.
+threshold. Every block off that path is then judged by itself, from the body down: a block whose text is half or more
+in links and less dense than the threshold goes with all it holds, all else stays, however sparse. A single link with
+text beside it, or within the core, is no list and stays. The rest of the text is returned, block by block, in page order.
+Where an article on the path has half the characters or more, all of its text is returned and nothing else.
 
 Cases: a null or empty page has an empty text; a page without markup is its own text; unclosed, stray and misnested
 tags are closed as HTML closes them, by block; repeated rows get equal results; an empty table gives an empty result;
@@ -59,23 +61,27 @@ _CLOSES = {
 
 
 class Block:
-    __slots__ = ("tag", "up", "items", "text", "tags", "links", "link_chars", "chars", "density", "total", "article")
+    __slots__ = ("tag", "up", "items", "text", "tags", "links", "link_chars", "chars", "density", "total", "article", "anchors", "last")
 
     def __init__(self, tag: str, up: Block | None):
         self.tag, self.up, self.items, self.text = tag, up, [], None  # items: blocks and anonymous runs of text, in order
         self.tags = self.links = self.link_chars = self.chars = 0
+        self.anchors = self.last = 0  # links that have text, and the number of the last one
         self.density = self.total = 0.0
         self.article = tag in ("article", "main")
 
-    def add(self, text: str, linked: bool) -> None:
+    def add(self, text: str, link: int) -> None:
+        """Text of this block; ``link`` is the number of the link it is in, 0 if none."""
         if not self.items or self.items[-1].tag:
             run = Block("", self)
             run.text = []
             self.items.append(run)
         run = self.items[-1]
         run.text.append(text)
-        if linked:
+        if link:
             run.link_chars += len(text)
+            if link != run.last and not text.isspace():
+                run.anchors, run.last = run.anchors + 1, link
 
 
 def hidden(tag: str, rest: str, in_article: bool) -> bool:
@@ -96,11 +102,11 @@ def parse(page: str) -> Block:
     body = at = Block("body", None)
     open_: list[str] = []  # names of open elements, without html and body; blocks' are those of at's line
     skip = 0  # depth in open_ of what is taken out, 0 if nothing is
-    linked = 0
+    linked = link = 0  # open links; number of the last one
     for kind, name, rest in tokens(page):
         if kind == "text":
             if not skip:
-                at.add(rest, linked > 0)
+                at.add(rest, link if linked else 0)
             continue
         if name in ("html", "body"):
             continue
@@ -118,7 +124,7 @@ def parse(page: str) -> Block:
                     open_.append(name)
                 continue
             if name == "br":
-                at.add(" ", False)
+                at.add(" ", 0)
                 at.tags += 1
                 continue
             if name == "hr":
@@ -136,7 +142,7 @@ def parse(page: str) -> Block:
                 at.tags += 1
                 if name == "a":
                     at.links += 1
-                    linked += 1
+                    linked, link = linked + 1, link + 1
             else:
                 child = Block(name, at)
                 at.items.append(child)
@@ -181,6 +187,7 @@ def measure(body: Block) -> None:
             b.link_chars += c.link_chars
             b.tags += c.tags + (c.tag != "")
             b.links += c.links
+            b.anchors += c.anchors
     ratio = body.link_chars / max(1, body.chars)
     for b in order:
         if b.chars:
@@ -191,8 +198,15 @@ def measure(body: Block) -> None:
         b.total = sum(c.density for c in b.items)
 
 
-def core(body: Block) -> Block:
-    """The subtree that holds the main text."""
+def linked(b: Block, inside: bool) -> bool:
+    """Whether a block is of links mostly: several, or one with no text beside it unless that is within the core."""
+    if b.anchors == 1:
+        return not inside and b.link_chars == b.chars
+    return 2 * b.link_chars >= max(1, b.chars)
+
+
+def main_text(body: Block) -> list[str]:
+    """The texts of the blocks that are main text, in page order."""
     best, stack = body, [body]
     while stack:
         b = stack.pop()
@@ -204,15 +218,19 @@ def core(body: Block) -> Block:
         path.append(b)
         b = b.up
     least = min(b.density for b in path)
-    for b in reversed(path):  # the outermost article on the path is all main text
-        if b.article and 2 * b.chars >= body.chars:
-            return b
-    while best.up is not None:
-        beside = [c for c in best.up.items if c is not best and c.chars]
-        if not all(c.tag in HEADINGS or c.density >= least for c in beside):
-            break
-        best = best.up
-    return best
+    # the outermost article on the path is all main text
+    article = next((b for b in reversed(path) if b.article and 2 * b.chars >= body.chars), None)
+    on, texts = set(map(id, path)), []
+    stack = [(article or body, article is not None, False)]
+    while stack:
+        b, whole, inside = stack.pop()
+        inside = inside or b is best
+        if not whole and id(b) not in on and b.tag not in HEADINGS and b.density < least and linked(b, inside):
+            continue
+        if b.text:
+            texts.append(b.text)
+        stack += [(c, whole, inside) for c in b.items[::-1]]
+    return texts
 
 
 def extract(page: str | None) -> str:
@@ -221,13 +239,7 @@ def extract(page: str | None) -> str:
         return ""
     body = parse(page)
     measure(body)
-    texts, stack = [], [core(body)]
-    while stack:
-        b = stack.pop()
-        if b.text:
-            texts.append(b.text)
-        stack += b.items[::-1]
-    return " ".join(texts)
+    return " ".join(main_text(body))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -27,6 +27,27 @@ def test_link_lists_lose_against_text():
     assert extract(f"<body><div><ul>{links}</ul></div><div><p>{LONG}</p><p>{LONG}</p></div></body>") == " ".join((LONG * 2).split())
 
 
+def test_uneven_sections_stay():
+    a, b = (("".join(f"<p>{c}{i:02} {'word ' * 79}</p>" for i in range(n))) for c, n in (("A", 10), ("B", 2)))
+    b += "<p>See <a href=/r>the report</a> too.</p>"
+    text_a, text_b = (" ".join(f"{c}{i:02} {'word ' * 79}" for i in range(n)).split() for c, n in (("A", 10), ("B", 2)))
+    text_b += "See the report too.".split()
+    assert extract(f'<div id="content"><section>{a}</section><section>{b}</section></div>').split() == text_a + text_b
+    assert extract(f'<div id="content"><section>{b}</section><section>{a}</section></div>').split() == text_b + text_a
+
+
+def test_sparse_siblings_stay_and_link_lists_beside_them_go():
+    intro, links = LONG * 2, "".join(f"<li><a href=/{i}>A link with some words in it {i}</a></li>" for i in range(12))
+    text = "".join(f"<p>{LONG * 4}</p>" for _ in range(10))
+    page = f"<div><h1>Head</h1><p>By <a href=/w>A. Writer</a>, 3 May</p><p>{intro}</p><ul>{links}</ul><div>{text}</div><p>Short end.</p></div>"
+    assert extract(page).split() == f"Head By A. Writer, 3 May {intro} {LONG * 40} Short end.".split()
+
+
+def test_single_links_within_the_core_stay():
+    text = "".join(f"<p>{LONG * 4}</p>" for _ in range(5))
+    assert extract(f"<div>{text}<p><a href=/x>The whole report</a></p></div>").split() == f"{LONG * 20} The whole report".split()
+
+
 def test_articles_of_many_and_few_blocks():
     for n in (1, 2, 30):
         body = "".join(f"<p>{LONG}{i}</p>" for i in range(n))
