@@ -11,8 +11,8 @@ with zeros in denominators as 1, so that link text lowers a block's characters p
 are summed; the block of greatest sum is the core of the page. The least density on its path to the body is the
 threshold. Every block off that path is then judged by itself, from the body down: a block whose text is half or more
 in links and less dense than the threshold goes with all it holds, all else stays, however sparse. A single link with
-text beside it, or within the core, is no list and stays. The rest of the text is returned, block by block, in page order.
-Where an article on the path has half the characters or more, all of its text is returned and nothing else.
+text beside it, or within the core or an article on the path, is no list and stays; that is all that article and main
+weigh here. The rest of the text is returned, block by block, in page order.
 
 Cases: a null or empty page has an empty text; a page without markup is its own text; unclosed, stray and misnested
 tags are closed as HTML closes them, by block; repeated rows get equal results; an empty table gives an empty result;
@@ -199,7 +199,7 @@ def measure(body: Block) -> None:
 
 
 def linked(b: Block, inside: bool) -> bool:
-    """Whether a block is of links mostly: several, or one with no text beside it unless that is within the core."""
+    """Whether a block is of links mostly: several, or one with no text beside it unless that is within the core or an article."""
     if b.anchors == 1:
         return not inside and b.link_chars == b.chars
     return 2 * b.link_chars >= max(1, b.chars)
@@ -218,18 +218,16 @@ def main_text(body: Block) -> list[str]:
         path.append(b)
         b = b.up
     least = min(b.density for b in path)
-    # the outermost article on the path is all main text
-    article = next((b for b in reversed(path) if b.article and 2 * b.chars >= body.chars), None)
     on, texts = set(map(id, path)), []
-    stack = [(article or body, article is not None, False)]
+    stack = [(body, False)]
     while stack:
-        b, whole, inside = stack.pop()
-        inside = inside or b is best
-        if not whole and id(b) not in on and b.tag not in HEADINGS and b.density < least and linked(b, inside):
+        b, inside = stack.pop()
+        inside = inside or b is best or b.article and id(b) in on
+        if id(b) not in on and b.tag not in HEADINGS and b.density < least and linked(b, inside):
             continue
         if b.text:
             texts.append(b.text)
-        stack += [(c, whole, inside) for c in b.items[::-1]]
+        stack += [(c, inside) for c in b.items[::-1]]
     return texts
 
 

@@ -48,6 +48,19 @@ def test_single_links_within_the_core_stay():
     assert extract(f"<div>{text}<p><a href=/x>The whole report</a></p></div>").split() == f"{LONG * 20} The whole report".split()
 
 
+@pytest.mark.parametrize("tag", ["main", "article"])
+def test_link_lists_within_articles_go(tag):
+    links, text = "".join(f"<li><a href=/{i}>A link with some words in it {i}</a></li>" for i in range(12)), "".join(f"<p>{LONG * 4}</p>" for _ in range(10))
+    page = f"<{tag}><h1>Head</h1>{text}<p><a href=/x>The whole report</a></p><div><ul>{links}</ul></div><p>Short end.</p></{tag}>"
+    assert extract(page).split() == f"Head {LONG * 40} The whole report Short end.".split()
+
+
+def test_sibling_articles_stay():
+    a, b = ("".join(f"<p>{w} {LONG * 4}</p>" for _ in range(n)) for w, n in (("First", 10), ("Second", 3)))
+    want = f"First {LONG * 4}" * 10 + f"Second {LONG * 4}" * 3
+    assert extract(f"<div><article>{a}</article><article>{b}</article></div>").split() == want.split()
+
+
 def test_articles_of_many_and_few_blocks():
     for n in (1, 2, 30):
         body = "".join(f"<p>{LONG}{i}</p>" for i in range(n))
