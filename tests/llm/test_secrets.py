@@ -3,6 +3,9 @@ import random
 import re
 import string
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessel.llm import secrets
 from tests.llm.helpers import TEXTS, awkward, empty
 
@@ -45,5 +48,31 @@ def test_battery_finds_random_and_leaves_words(spark):
     assert all(got[30 + i] == 0 for i in range(len(words)))
 
 
+SEVERAL = [(e, n) for e in ("HEX", "base62", "base64") for n in (20, 32, 64)]
+ALPHABETS = {"HEX": secrets.HEX_UPPER, "base32": secrets.BASE32, "base62": secrets.BASE64[:62], "base64": secrets.BASE64}
+
+
+@pytest.fixture(scope="module")
+def recall(spark):
+    """Tokens that pass the gate with evidence of the FDR or better, by encoding and length."""
+    rng = random.Random(11)
+    rows = [(e, n, "".join(rng.choice(a) for _ in range(n))) for e, a in ALPHABETS.items() for n in (20, 32, 64) for _ in range(200)]
+    found = spark.createDataFrame(rows, "e string, n int, token string")
+    found = found.withColumn("tokens", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"), "token"))).withColumn("b", secrets.battery("tokens")[0])
+    passed = ((F.col("b.p_random") >= secrets.LEAST_RANDOM) & (F.col("b.p_text") <= secrets.FDR)).cast("int")
+    return {(r["e"], r["n"]): r["share"] for r in found.groupBy("e", "n").agg(F.avg(passed).alias("share")).collect()}
+
+
+@pytest.mark.parametrize("encoding,n", SEVERAL)
+def test_recall_by_encoding(recall, encoding, n):
+    assert recall[encoding, n] >= {"HEX": {20: 0.45, 32: 0.6, 64: 0.9}}.get(encoding, {}).get(n, 0.85)
+
+
+@pytest.mark.xfail(strict=True, reason="changes of character class are weak evidence in base32; see README, op2")
+@pytest.mark.parametrize("n", [20, 32, 64])
+def test_recall_of_base32(recall, n):
+    assert recall["base32", n] >= 0.85
+
+
 def test_empty_table(spark):
     assert secrets.scan_secrets(empty(spark)).count() == 0
