@@ -82,3 +82,20 @@ def diff(left: DataFrame, right: DataFrame, key: str, leave_out: tuple[str, ...]
 
     both = long(left, "left_value").join(long(right, "right_value"), [key, "field"], "full")
     return both.withColumn("equal", F.equal_null("left_value", "right_value"))
+
+
+def shared_pairs(rows: DataFrame, group: str, item: str, least: int = 2, k: int = 1, size: int = 512) -> DataFrame:
+    """(a, b, shared): pairs a < b of items that share ``least`` groups or more, over groups of ``k`` items or more.
+
+    Groups are cut by their items' hashes into blocks of about ``size`` items, and each pair of blocks is joined by
+    itself, so a group of any size is dealt over many tasks. Counts combine before they move.
+    """
+    own = rows.select(F.col(group).alias("g"), F.col(item).alias("x")).filter("g IS NOT NULL AND x IS NOT NULL").distinct()
+    blocks = own.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") >= k).select("g", F.ceil(F.col("m") / size).cast("int").alias("blocks"))
+    dealt = own.join(blocks, "g").withColumn("at", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    # a block is the first of its pairs in one copy and the second in the other: pairs of items meet once in each order
+    a = dealt.select("g", F.col("x").alias("a"), F.col("at").alias("i"), each.alias("j"))
+    b = dealt.select("g", F.col("x").alias("b"), F.col("at").alias("j"), each.alias("i"))
+    pairs = a.join(b.hint("shuffle_hash"), ["g", "i", "j"]).filter("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)

@@ -249,3 +249,10 @@ def pair_overlap(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_suppkey", "l_partkey").distinct()
     a, b = rows.withColumnRenamed("l_partkey", "part_a"), rows.withColumnRenamed("l_partkey", "part_b")
     return a.join(b, "l_suppkey").filter("part_a < part_b").groupBy("part_a", "part_b").agg(F.count("*").alias("shared")).filter("shared >= 2")
+
+
+@query("pair_overlap_whole")
+def pair_overlap_whole(spark, sf_dir):
+    """Pairs that share two groups of three members or more, over all rows; without SQL, held against brute force."""
+    pairs = tables.shared_pairs(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", least=2, k=3)
+    return pairs.withColumnsRenamed({"a": "part_a", "b": "part_b"})

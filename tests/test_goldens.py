@@ -1,6 +1,9 @@
 """Exact cases: tokens, BM25 on tiny corpora, gates, fusion, filters, tables, metrics, streams."""
 
 import math
+import random
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from tessel.functions import text as T
 from tessel.functions import values as V
 from tessel.operators import bm25, fusion, metrics, privacy, tables, vectors
+from tessel.plans import QUERIES
 from tessel.streaming import events
 
 TOKENS = [
@@ -152,3 +156,27 @@ def test_append_log_resumes(spark, sf_dir, tmp_path):
             batch.filter("event_id % 2 = 1").write.mode("append").parquet(folder)
         events.append_log(events.read_events(spark, folder), out, state).awaitTermination(120)
     assert spark.read.parquet(out).count() == batch.count()
+
+
+def test_shared_pairs_of_hot_and_small_groups(spark):
+    rng = random.Random(3)
+    rows = [("hot", i) for i in range(60)] + [(f"g{rng.randrange(25)}", rng.randrange(80)) for _ in range(300)] + [("two", 1), ("two", 2), ("few", 1), ("few", 2), (None, 1), (None, 2), ("g1", None)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "g string, x int")
+    for k in (1, 3):
+        members = {}
+        for g, x in rows:
+            if g is not None and x is not None:
+                members.setdefault(g, set()).add(x)
+        counts = Counter(p for m in members.values() if len(m) >= k for p in combinations(sorted(m), 2))
+        got = {(r["a"], r["b"]): r["shared"] for r in tables.shared_pairs(df, "g", "x", 2, k, size=7).collect()}
+        assert got == {p: n for p, n in counts.items() if n >= 2}
+
+
+def test_pair_overlap_reads_the_whole_table(spark, sf_dir):
+    members = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect():
+        members.setdefault(r[0], set()).add(r[1])
+    counts = Counter(p for m in members.values() if len(m) >= 3 for p in combinations(sorted(m), 2))
+    got = {(r["part_a"], r["part_b"]): r["shared"] for r in QUERIES["pair_overlap_whole"](spark, sf_dir).collect()}
+    assert got == {p: n for p, n in counts.items() if n >= 2}
