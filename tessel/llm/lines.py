@@ -1,12 +1,14 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line (between line feeds) is its sequence of words. Lines of ``LEAST`` words or more repeat an earlier line if they
-are equal to it; of ``NEAR`` words or more also if one word inserted, left out or replaced makes them equal (an edit
-distance of 1 over words). A line stays if no line before it, by doc_id and place, is within that bound.
-
-All variants within the bound are emitted as hashed keys: each line without one of its words, with the place of that
-word, and the line itself. Equal variants at equal places come from lines that differ in that word at most; a variant
-equal to a whole line comes from a line one word longer. So the least position in each group of equal keys settles all
+A line (between line feeds) is its sequence of words. Lines with a word repeat an earlier line if they are equal to it,
+or if one unit inserted, left out or replaced makes them equal (an edit distance of 1). The unit is a word in lines of
+``NEAR`` words or more; in shorter ones a word is too much of the line, and the unit is a character if the line has two
+words and ``LONG`` characters or more. A line stays if no line of its kind before it, by doc_id and place, is within
+that bound.
+
+All variants within the bound are emitted as hashed keys: each line without one of its units, with the place of that
+unit, and the line itself. Equal variants at equal places come from lines that differ in that unit at most; a variant
+equal to a whole line comes from a line one unit longer. So the least position in each group of equal keys settles all
 its members, without pairs, and a group of any size is pre-aggregated. The earliest partner found is verified by its
 edit distance.
 
@@ -14,7 +16,7 @@ Only lines that can have a partner emit variants: lines within one edit share th
 are hashed first and lines whose halves no other line has are out. What is shuffled is hashes and places; texts move
 once for the lines that emit variants and once to take lines out of their documents.
 
-Cases: a null text stays null; empty lines and lines under ``LEAST`` words stay; rows with equal doc_id and text count
+Cases: a null text stays null; lines without a word stay; rows with equal doc_id and text count
 as one document; rows without doc_id come last in order; ties in doc_id are broken by the text's hash; an empty table
 gives an empty result; columns besides doc_id and text are kept, whatever their names.
 """
@@ -32,16 +34,24 @@ from pyspark.sql import functions as F
 from tessel.llm.words import batches, mix64, slices, word_hashes
 from tessel.session import settle, table
 
-LEAST, NEAR = 3, 10
+LEAST, NEAR, LONG = 1, 5, 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def half_keys(words: list[bytes]) -> list[int]:
-    """Hashes of the first and last half, for partners of equal length, and for partners one word shorter."""
+def units(words: list[bytes]) -> list[bytes] | None:
+    """What edits of a line count: its words, or its characters if it has few words; None if only equal lines repeat it."""
+    if len(words) >= NEAR:
+        return words
+    line = b" ".join(words).decode()
+    return [b"\0" + c.encode() for c in line] if len(words) >= 2 and len(line) >= LONG else None
+
+
+def half_keys(parts: list[bytes]) -> list[int]:
+    """Hashes of the first and last half, for partners of equal length, and for partners one unit shorter."""
     out = []
-    for n in (len(words), len(words) - 1):
-        k = (n - 1) // 2
-        for side, part in enumerate((words[:k], words[-k:])):
+    for n in (len(parts), len(parts) - 1):
+        k = n // 2
+        for side, part in enumerate((parts[:k], parts[-k:])):
             out.append(xxhash.xxh3_64_intdigest(b" ".join(part), 2 * n + side) - (1 << 63))
     return out
 
@@ -56,7 +66,8 @@ def _records(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at.append(i)
                     pos.append(p)
                     key.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    halves.append(half_keys(words) if len(words) >= NEAR else None)
+                    of = units(words)
+                    halves.append(half_keys(of) if of else None)
         at = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(pos, pa.int32()), pa.array(key, pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
@@ -65,7 +76,7 @@ def _records(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the line without word i, for each i, and of the whole line last; as arrays (n + 1, 2)."""
+    """Two 64-bit hashes of the line without word (or other unit) i, for each i, and of the whole line last; as arrays (n + 1, 2)."""
     h, n = word_hashes(words), len(words)
     out = np.empty((n + 1, 2), np.uint64)
     for c, base in enumerate(_BASES):
@@ -83,10 +94,10 @@ def _emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(rows):
         line, kind, place, keys = [], [], [], []
         for i, (text, hit) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hit").to_pylist(), strict=True)):
-            words = text.encode().split()
-            n, v = len(words), variants(words)
+            parts = units(text.encode().split())
+            n, v = len(parts), variants(parts)
             same, longer = np.zeros(n, bool), np.zeros(n, bool)
-            k, k1 = (n - 1) // 2, (n - 2) // 2
+            k, k1 = n // 2, (n - 1) // 2
             if hit[0]:
                 same[k:] = True
             if hit[1]:
@@ -124,7 +135,7 @@ def edit_distance_1(a: list[bytes], b: list[bytes]) -> bool:
 def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(rows):
         pairs = zip(batch.column("text").to_pylist(), batch.column("partner_text").to_pylist(), strict=True)
-        yield batch.select(["line"]).filter(pa.array([edit_distance_1(a.encode().split(), b.encode().split()) for a, b in pairs], pa.bool_()))
+        yield batch.select(["line"]).filter(pa.array([edit_distance_1(units(a.encode().split()), units(b.encode().split())) for a, b in pairs], pa.bool_()))
 
 
 def _cut_lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +174,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     ).filter("x <> y").drop("x", "y")
     met = emitted.join(groups, ["a", "b", "place"]).select(
         "line", "first",
-        # replaced word: the earliest of the group; one word less: the whole line; a whole line: the earliest that has a word more
+        # replaced unit: the earliest of the group; one unit less: the whole line; a whole line: the earliest that has a unit more
         F.when(F.col("kind") == 2, F.col("shorter")).otherwise(F.col("other")).alias("partner"),
     )
     earlier = met.filter(F.col("partner.first") < F.col("first")).groupBy("line").agg(F.min("partner").alias("partner"))

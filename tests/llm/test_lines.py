@@ -45,6 +45,41 @@ def test_brute_force(spark, seed):
         assert got[d] == (None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (d is None, d or 0, p) not in gone))
 
 
+def test_short_lines(spark):
+    kept = ["All rights reserved", "Copyright 2023 Example Incorporated", "Read the terms of use here", "Les.", "Volume 1", "https://example.org/page/number/1"]
+    gone = ["All rights  reserved", "Copyright 2024 Example Incorporated", "Read our terms of use here", "Les.", "Read the terms of use", "opyright 2023 Example Incorporated"]
+    other = ["Copyright 2023 Someone Incorporated", "Volume 2", "https://example.org/page/number/2", "Read the terms of Sale there", ""]
+    docs = spark.createDataFrame([(0, "\n".join(kept)), (1, "\n".join(gone + other))], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in lines.dedup_lines(docs).collect()}
+    assert got == {0: kept, 1: other}
+
+
+def test_short_lines_by_brute_force(spark):
+    rng = random.Random(5)
+    base = ["Copyright 2023 Example Incorporated", "Printed in the Netherlands", "internationally recognised", "x" * 9 + " " + "y" * 10]
+    texts = []
+    for _ in range(300):
+        x = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            i, kind = rng.randrange(len(x)), rng.randrange(3)
+            x[i : i + (kind != 1)] = [] if kind == 0 else [rng.choice("abc")]
+        texts.append("".join(x))
+
+    def near(a, b):
+        a, b = " ".join(a.split()), " ".join(b.split())
+        if a == b:
+            return True
+        if min(len(a), len(b)) < lines.LONG or min(len(a.split()), len(b.split())) < 2 or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        return any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+    want = {i: t if not any(near(t, u) for u in texts[:i]) else "" for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == want
+
+
 def test_variants_meet():
     a = [f"x{i}".encode() for i in range(12)]
     for i in range(12):
