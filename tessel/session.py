@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark drops a query's shuffle files at its end if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders written by ``settle`` and not released yet, in order.
+_held: list[str] = []
+
 
 def build_session(app: str = "tessel", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -19,6 +26,7 @@ def build_session(app: str = "tessel", cpus: int | str = "*", partitions: int =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TESSEL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config(CLEANUP, "true")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
@@ -27,13 +35,16 @@ def build_session(app: str = "tessel", cpus: int | str = "*", partitions: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one under /tmp only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a local session gets one under /tmp; on a cluster executors don't share /tmp, so it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(f"/tmp/tessel-checkpoints-{os.getpid()}")
     return spark.sparkContext.getCheckpointDir()
 
@@ -42,12 +53,44 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and gives the planner a true size, so that it
-    broadcasts the table only if that size allows it.
+    broadcasts the table only if that size allows it. As the files stand for the result, its shuffle files go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    _held.append(path)
+    return out
+
+
+def release(*settled: DataFrame) -> None:
+    """Delete the folders of settled tables that nothing reads any more: what was made of them is settled itself."""
+    for df in settled:
+        _delete(df.sparkSession, df.settled_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _held:
+        _held.remove(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end what was settled within it, but for the tables put into the list it gives."""
+    first, keep = len(_held), []
+    try:
+        yield keep
+    finally:
+        for path in set(_held[first:]) - {df.settled_at for df in keep}:
+            _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
