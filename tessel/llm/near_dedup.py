@@ -8,19 +8,21 @@ in a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures of ``BANDS * ROWS`` coordinates are cut into bands and joined on equal bands; a pair at similarity 0.8 has
 no band in common in 3 of 100,000 cases. Candidates are verified with their exact similarity, in two rounds, so that a
-bucket of m documents doesn't give m^2 rows: first all against one leader a bucket, another one in each band; then,
-where a bucket still spans several components, between those components. Before that second round documents are left
-out that can't have a link there, as too many of their windows occur in no other document concerned; the others are
-dealt into slabs of some ``SLAB`` documents of a bucket, each two slabs are a group for a task, and a pair of documents
-is looked at in its first common band, if their components differ. All pairs within a bucket are then verified, ruled out by an exact
-bound, or in one class already: no link is lost. Classes are the connected components of links, found by alternating
-large-star and small-star steps.
+bucket of m documents doesn't give m^2 rows: first all against one leader a bucket, another one in each band, whose text
+goes once to each ``MEMBERS`` of them; then, where a bucket still spans several components, between those components.
+Before that second round documents are left out that can't have a link there, as too many of their windows occur in no
+other document concerned; the others are dealt into slabs of some ``LOAD`` windows of a bucket, each two slabs are a
+group for a task, and a pair of documents is looked at in its first common band, if their components differ. All pairs
+within a bucket are then verified, ruled out by an exact bound, or in one class already: no link is lost. What a group
+holds is bounded, the number of groups grows with the square of a bucket's slabs. Classes are the connected components
+of links, found by alternating large-star and small-star steps.
 
 Work is done on distinct texts (by MD5), copies are only given their text's class. The class id is the least doc_id.
 
 Cases: null and empty texts, and those without words, have no windows and are classes of their own; rows without doc_id
-have no class id and no links; repeated rows get equal results; an empty table gives an empty result; columns besides
-doc_id and text are ignored, whatever their names.
+belong to their text's class, whose id is null if no row of it has one; rows that share a doc_id are told apart by their
+texts; repeated rows get equal results, and ``deduplicate`` keeps one of them; an empty table gives an empty result;
+columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.words import batches, mix64, shingle_hashes, slices, word_hashes, words_of
-from tessel.session import settle, table
+from tessel.session import release, scratch, settle, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
-SLAB = 512
+MEMBERS, LOAD = 64, 1 << 18
 _STEP, _UNIT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -133,23 +135,27 @@ def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) from rows in order: a leader's text (b null), then those of its members."""
+    leader = None
     for batch in slices(rows):
-        kept: dict[str, tuple] = {}
         close = []
-        for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-            if a not in kept:
-                if len(kept) >= 64:
-                    kept.clear()
-                kept[a] = weighted_set(a)
-            close.append(similarity(kept[a], weighted_set(b)) >= SIMILARITY)
+        for b, t in zip(batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if b is None:
+                leader = weighted_set(t)
+            close.append(b is not None and similarity(leader, weighted_set(t)) >= SIMILARITY)
         yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are similar enough, by their exact similarity."""
-    whole = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    whole = whole.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
+    """Those of ``pairs(a, b, n)`` that are similar enough, by their exact similarity; n is about the members of leader a.
+
+    Members are dealt into chunks, each of which meets the leader's text once; a task streams through its chunks in order.
+    """
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS)).alias("chunk"))
+    members = dealt.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "chunk", "b", "text")
+    leaders = dealt.select("a", "chunk").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a")
+    both = members.unionByName(leaders.select("a", "chunk", F.lit(None).cast("binary").alias("b"), "text"))
+    return both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").select("a", "b", "text").mapInArrow(_verify, "a binary, b binary")
 
 
 def _windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +225,7 @@ def _cross_links(open_rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> Da
     smallest = F.greatest(F.col("least"), SIMILARITY * F.col("n"))
     rows = rows.join(least, ["band", "key"]).filter(F.col("s") * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + smallest) - 1e-6).drop("least")
     rows = settle(rows, "open-able")
-    able = rows.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / SLAB).alias("slabs")).filter("x <> y").drop("x", "y")
+    able = rows.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.sum("n") / LOAD).alias("slabs")).filter("x <> y").drop("x", "y")
     dealt = rows.join(able, ["band", "key"]).withColumn("slab", F.pmod(F.xxhash64("node", "band"), F.col("slabs")))
     dealt = dealt.join(nodes, "node").join(windows.drop("n"), "node").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slabs") - 1)))
     dealt = dealt.withColumn("i", F.least("slab", "with")).withColumn("j", F.greatest("slab", "with"))
@@ -240,56 +246,82 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: lesser neighbours, and the node itself, to the least one
         small = large.join(least, "u").select("u", "v", "m", "n")
         small = small.select("n", F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("n", "e.*")
-        edges = settle(small.filter("u <> v").groupBy("u", "v").agg(F.max("n").alias("n")), "small-star")
+        after = settle(small.filter("u <> v").groupBy("u", "v").agg(F.max("n").alias("n")), "small-star")
+        release(edges, large)
         # done when no node had two lesser neighbours and no least node has a lesser one
-        if edges.filter("n > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        if after.filter("n > 1").isEmpty() and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        edges = edges.select("u", "v")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        edges = settle(after.select("u", "v"), "edges")
+        release(after)
+    found = after.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    labels = settle(found, "labels")
+    release(after)
+    return labels
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, label) for each row of ``docs``, settled; node is the text's MD5, the label null where a text has no words."""
+    of = docs.schema["doc_id"].dataType.simpleString()
+    with scratch(docs.sparkSession) as keep:
+        rows = docs.select("doc_id", "text").withColumn("node", node_of("text"))
+        signed = settle(rows.mapInArrow(_sign, f"doc_id {of}, node binary, bands array<bigint>"), "signatures")
+        firsts = settle(signed.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands")), "nodes")
+        keyed = firsts.select("node", F.posexplode("bands").alias("band", "key"))
+
+        # buckets of two texts or more; the leader is another one in each band
+        rank = F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("leader"))
+        buckets = keyed.groupBy("band", "key").agg(F.min(rank)["leader"].alias("leader"), F.count("*").alias("n")).filter("n > 1")
+        members = settle(keyed.join(buckets, ["band", "key"]), "members")
+        texts = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        texts = settle(texts, "texts")
+
+        pairs = members.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
+        links = settle(_links(pairs, texts), "links")
+        labels = components(links)
+        named = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
+        open_ = named.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("band", "key")
+        rest = settle(named.join(open_, ["band", "key"]), "open-buckets")
+        release(members)
+        more = settle(_cross_links(rest, texts, firsts), "more-links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+
+        found = signed.join(labels, "node", "left").select("doc_id", "node", F.when(F.col("bands").isNotNull(), F.coalesce("label", "node")).alias("label"))
+        keep.append(settle(found, "classes"))
+    return keep[0]
+
+
+def node_of(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size for each row of ``docs``; class_size counts rows."""
-    of = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    signed = settle(rows.mapInArrow(_sign, f"doc_id {of}, node binary, bands array<bigint>"), "signatures")
-    held = signed.filter("doc_id is not null and bands is not null")
-    firsts = settle(held.groupBy("node").agg(F.first("bands").alias("bands")), "nodes")
-    keyed = firsts.select("node", F.posexplode("bands").alias("band", "key"))
-
-    # buckets of two texts or more; the leader is another one in each band
-    rank = F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("leader"))
-    buckets = keyed.groupBy("band", "key").agg(F.min(rank)["leader"].alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = settle(keyed.join(buckets.drop("n"), ["band", "key"]), "members")
-    involved = members.select("node").distinct()
-    texts = rows.filter("doc_id is not null").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = settle(texts, "texts")
-
-    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = settle(_links(pairs, texts), "links")
-    labels = settle(components(links), "labels")
-    labelled = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("band", "key")
-    rest = settle(labelled.join(open_, ["band", "key"]), "open-buckets")
-    more = settle(_cross_links(rest, texts, firsts), "more-links")
-    if not more.isEmpty():
-        labels = settle(components(links.unionByName(more)), "labels")
-
-    classes = held.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    classes = settle(classes, "classes")
-    sizes = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    alone = signed.filter("doc_id is null or bands is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return classes.join(sizes, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
+    found = labelled(docs)
+    sizes = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    alone = found.filter("label is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return found.join(sizes, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one whose doc_id is the class id, once.
+    """``docs`` with one row of each class: of the least doc_id (null last), then the least MD5 of its text.
 
-    Rows without words or without doc_id are classes of their own and stay.
+    Rows without words are classes of their own and stay. Rows equal in doc_id and text are one document; one of them,
+    which needn't be the same in other columns each time, stays.
     """
-    stay = settle(near_classes(docs).filter("doc_id = class_id").select("doc_id").distinct(), "stay")
-    kept = docs.join(stay, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = labelled(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first")
+    chosen = found.filter("label is not null").groupBy("label").agg(first).select("first.doc_id", "first.node")
+    times = found.filter("label is not null").groupBy("doc_id", "node").agg(F.count("*").alias("__rows"))
+    times = times.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "__rows")
+    stay = settle(times.join(chosen, F.equal_null("__id", "doc_id") & (F.col("__node") == F.col("node"))).select("__id", "__node", "__rows"), "stay")
+    release(found)
+    # the texts are hashed to the narrow side, not sorted
+    kept = docs.join(stay.hint("shuffle_hash"), F.equal_null(docs["doc_id"], F.col("__id")) & (node_of("text") == F.col("__node")))
+    if not stay.filter("__rows > 1").isEmpty():
+        kept = kept.filter("__rows = 1").unionByName(kept.filter("__rows > 1").dropDuplicates(["__id", "__node"]))
+    wordless = docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.select(*docs.columns).unionByName(wordless)
 
 
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def test_awkward_rows(spark):
     assert by[0] == by[6] == (0, 3) and by[None] == (None, 1)
     assert all(by[i] == (i, 1) for i in (1, 2, 3))
     kept = nd.deduplicate(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == [i for i in range(len(TEXTS)) if i != 6]
     assert nd.near_classes(empty(spark)).count() == 0 and nd.deduplicate(empty(spark)).count() == 0
 
@@ -74,3 +74,22 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(nodes[i], nodes[i + 1]) for i in range(29)] + [(nodes[39], nodes[35])], "a binary, b binary")
     got = {bytes(r["node"]): bytes(r["label"]) for r in nd.components(edges).collect()}
     assert all(got[n] == nodes[0] for n in nodes[:30]) and got[nodes[39]] == got[nodes[35]] == nodes[35]
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, c), (2, c), (None, a), (None, prose(4, 60)), (None, prose(4, 60)), (3, b + " more")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["class_size"]) for r in nd.near_classes(docs).collect()) == [(0, 0, 2), (0, 0, 2), (0, 1, 2), (1, 1, 2), (1, 1, 2), (2, 2, 2), (2, 2, 2), (3, 1, 2)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in nd.deduplicate(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (2, c), (0, prose(4, 60))])
+
+
+def test_recall_on_the_real_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    want = truth([t for _, t in rows])
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(docs).collect()}
+    linked = [i for i, root in enumerate(want) if root != i]
+    assert len(linked) > 50
+    assert sum(got[rows[i][0]] == got[rows[want[i]][0]] for i in linked) >= 0.9 * len(linked)
+    assert all(want[i] == want[j] for i, (d, _) in enumerate(rows) for j in [next(k for k, (e, _) in enumerate(rows) if e == got[d])])
