@@ -28,6 +28,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessel.llm.words import batches, slices
 from tessel.session import settle, table
@@ -300,7 +301,8 @@ def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """``encoded`` with its token ids' text."""
+    """``encoded`` with its token ids' text, in place of a column ``text`` that it has."""
+    encoded = encoded.drop("text")
     names = encoded.columns
 
     def decode_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +311,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [None if x is None else model.decode(x) for x in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
 
-    return encoded.mapInArrow(decode_rows, encoded.schema.add("text", "string"))
+    return encoded.mapInArrow(decode_rows, StructType([*encoded.schema.fields, StructField("text", StringType())]))
 
 
 def encode_checked(docs: DataFrame, path: str = MODEL) -> DataFrame:

@@ -42,7 +42,10 @@ def test_round_trip(spark, library):
         if r["doc_id"] is not None:
             t = TEXTS[r["doc_id"]]
             assert r["round_trip"] is (None if t is None else True) and r["token_ids"] == (None if t is None else library.encode(t))
-    back = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(docs)).collect()}
+    encoded = pieces.encode(docs)
+    assert "text" not in encoded.columns
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(encoded).collect()}
+    assert {r["text"] for r in pieces.decode(encoded.filter("doc_id = 0").selectExpr("*", "'x' AS text")).collect()} == {TEXTS[0]}
     assert all(back[i] == t for i, t in enumerate(TEXTS))
 
 
