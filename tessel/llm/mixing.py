@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessel.session import settle, table
+from tessel.session import scratch, settle, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -68,8 +68,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, per_200
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each row of ``docs``."""
+    return _plan(docs, weights, seed).drop("t", "src", "src_null")
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], seed: str) -> DataFrame:
+    """``mix_sources`` with what tells its rows apart: the text's hash t and the source."""
     sized = docs.select(
         "doc_id",
+        F.xxhash64("text").alias("t"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.col("source"), F.lit("")).alias("src"),
         F.col("source").isNull().alias("src_null"),
@@ -88,12 +94,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
         cells.filter("size > 0").groupBy(*key).count()
         .select(*key, F.coalesce(F.sum("count").over(W.partitionBy("src", "src_null").orderBy("band", "salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     )
-    ranked = cells.filter("size > 0").withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy("size", "doc_id")))
+    ranked = cells.filter("size > 0").withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy("size", "doc_id", "t")))
     offset = _hex(F.concat_ws("/", F.lit(seed), F.col("src_null").cast("string"), "src"), 8) / F.lit(4294967296.0)
     rate = F.col("target") / F.col("source_size")
     to = F.col("start") + F.col("rank")
     copies = F.floor(to * rate + offset) - F.floor((to - 1) * rate + offset)
-    out = ["doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"]
+    out = ["doc_id", "t", "src", "src_null", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"]
     return (
         ranked.join(starts, key).withColumn("copies", copies).select(*out)
         .unionByName(cells.filter("size = 0").withColumn("copies", F.lit(0).cast("long")).select(*out))
@@ -103,20 +109,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """``docs`` with each document as often as the mix takes it (never, once or more).
 
-    A row's copies depend on nothing but its place in the order, so rows that share a doc_id (repeated rows) are told
-    apart by their rank among equals; the texts are joined back on doc_id.
+    The texts move once, hashed to a narrow table of copies by doc_id, text and source. Rows that are equal in all three
+    are interchangeable; what the mix takes of them in all is dealt out among them by their rank.
     """
-    plan = mix_sources(docs, weights, seed)
-    taken = plan.filter("copies > 0 and size > 0").groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__of"))
-    total = plan.filter("size > 0").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    need = settle(taken.join(total, F.equal_null(taken["doc_id"], total["doc_id"])).select(taken["doc_id"].alias("__id"), "__copies", "__rows"), "mix-copies")
-    joined = docs.join(need, F.equal_null(docs["doc_id"], F.col("__id")))
-    one = joined.filter("__rows = 1")
-    rank = F.row_number().over(W.partitionBy("__id").orderBy("text", "source"))
-    many = joined.filter("__rows > 1").withColumn("__n", rank).withColumn(
-        "__copies", F.floor(F.col("__n") * F.col("__copies") / F.col("__rows")) - F.floor((F.col("__n") - 1) * F.col("__copies") / F.col("__rows"))
-    )
-    both = one.unionByName(many.select(*one.columns))
+    with scratch(docs.sparkSession) as keep:
+        plan = _plan(docs, weights, seed).filter("size > 0")
+        need = plan.groupBy("doc_id", "t", "src", "src_null").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
+        need = need.withColumnsRenamed({"doc_id": "__id", "t": "__t", "src": "__src", "src_null": "__src_null"})
+        keep.append(settle(need, "mix-copies"))
+    need = keep[0]
+    same = F.equal_null(docs["doc_id"], F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__t"))
+    same = same & (F.coalesce(docs["source"], F.lit("")) == F.col("__src")) & (docs["source"].isNull() == F.col("__src_null"))
+    both = docs.join(need.hint("shuffle_hash"), same)
+    if not need.filter("__rows > 1").isEmpty():
+        rank = F.row_number().over(W.partitionBy("__id", "__t", "__src", "__src_null").orderBy("__rows"))
+        part = lambda n: F.floor(n * F.col("__copies") / F.col("__rows"))
+        many = both.filter("__rows > 1").withColumn("__n", rank)
+        many = many.withColumn("__copies", part(F.col("__n")) - part(F.col("__n") - 1)).drop("__n")
+        both = both.filter("__rows = 1").unionByName(many)
     return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

@@ -52,3 +52,12 @@ def test_empty_tables(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
     blank = spark.createDataFrame([(1, None, "en", "a", 0), (2, " ", "en", None, 1)], SCHEMA)
     assert {r["taken"] for r in mixing.mix_sources(blank).collect()} == {0}
+
+
+def test_rows_that_share_an_id_are_taken_by_their_texts(spark):
+    rows = [(7, prose(i, 30 + i), "en", "a", 0) for i in range(40)] + [(7, None, "en", "a", 0), (None, prose(99, 35), "en", None, 0)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = mixing._plan(docs, mixing.WEIGHTS, mixing.SEED)
+    want = sorted((r["size"], r["n"]) for r in plan.groupBy("size").agg(F.sum("copies").alias("n")).collect() if r["n"])
+    got = mixing.mixed_documents(docs).withColumn("size", F.regexp_count("text", F.lit(mixing.WORD)).cast("long")).groupBy("size").count().collect()
+    assert sorted((r["size"], r["count"]) for r in got) == want
