@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import classifier, lines, mixing, near_dedup, pieces
-from tessel.session import settle, table
+from tessel.session import release, scratch, settle, table
 
 ORACLE_SQL = None
 
@@ -56,5 +56,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch(spark) as keep:  # what a stage has written goes once its result is written
+            keep.append(docs := settle(stage(spark, before, sf_dir), f"pipeline-{name}"))
+        if hasattr(before, "settled_at"):
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,9 +16,10 @@ Only lines that can have a partner emit variants: lines within one edit share th
 are hashed first and lines whose halves no other line has are out. What is shuffled is hashes and places; texts move
 once for the lines that emit variants and once to take lines out of their documents.
 
-Cases: a null text stays null; lines without a word stay; rows with equal doc_id and text count
-as one document; rows without doc_id come last in order; ties in doc_id are broken by the text's hash; an empty table
-gives an empty result; columns besides doc_id and text are kept, whatever their names.
+Cases: a null text stays null; lines without a word stay; rows with equal doc_id and text are documents one after the
+other, of which the first (any of them, as they are alike) keeps its lines; rows without doc_id come last in order; ties
+in doc_id are broken by the text's hash; an empty table gives an empty result; columns besides doc_id and text are kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessel.llm.words import batches, mix64, slices, word_hashes
-from tessel.session import settle, table
+from tessel.session import release, scratch, settle, table
 
 LEAST, NEAR, LONG = 1, 5, 20
+WORD = r"[^\x20\x09-\x0D]"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -141,49 +144,64 @@ def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut_lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines at the places ``at`` with their keys."""
     for batch, texts in batches(rows):
-        out = [(c["line"], c["first"], c["hit"], t.split("\n")[c["pos"]]) for t, cs in zip(texts, batch.column("candidates").to_pylist(), strict=True) for c in cs]
+        out = []
+        for t, cs in zip(texts, batch.column("candidates").to_pylist(), strict=True):
+            of = t.split("\n")
+            out += [(c["line"], c["first"], c["hit"], of[c["pos"]]) for c in cs]
         columns = list(zip(*out, strict=True)) or [()] * 4
         first = pa.array(columns[1], batch.schema.field("candidates").type.value_type.field("first").type)
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), first, pa.array(columns[2], pa.list_(pa.bool_())), pa.array(columns[3], pa.string())], ["line", "first", "hit", "text"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, places): the places of lines that repeat an earlier one, by document; t is xxhash64 of the text."""
+    """(doc_id, t, places): the places of lines that repeat an earlier one, by document, settled; t is xxhash64 of the text."""
     of = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    records = settle(rows.mapInArrow(_records, f"doc_id {of}, t long, pos int, line binary, halves array<bigint>"), "lines")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "pos")
-    firsts = settle(records.groupBy("line").agg(F.min(order).alias("first"), F.first("halves").alias("halves")), "line-firsts")
-
-    halves = firsts.filter("halves is not null").select("line", F.posexplode("halves").alias("n", "half"))
-    shared = halves.groupBy("half").agg(F.min("line").alias("x"), F.max("line").alias("y")).filter("x <> y").select("half")
-    hits = halves.join(settle(shared, "shared-halves"), "half", "left_semi").groupBy("line").agg(*[F.max(F.col("n") == i).alias(f"h{i}") for i in range(4)])
-    candidates = firsts.join(hits, "line").select("line", "first", F.array("h0", "h1", "h2", "h3").alias("hit"))
-    by_doc = settle(
-        candidates.select(F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t"), F.struct(F.col("first.pos").alias("pos"), "line", "first", "hit").alias("c"))
-        .groupBy("doc_id", "t").agg(F.collect_list("c").alias("candidates")), "line-candidates",
-    )
-    texts = rows.join(by_doc, F.equal_null(rows["doc_id"], by_doc["doc_id"]) & (rows["t"] == by_doc["t"])).select("text", "candidates")
-    first_type = firsts.schema["first"].dataType.simpleString()
-    cut = settle(texts.mapInArrow(_cut_lines, f"line binary, first {first_type}, hit array<boolean>, text string").dropDuplicates(["line"]), "candidate-lines")
-
-    emitted = settle(cut.mapInArrow(_emit, f"a long, b long, place int, kind int, line binary, first {first_type}"), "variants")
-    whole = F.struct("first", "line")
-    groups = emitted.groupBy("a", "b", "place").agg(
-        F.min(F.when(F.col("kind") == 1, whole)).alias("shorter"), F.min(F.when(F.col("kind") != 1, whole)).alias("other"), F.min("line").alias("x"), F.max("line").alias("y")
-    ).filter("x <> y").drop("x", "y")
-    met = emitted.join(groups, ["a", "b", "place"]).select(
-        "line", "first",
-        # replaced unit: the earliest of the group; one unit less: the whole line; a whole line: the earliest that has a unit more
-        F.when(F.col("kind") == 2, F.col("shorter")).otherwise(F.col("other")).alias("partner"),
-    )
-    earlier = met.filter(F.col("partner.first") < F.col("first")).groupBy("line").agg(F.min("partner").alias("partner"))
-    pairs = earlier.join(cut.select("line", "text"), "line").join(cut.select(F.col("line").alias("p"), F.col("text").alias("partner_text")), F.col("partner.line") == F.col("p"))
-    near = settle(pairs.select("line", "text", "partner_text").mapInArrow(_verify, "line binary"), "near-lines")
-
-    verdicts = records.join(firsts.select("line", "first").join(near.withColumn("near", F.lit(True)), "line", "left"), "line")
-    dropped = verdicts.filter((order != F.col("first")) | F.col("near"))
-    return dropped.select("doc_id", "t", "pos").distinct().groupBy("doc_id", "t").agg(F.collect_list("pos").alias("places"))
+    with scratch(docs.sparkSession) as keep:
+        rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+        records = settle(rows.mapInArrow(_records, f"doc_id {of}, t long, pos int, line binary, halves array<bigint>"), "lines")
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "pos")
+        firsts = settle(records.groupBy("line").agg(F.min(order).alias("first"), F.first("halves").alias("halves")), "line-firsts")
+
+        halves = firsts.filter("halves is not null").select("line", F.posexplode("halves").alias("n", "half"))
+        shared = settle(halves.groupBy("half").agg(F.min("line").alias("x"), F.max("line").alias("y")).filter("x <> y").select("half"), "shared-halves")
+        hits = halves.join(shared, "half", "left_semi").groupBy("line").agg(*[F.max(F.col("n") == i).alias(f"h{i}") for i in range(4)])
+        candidates = firsts.join(hits, "line").select("line", "first", F.array("h0", "h1", "h2", "h3").alias("hit"))
+        by_doc = settle(
+            candidates.select(F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t"), F.struct(F.col("first.pos").alias("pos"), "line", "first", "hit").alias("c"))
+            .groupBy("doc_id", "t").agg(F.collect_list("c").alias("candidates")), "line-candidates",
+        )
+        release(shared)
+        texts = rows.join(by_doc.hint("shuffle_hash"), F.equal_null(rows["doc_id"], by_doc["doc_id"]) & (rows["t"] == by_doc["t"])).select("text", "candidates")
+        first_type = firsts.schema["first"].dataType.simpleString()
+        cut = settle(texts.mapInArrow(_cut_lines, f"line binary, first {first_type}, hit array<boolean>, text string").dropDuplicates(["line"]), "candidate-lines")
+        release(by_doc)
+
+        emitted = settle(cut.mapInArrow(_emit, f"a long, b long, place int, kind int, line binary, first {first_type}"), "variants")
+        whole = F.struct("first", "line")
+        groups = emitted.groupBy("a", "b", "place").agg(
+            F.min(F.when(F.col("kind") == 1, whole)).alias("shorter"), F.min(F.when(F.col("kind") != 1, whole)).alias("other"), F.min("line").alias("x"), F.max("line").alias("y")
+        ).filter("x <> y").drop("x", "y")
+        met = emitted.join(groups, ["a", "b", "place"]).select(
+            "line", "first",
+            # replaced unit: the earliest of the group; one unit less: the whole line; a whole line: the earliest that has a unit more
+            F.when(F.col("kind") == 2, F.col("shorter")).otherwise(F.col("other")).alias("partner"),
+        )
+        earlier = settle(met.filter(F.col("partner.first") < F.col("first")).groupBy("line").agg(F.min("partner").alias("partner")), "earlier-lines")
+        release(emitted)
+        pairs = earlier.join(cut.select("line", "text"), "line").join(cut.select(F.col("line").alias("p"), F.col("text").alias("partner_text")), F.col("partner.line") == F.col("p"))
+        near = settle(pairs.select("line", "text", "partner_text").mapInArrow(_verify, "line binary"), "near-lines")
+        release(cut)
+
+        verdicts = records.join(firsts.select("line", "first").join(near.withColumn("near", F.lit(True)), "line", "left"), "line")
+        dropped = verdicts.filter((order != F.col("first")) | F.col("near"))
+        keep.append(settle(dropped.select("doc_id", "t", "pos").distinct().groupBy("doc_id", "t").agg(F.collect_list("pos").alias("places")), "repeated-lines"))
+    return keep[0]
+
+
+def repeated_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, t) of texts with a word that two rows or more of one doc_id have, settled."""
+    worded = docs.filter(F.col("text").rlike(WORD)).select("doc_id", F.xxhash64("text").alias("t"))
+    return settle(worded.groupBy("doc_id", "t").count().filter("count > 1").select("doc_id", "t"), "repeated-rows")
 
 
 def dedup_lines(docs: DataFrame, emptied: str = "keep") -> DataFrame:
@@ -191,15 +209,26 @@ def dedup_lines(docs: DataFrame, emptied: str = "keep") -> DataFrame:
 
     ``emptied`` says what becomes of documents that had lines with words and have none left: "keep" or "drop".
     """
-    found = settle(repeated_lines(docs), "repeated-lines").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "places")
-    joined = docs.join(found, F.equal_null(docs["doc_id"], F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__t")), "left")
+    found = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "places")
+    same = F.equal_null(docs["doc_id"], F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__t"))
+    # the texts are hashed to the narrow side, not sorted
+    joined = docs.join(found.hint("shuffle_hash"), same, "left").withColumn("__again", F.lit(False))
+    twice = repeated_rows(docs)
+    if not twice.isEmpty():
+        named = twice.select(F.col("doc_id").alias("__id2"), F.col("t").alias("__t2"), F.lit(True).alias("__twice"))
+        marked = joined.join(named, F.equal_null(docs["doc_id"], F.col("__id2")) & (F.xxhash64(docs["text"]) == F.col("__t2")), "left")
+        later = F.row_number().over(W.partitionBy("__id2", "__t2").orderBy(F.lit(1))) > 1
+        again = marked.filter("__twice").withColumn("__again", later)
+        joined = marked.filter("__twice is null").unionByName(again)
     # array_except hashes its places, so a document of many lines takes time in proportion to them
-    joined = joined.withColumn("__lines", F.when(F.col("places").isNotNull(), F.split("text", "\n", -1)))
-    left = F.expr("CASE WHEN places IS NULL THEN text ELSE array_join(transform(array_except(sequence(0, size(__lines) - 1), places), i -> __lines[i]), '\\n') END")
-    out = joined.withColumn("text", left)
+    joined = joined.withColumn("__lines", F.when(F.col("places").isNotNull() | F.col("__again"), F.split("text", "\n", -1)))
+    wordless = F.filter("__lines", lambda x: ~x.rlike(WORD))
+    rest = F.expr("transform(array_except(sequence(0, size(__lines) - 1), places), i -> __lines[i])")
+    kept = F.when(F.col("__again"), wordless).when(F.col("places").isNotNull(), rest)
+    out = joined.withColumn("__kept", kept).withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")))
     if emptied == "drop":
-        out = out.filter(F.col("places").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*docs.columns, F.coalesce(F.size("places"), F.lit(0)).alias("n_dropped"))
+        out = out.filter(F.col("__kept").isNull() | F.col("text").rlike(WORD))
+    return out.select(*docs.columns, F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).alias("n_dropped"))
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,22 @@ def test_awkward_rows(spark):
     out = lines.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_dropped"] and out.count() == docs.count()
     rows = out.filter("doc_id = 0").collect()
-    assert len(rows) == 2 and rows[0]["text"] == rows[1]["text"] == TEXTS[0]  # a repeated row is the same document
+    assert len(rows) == 2 and sorted(r["text"] for r in rows) == ["", TEXTS[0]]  # a repeated row is a later document
+    assert sorted(r["n_dropped"] for r in rows) == [0, len(TEXTS[0].split("\n"))]
+    assert lines.dedup_lines(docs, "drop").filter("doc_id = 0").count() == 1
     assert lines.dedup_lines(docs, "drop").filter("doc_id = 6").count() == 0  # a copy of document 0: nothing is left
     assert lines.dedup_lines(empty(spark)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    docs = spark.createDataFrame([(1, "alpha beta\ngamma"), (1, "delta one\ngamma"), (None, "alpha beta\n\nomega"), (None, "alpha beta\n\nomega")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(docs).collect())
+    assert [t for _, t in got if "omega" in t] == ["\nomega"] and sum(t == "" for _, t in got) == 1
+    assert sum(t.count("gamma") for _, t in got) == 1 and sum(t.count("alpha") for _, t in got) == 1 and sum(t.count("delta") for _, t in got) == 1
+
+
+def test_a_text_of_very_many_lines(spark):
+    text = "\n".join(f"line {i % 50000} and {i % 50000 + 3} here" for i in range(100000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = lines.dedup_lines(docs).first()
+    assert row["n_dropped"] == 50000 and row["text"] == "\n".join(text.split("\n")[:50000])
