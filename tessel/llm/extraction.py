@@ -1,8 +1,10 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree of its blocks; inline tags belong to their block and only count as tags and links. What is never
-main text by its tag, role or class (menus, headers, footers, asides, notices, adverts, forms, scripts, styles, reader
-comments) is taken out first. For every block with C characters, T tags, LC characters and LT tags in links the
+main text by its tag or role (menus, headers, footers, asides, forms, scripts, styles) is taken out first. A class or id
+that names such a thing as a whole (``cookieNotice``, ``sidebar-left``, not ``no-sidebar`` or ``social-history``) puts a
+block in doubt; it goes too, unless it holds half of the page's text with its heading or main part, or all of its text.
+For every block with C characters, T tags, LC characters and LT tags in links the
 composite text density is
 
     C / T * log(base = ln(C / nonLC * LC + LC_body / C_body * C + e), C / LC * T / LT)
@@ -44,12 +46,18 @@ DROPPED = {
     "svg", "canvas", "object", "embed", "audio", "video", "map", "noframes", "noembed", "title",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"}
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:is(?:ement|ing))?|adsense|sponsor(?:ed|s)?|promo(?:tion|tions|s)?|banner|nav|navbar|navigation|menu|menus|breadcrumbs?"
-    r"|sidebar|side|aside|widget|widgets|rail|footer|foot|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription"
-    r"|signup|login|search|share|sharing|social|related|recommended|recommendations|comments?|commentlist|respond|replies|disqus|pagination|pager|copyright|legal|disclaimer|skip)(?=$|[\s_-]|\d)",
-    re.I,
+#: Words that name what is no main text, and words that go with them in the name of such an element.
+HINTS = set(
+    "ad ads advert adverts advertise advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "sidebar side aside widget widgets rail footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
+    "signup login search share sharing social related recommended recommendations comment comments commentlist respond replies disqus pagination pager copyright legal disclaimer skip".split()
 )
+BESIDE = set(
+    "site page main top bottom left right global primary secondary sub post posts entry article articles story stories content js c l m u o is box boxes wrap wrapper container inner outer holder "
+    "section block area region panel bar list lists item items link links button buttons icon icons text form title group col column row slot unit zone sticky fixed mobile desktop user reader "
+    "the of to and for your our us media policy info message msg news web".split()
+)
+_WORDS = re.compile(r"[a-z]+|[^a-z0-9\s_-]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What a start tag closes if it is open, up to the nearest of its bounds.
@@ -61,7 +69,7 @@ _CLOSES = {
 
 
 class Block:
-    __slots__ = ("tag", "up", "items", "text", "tags", "links", "link_chars", "chars", "density", "total", "article", "anchors", "last")
+    __slots__ = ("tag", "up", "items", "text", "tags", "links", "link_chars", "chars", "density", "total", "article", "anchors", "last", "doubt", "headed")
 
     def __init__(self, tag: str, up: Block | None):
         self.tag, self.up, self.items, self.text = tag, up, [], None  # items: blocks and anonymous runs of text, in order
@@ -69,6 +77,8 @@ class Block:
         self.anchors = self.last = 0  # links that have text, and the number of the last one
         self.density = self.total = 0.0
         self.article = tag in ("article", "main")
+        self.doubt = False  # its class or id names something that is no main text
+        self.headed = tag in ("main", "h1")  # it holds one of these
 
     def add(self, text: str, link: int) -> None:
         """Text of this block; ``link`` is the number of the link it is in, 0 if none."""
@@ -85,16 +95,23 @@ class Block:
 
 
 def hidden(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether an element is none of the main text by its tag, role, class or id."""
+    """Whether an element is none of the main text by its tag, role or what hides it."""
     if tag in DROPPED or tag == "header" and not in_article:
         return True
     if not rest or tag in ("html", "body", "article", "main"):
         return False
     of = attributes(rest)
-    if of.get("role", "").lower() in ROLES or "hidden" in of or of.get("aria-hidden", "").lower() == "true" or "display:none" in of.get("style", "").replace(" ", "").lower():
-        return True
-    names = f"{of.get('class', '')} {of.get('id', '')}"
-    return len(names) > 1 and bool(_HINT.search(_CAMEL.sub("-", names)))
+    return of.get("role", "").lower() in ROLES or "hidden" in of or of.get("aria-hidden", "").lower() == "true" or "display:none" in of.get("style", "").replace(" ", "").lower()
+
+
+def hinted(rest: str) -> bool:
+    """Whether a whole class or the id names something that is no main text: a hint and words that go with it, nothing else."""
+    of = attributes(rest)
+    for name in f"{of.get('class', '')} {of.get('id', '')}".split():
+        words = _WORDS.findall(_CAMEL.sub("-", name).lower())
+        if any(w in HINTS for w in words) and all(w in HINTS or w in BESIDE for w in words):
+            return True
+    return False
 
 
 def parse(page: str) -> Block:
@@ -137,6 +154,11 @@ def parse(page: str) -> Block:
                 open_.append(name)
                 skip = len(open_)
                 continue
+            doubt = bool(rest) and name not in ("article", "main") and hinted(rest)
+            if inline and doubt:
+                open_.append(name)
+                skip = len(open_)
+                continue
             open_.append(name)
             if inline:
                 at.tags += 1
@@ -145,6 +167,7 @@ def parse(page: str) -> Block:
                     linked, link = linked + 1, link + 1
             else:
                 child = Block(name, at)
+                child.doubt = doubt
                 at.items.append(child)
                 at = child
         elif name in open_:
@@ -169,6 +192,24 @@ def _pop(open_: list[str], i: int, at: Block, skip: int, linked: int) -> tuple[B
     return at, skip, linked
 
 
+def settle_doubts(body: Block) -> None:
+    """Take out the blocks in doubt, but for those that are the page: with half of its text or more and its heading or main part, or all of its text."""
+    order, stack = [], [body]
+    while stack:
+        b = stack.pop()
+        order.append(b)
+        stack += b.items
+    size: dict[int, int] = {}
+    for b in reversed(order):
+        size[id(b)] = len("".join(b.text).strip()) if b.text is not None else sum(size[id(c)] for c in b.items)
+        b.headed = b.headed or any(c.headed for c in b.items)
+    whole, stack = size[id(body)], [body]
+    while stack:
+        b = stack.pop()
+        b.items = [c for c in b.items if not c.doubt or 2 * size[id(c)] >= whole > 0 and (c.headed or size[id(c)] == whole)]
+        stack += b.items
+
+
 def measure(body: Block) -> None:
     """Characters, tags and densities of all blocks; children come before their parents."""
     order, stack = [], [body]
@@ -236,6 +277,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     body = parse(page)
+    settle_doubts(body)
     measure(body)
     return " ".join(main_text(body))
 

@@ -1,3 +1,6 @@
+import math
+from html.parser import HTMLParser
+
 import pytest
 
 from tessel.llm import extraction
@@ -76,3 +79,78 @@ def test_rows(spark):
 
 def test_deep_pages_do_not_recurse():
     assert extract("<div>" * 20000 + "deep" + "</div>" * 20000) == "deep"
+
+
+@pytest.mark.parametrize("name", ["layout no-sidebar", "article has-comments", "page-with-header", "social-history", "sidebar", "comments", "main-content", "header", "navWrapper"])
+def test_wrappers_named_like_boilerplate_stay(name):
+    body = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    assert extract(f'<body><div class="{name}">{body}</div><footer>c</footer></body>').split() == f"Head {LONG * 2}".split()
+    assert extract(f'<body><div id="{name}"><div>{body}</div></div><p>Other <a href=/x>site</a> text</p></body>').startswith(f"Head {LONG * 2}Other")
+
+
+@pytest.mark.parametrize("name", ["comments", "reader-comments", "post_comments", "sidebar-left", "adBox", "ad-300x250", "site-footer", "cookieNotice", "newsletter signup", "related-articles", "mainNav"])
+def test_blocks_named_as_boilerplate_go(name):
+    page = f'<body><div><h1>Head</h1><p>{LONG}</p></div><div class="{name}"><p>{LONG * 3}</p></div></body>'
+    assert extract(page).split() == f"Head {LONG}".split()
+
+
+class Plain(HTMLParser):
+    """A tree of [tag, items, text, tags, links, link characters] for well-formed pages, to compute densities again."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.at = self.body = {"tag": "body", "items": [], "up": None}
+        self.links = 0
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.links += tag == "a"
+        child = {"tag": tag, "items": [], "up": self.at}
+        self.at["items"].append(child)
+        self.at = child
+
+    def handle_endtag(self, tag):
+        self.links -= tag == "a"
+        self.at = self.at["up"]
+
+    def handle_data(self, data):
+        if data.strip():
+            self.at["items"].append({"tag": "", "items": [], "text": " ".join(data.split()), "link": self.links > 0})
+
+    def measures(self, node):
+        """(C, T, LC, LT) of a node."""
+        if node["tag"] == "":
+            n = len(node["text"])
+            return n, 0, n * node["link"], 0
+        c, t, lc, lt = map(sum, zip((0, 0, 0, 0), *map(self.measures, node["items"])))
+        return c, t + len([x for x in node["items"] if x["tag"]]), lc, lt + len([x for x in node["items"] if x["tag"] == "a"])
+
+    def density(self, node):
+        (c, t, lc, lt), (bc, _, blc, _) = self.measures(node), self.measures(self.body)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + blc / max(1, bc) * c + math.e)
+        t, lt, x = max(1, t), max(1, lt), max(1, lc)
+        return c / t * math.log(max(1.0, c / x * t / lt)) / math.log(base) if base > 1 + 1e-9 else c / t
+
+
+def test_densities_and_sums_equal_an_independent_computation():
+    links = "".join(f"<li><a>A link with words {i}</a></li>" for i in range(6))
+    page = f"<div><ul>{links}</ul></div><div><h1>Head</h1><p>{LONG}</p><p>{LONG} <a>more</a></p></div><div><p>{LONG}</p></div>"
+    plain = Plain(page)
+    body = extraction.parse(page)
+    extraction.settle_doubts(body)
+    extraction.measure(body)
+
+    def blocks(node):
+        return [node, *(y for x in node["items"] if x["tag"] and x["tag"] != "a" for y in blocks(x))]
+
+    def tree(block):
+        return [block, *(y for x in block.items if x.tag for y in tree(x))]
+
+    want, got = blocks(plain.body), tree(body)
+    assert [w["tag"] for w in want] == [g.tag for g in got]
+    for w, g in zip(want, got, strict=True):
+        assert g.density == pytest.approx(plain.density(w)), w["tag"]
+        if all(x["tag"] not in ("", "a") for x in w["items"]):
+            assert g.total == pytest.approx(sum(plain.density(x) for x in w["items"]))
