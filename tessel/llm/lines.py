@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessel.llm.words import batches, mix64, slices, word_hashes
 from tessel.session import release, scratch, settle, table
@@ -209,7 +210,7 @@ def dedup_lines(docs: DataFrame, emptied: str = "keep") -> DataFrame:
 
     ``emptied`` says what becomes of documents that had lines with words and have none left: "keep" or "drop".
     """
-    found = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "places")
+    found = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("places").alias("__places"))
     same = F.equal_null(docs["doc_id"], F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__t"))
     # the texts are hashed to the narrow side, not sorted
     joined = docs.join(found.hint("shuffle_hash"), same, "left").withColumn("__again", F.lit(False))
@@ -218,17 +219,28 @@ def dedup_lines(docs: DataFrame, emptied: str = "keep") -> DataFrame:
         named = twice.select(F.col("doc_id").alias("__id2"), F.col("t").alias("__t2"), F.lit(True).alias("__twice"))
         marked = joined.join(named, F.equal_null(docs["doc_id"], F.col("__id2")) & (F.xxhash64(docs["text"]) == F.col("__t2")), "left")
         later = F.row_number().over(W.partitionBy("__id2", "__t2").orderBy(F.lit(1))) > 1
-        again = marked.filter("__twice").withColumn("__again", later)
-        joined = marked.filter("__twice is null").unionByName(again)
-    # array_except hashes its places, so a document of many lines takes time in proportion to them
-    joined = joined.withColumn("__lines", F.when(F.col("places").isNotNull() | F.col("__again"), F.split("text", "\n", -1)))
-    wordless = F.filter("__lines", lambda x: ~x.rlike(WORD))
-    rest = F.expr("transform(array_except(sequence(0, size(__lines) - 1), places), i -> __lines[i])")
-    kept = F.when(F.col("__again"), wordless).when(F.col("places").isNotNull(), rest)
-    out = joined.withColumn("__kept", kept).withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")))
-    if emptied == "drop":
-        out = out.filter(F.col("__kept").isNull() | F.col("text").rlike(WORD))
-    return out.select(*docs.columns, F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).alias("n_dropped"))
+        joined = marked.filter("__twice is null").unionByName(marked.filter("__twice").withColumn("__again", later))
+    schema = StructType([*docs.schema.fields, StructField("n_dropped", IntegerType(), False)])
+    return joined.select(*docs.columns, "__places", "__again").mapInArrow(_take_out(emptied == "drop"), schema)
+
+
+def _take_out(drop: bool):
+    def take_out(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without the lines at ``__places``, or without any line with a word if ``__again``."""
+        for batch, texts in batches(rows):
+            n, stay = [0] * len(texts), [True] * len(texts)
+            for i, (places, again) in enumerate(zip(batch.column("__places").to_pylist(), batch.column("__again").to_pylist(), strict=True)):
+                if places or again:
+                    of = texts[i].split("\n")
+                    gone = set(places or ())
+                    left = [x for p, x in enumerate(of) if p not in gone] if not again else [x for x in of if not x.encode().split()]
+                    n[i], texts[i] = len(of) - len(left), "\n".join(left)
+                    stay[i] = not drop or bool(texts[i].encode().split())
+            names = batch.schema.names[:-2]
+            out = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names] + [pa.array(n, pa.int32())], [*names, "n_dropped"])
+            yield out.filter(pa.array(stay, pa.bool_())) if drop else out
+
+    return take_out
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
