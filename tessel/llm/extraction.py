@@ -57,7 +57,7 @@ BESIDE = set(
     "section block area region panel bar list lists item items link links button buttons icon icons text form title group col column row slot unit zone sticky fixed mobile desktop user reader "
     "the of to and for your our us media policy info message msg news web".split()
 )
-_WORDS = re.compile(r"[a-z]+|[^a-z0-9\s_-]+")
+_WORDS = re.compile(r"(?<![a-z0-9])[0-9]+x[0-9]+(?![a-z0-9])|[a-z]+|[^a-z0-9\s_-]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What a start tag closes if it is open, up to the nearest of its bounds.
@@ -108,7 +108,7 @@ def hinted(rest: str) -> bool:
     """Whether a whole class or the id names something that is no main text: a hint and words that go with it, nothing else."""
     of = attributes(rest)
     for name in f"{of.get('class', '')} {of.get('id', '')}".split():
-        words = _WORDS.findall(_CAMEL.sub("-", name).lower())
+        words = [w for w in _WORDS.findall(_CAMEL.sub("-", name).lower()) if not w[0].isdigit()]
         if any(w in HINTS for w in words) and all(w in HINTS or w in BESIDE for w in words):
             return True
     return False
