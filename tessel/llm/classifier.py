@@ -1,21 +1,26 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams are counted: one of target text (documents labelled good) and one of the raw
-text (all documents). A document's log importance weight is the sum, over its n-grams, of the log ratio of the two. The
-documents to stay are sampled without replacement, with probabilities that follow the weights, by Gumbel top-k: a
-Gumbel variate, hashed from the doc_id, is added to each log weight (over ``TEMPERATURE``) and the k greatest keys stay.
+text (all documents). A document's log importance weight is the mean, over its n-grams and ``SHRINK`` neutral ones, of
+the log ratio of the two: by the n-gram, so that long texts' sums don't drown the draw, and shrunk, so that few n-grams
+say little. The documents to stay are sampled without replacement, with probabilities that follow the weights, by Gumbel
+top-k: a Gumbel variate, hashed from the doc_id, is added to each log weight over ``TEMPERATURE``, and the k greatest
+keys stay. Two documents alike in weight have like chances; one that lies d below another goes first with odds of
+exp(d / ``TEMPERATURE``), which makes junk all but sure to go.
 
 N-grams are single tokens and pairs, tokens being runs of letters, of digits or of other characters; a token equal to
-the one before is written as a mark of repetition, so that stuttering text has a bucket of its own. k is the number of
-all documents whose log weight reaches the bound that best parts good from bad ones in the labelled sample.
+the one before is written as a mark of repetition, so that stuttering text has a bucket of its own. k is a parameter; by
+default it is the number of all documents whose weight isn't ``SPREAD`` deviations below the mean of good examples that
+the model wasn't fitted on. Rows labelled bad play no part.
 
-The labelled sample is bounded by ``SAMPLE`` rows (least hashes first); counts of raw text, weights, k and the cut take
-in all documents. What comes to the driver: ``BUCKETS`` counts, the sample's weights, and histograms of 4096 bins by
+The good examples are bounded by ``SAMPLE`` label rows (least hashes first); counts of raw text, weights, k and the cut
+take in all documents. What comes to the driver: ``BUCKETS`` counts, two moments, and histograms of ``BINS`` bins by
 which the k-th greatest key is closed in on. Documents whose keys tie with it stay.
 
 Cases: a null or empty text has no n-grams and log weight 0; without labelled good documents there is no target, all
-weights are 0 and all documents stay; rows that share a doc_id share its variate; an empty table gives an empty result;
-columns besides doc_id and text are kept by ``select_quality``, whatever their names.
+weights are 0 and all documents stay; a doc_id labelled both ways isn't good; rows that share a doc_id share its variate;
+an empty table gives an empty result; columns besides doc_id and text are kept by ``select_quality``, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,9 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.words import batches, mix64
-from tessel.session import settle, table
+from tessel.session import release, settle, table
 
-BUCKETS, SAMPLE, TEMPERATURE = 1 << 15, 8000, 1.0
+BUCKETS, SAMPLE, TEMPERATURE = 1 << 15, 8000, 0.05
+SHRINK, SPREAD = 20, 4.0
 BINS = 4096
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x00-\x20]+")
 _REPEAT = np.uint64(0x5851F42D4C957F2D)
@@ -73,7 +79,11 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _scorer(ratios: np.ndarray) -> Callable[[str | None], float]:
-    return lambda text: float(ratios[grams(text)].sum())
+    def score(text: str | None) -> float:
+        at = grams(text)
+        return float(ratios[at].sum() / (len(at) + SHRINK))
+
+    return score
 
 
 def gumbel(ids: list) -> np.ndarray:
@@ -82,16 +92,6 @@ def gumbel(ids: list) -> np.ndarray:
     return -np.log(-np.log(((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53))
 
 
-def best_bound(good: np.ndarray, bad: np.ndarray) -> float:
-    """The bound on log weights that best parts good from bad ones: greatest sum of the shares on the right side."""
-    if not len(good) or not len(bad):
-        return -np.inf
-    order = np.sort(np.concatenate([good, bad]))
-    cuts = (order[1:] + order[:-1]) / 2
-    right = 1 - np.searchsorted(np.sort(good), cuts) / len(good) + np.searchsorted(np.sort(bad), cuts) / len(bad)
-    return float(cuts[int(np.argmax(right))])
-
-
 def greatest_cut(keys: DataFrame, k: int) -> float:
     """The k-th greatest of ``keys(key)``, by histograms of ever narrower ranges."""
     if k <= 0:
@@ -117,18 +117,24 @@ def greatest_cut(keys: DataFrame, k: int) -> float:
 
 
 class Resampler:
-    """Models and cut fitted on a corpus and its labels."""
-
-    def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-        chosen = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        labelled = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
-        good, bad = (labelled.filter(F.col("quality") == q) for q in (1, 0))
-        self.ratios = log_ratios(gram_counts(good), gram_counts(docs))
-        weights = {q: np.array([r["log_weight"] for r in self._weigh(d).select("log_weight").collect()]) for q, d in ((1, good), (0, bad))}
-        self.bound = best_bound(weights[1], weights[0])
+    """Models and cut fitted on a corpus and its labels; ``k`` documents stay."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = SAMPLE):
+        of = docs.schema["doc_id"].dataType.simpleString()
+        by = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast(of).alias("doc_id")).agg(F.min("quality").alias("quality"))
+        chosen = settle(by.filter("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "good-labels")  # rows of bounded number
+        good = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "good-examples")
+        fitted = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)) == 0
+        self.ratios = log_ratios(gram_counts(good.filter(fitted)), gram_counts(docs))
         self.scored = settle(self._weigh(docs), "weights")
-        self.k = self.scored.filter(F.col("log_weight") >= float(self.bound)).count() if np.isfinite(self.bound) else self.scored.count()
+        self.k = self._count(self._weigh(good.filter(~fitted))) if k is None else k
         self.cut = float(greatest_cut(self.scored.select("key"), self.k))
+        release(chosen, good)
+
+    def _count(self, held_back: DataFrame) -> int:
+        """Documents within ``SPREAD`` deviations of the good examples' mean, or above; all without such examples."""
+        mean, dev = held_back.agg(F.avg("log_weight"), F.stddev_pop("log_weight")).first()
+        return self.scored.count() if mean is None else self.scored.filter(F.col("log_weight") >= mean - SPREAD * dev).count()
 
     def _weigh(self, docs: DataFrame) -> DataFrame:
         of, score = docs.schema["doc_id"].dataType.simpleString(), _scorer(self.ratios)
