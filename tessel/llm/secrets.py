@@ -9,11 +9,20 @@ base32, base62 or base64); over that alphabet's code values three tests of rando
 * runs above and below the alphabet's middle (Wald-Wolfowitz);
 * serial correlation at lag 1.
 
-The smallest of the three p-values, times three, must be ``LEAST_RANDOM`` or more: the token looks random. The other
-side is controlled too: the p-value of a token being ordinary text is the Chernoff bound on its changes of character
-class, with changes at ``TEXT_CHANGE`` of the places. Benjamini-Hochberg at ``FDR`` runs over these within bands of
-length, since short tokens are many and weak evidence and mustn't dilute long ones. P-values are binned on a log scale
-and rounded up, so that the procedure needs the counts of some hundred bins rather than a sort of all candidates.
+Each is held against two hypotheses. Under randomness, the smallest of the three p-values, times three, must be
+``LEAST_RANDOM`` or more: the token may be random. Under ordinary text, which is what a discovery has to refute,
+
+* two characters are equal with the chance ``MATCH`` of the encoding, so chi-squared is noncentral, and a low one speaks
+  against text;
+* the class of character (lower, upper, digit, other) changes at ``TEXT_CHANGE`` of the places, so many runs of classes
+  speak against text (Chernoff's bound);
+* neighbours' codes correlate by ``TEXT_SERIAL``, as classes cluster, so a low correlation speaks against text.
+
+Runs and correlation both look at the order of characters: their evidence is twice the lesser p-value. Chi-squared looks
+at the counts only; Fisher's method combines it with the order's into the token's p-value of being text.
+Benjamini-Hochberg at ``FDR`` runs over these within bands of length, since short tokens are many and weak evidence and
+mustn't dilute long ones. P-values are binned on a log scale and rounded up, so that the procedure needs the counts of
+some hundred bins rather than a sort of all candidates. All values take time in proportion to a token's length.
 
 Cases: a null text is taken as empty; repeated rows are scanned each by itself; an empty table gives an empty result;
 columns besides doc_id and text are ignored, whatever their names.
@@ -37,7 +46,9 @@ RUN = r"[A-Za-z0-9+/_-]"
 MIXED = r"[0-9]|[a-z][A-Z]"
 TOKEN = rf"(?<!{RUN})(?={RUN}*(?:{MIXED})){RUN}{{20,}}"
 KINDS = ("assign", "access", "hex", "random")
-LEAST_RANDOM, TEXT_CHANGE, FDR = 0.01, 0.2, 0.05
+LEAST_RANDOM, TEXT_CHANGE, TEXT_SERIAL, FDR = 0.01, 0.2, 0.2, 0.05
+#: Chance that two characters of ordinary text are equal: digits for hex, letters of one case, letters of mixed case.
+MATCH = {"hex": 0.1, "HEX": 0.1, "base32": 0.065, "base62": 0.055, "base64": 0.055}
 #: Length bands end below these.
 BANDS = (32, 48, 96)
 #: Alphabets in order of their code values.
@@ -71,38 +82,52 @@ def spans_of(text: str, pattern: str, group: int = 0) -> Column:
 
 def _q(z: str) -> str:
     """Upper tail of the normal distribution, logistic approximation with a cubic term."""
-    return f"(1.0D / (1.0D + exp(1.5976D * ({z}) + 0.070565D * pow({z}, 3.0D))))"
+    z = f"least(20.0D, greatest(-20.0D, {z}))"
+    return f"(1.0D / (1.0D + exp(1.5976D * {z} + 0.070565D * pow({z}, 3.0D))))"
+
+
+def _by_encoding(of: str, values: dict[str, object]) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN '{e}' THEN {v}" for e, v in values.items()) + " END"
 
 
+SIZES = {"hex": 16, "HEX": 16, "base32": 32, "base62": 62, "base64": 64}
+ALPHABET = _by_encoding("x.encoding", {"hex": f"'{HEX_LOWER}'", "HEX": f"'{HEX_UPPER}'", "base32": f"'{BASE32}'", "base62": f"'{BASE64}'", "base64": f"'{BASE64}'"})
+#: Places between characters of different classes.
+CHANGES = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
+_PAIRS = "zip_with(slice(x.codes, 1, x.n - 1), slice(x.codes, 2, x.n - 1), (a, b) -> {})"
 #: Named values of the battery by stage; a stage may use those before it (as fields of x).
 STAGES = (
+    {"k": _by_encoding("x.encoding", SIZES), "n": "length(x.token)", "plain": "translate(x.token, '-_', '+/')", "match": _by_encoding("x.encoding", {e: f"{m}D" for e, m in MATCH.items()})},
     {
-        "k": "CASE x.encoding WHEN 'hex' THEN 16 WHEN 'HEX' THEN 16 WHEN 'base32' THEN 32 WHEN 'base62' THEN 62 ELSE 64 END",
-        "n": "length(x.token)",
-        "codes": f"transform(sequence(1, length(x.token)), i -> instr(CASE x.encoding WHEN 'hex' THEN '{HEX_LOWER}' WHEN 'HEX' THEN '{HEX_UPPER}' WHEN 'base32' THEN '{BASE32}' ELSE '{BASE64}' END, translate(substring(x.token, i, 1), '-_', '+/')) - 1)",
-        "classes": "transform(sequence(1, length(x.token)), i -> CASE WHEN substring(x.token, i, 1) BETWEEN 'a' AND 'z' THEN 1 WHEN substring(x.token, i, 1) BETWEEN 'A' AND 'Z' THEN 2 WHEN substring(x.token, i, 1) BETWEEN '0' AND '9' THEN 3 ELSE 4 END)",
+        "codes": f"transform(split(x.plain, ''), c -> instr({ALPHABET}, c) - 1)",
+        "squares": f"aggregate(split({ALPHABET}, ''), 0L, (a, c) -> a + cast(pow(x.n - length(replace(x.plain, c, '')), 2) AS bigint))",
+        "rate": f"regexp_count(x.plain, {_lit(CHANGES)}) / cast(x.n - 1 AS double)",
     },
     {
-        "squares": "aggregate(array_distinct(x.codes), 0L, (a, c) -> a + cast(pow(size(filter(x.codes, d -> d = c)), 2) AS bigint))",
         "high": "size(filter(x.codes, c -> 2 * c >= x.k))",
-        "runs": "1 + size(filter(sequence(1, x.n - 1), i -> (2 * x.codes[i] >= x.k) <> (2 * x.codes[i - 1] >= x.k)))",
-        "rate": "size(filter(sequence(1, x.n - 1), i -> x.classes[i] <> x.classes[i - 1])) / cast(x.n - 1 AS double)",
+        "runs": f"1 + size(filter({_PAIRS.format('(2 * a >= x.k) <> (2 * b >= x.k)')}, d -> d))",
         "mean": "aggregate(x.codes, 0L, (a, c) -> a + c) / cast(x.n AS double)",
+        "chi": "cast(x.k AS double) / x.n * x.squares - x.n",
+        "off": "x.k * x.match - 1.0D",
     },
     {
         "ss": "aggregate(x.codes, 0.0D, (a, c) -> a + (c - x.mean) * (c - x.mean))",
-        "lag": "aggregate(sequence(1, x.n - 1), 0.0D, (a, i) -> a + (x.codes[i] - x.mean) * (x.codes[i - 1] - x.mean))",
+        "lag": f"aggregate({_PAIRS.format('(b - x.mean) * (a - x.mean)')}, 0.0D, (a, d) -> a + d)",
         "mu": "2.0D * x.high * (x.n - x.high) / x.n + 1.0D",
     },
     {
-        "z_chi": "(cast(x.k AS double) / x.n * x.squares - x.n - (x.k - 1)) / sqrt(2.0D * (x.k - 1) * (1.0D - 1.0D / x.n))",
+        "z_chi": "(x.chi - (x.k - 1)) / sqrt(2.0D * (x.k - 1) * (1.0D - 1.0D / x.n))",
         "z_runs": "CASE WHEN x.mu <= 2.0D THEN 0.0D ELSE abs(x.runs - x.mu) / sqrt((x.mu - 1.0D) * (x.mu - 2.0D) / (x.n - 1)) END",
         "z_serial": "CASE WHEN x.ss = 0.0D THEN sqrt(cast(x.n AS double)) ELSE abs(x.lag / x.ss + 1.0D / x.n) * sqrt(cast(x.n AS double)) END",
+        "t_chi": "(x.chi - (x.k - 1) - x.n * x.off) / sqrt(2.0D * (x.k - 1) + 4.0D * x.n * x.off)",
+        "t_serial": f"CASE WHEN x.ss = 0.0D THEN 20.0D ELSE (x.lag / x.ss - {TEXT_SERIAL}D) * sqrt(cast(x.n AS double)) END",
+        "p_runs": f"CASE WHEN x.rate <= {TEXT_CHANGE}D THEN 1.0D WHEN x.rate >= 1.0D THEN exp((x.n - 1) * ln({TEXT_CHANGE}D)) ELSE exp(-(x.n - 1) * (x.rate * ln(x.rate / {TEXT_CHANGE}D) + (1.0D - x.rate) * ln((1.0D - x.rate) / (1.0D - {TEXT_CHANGE}D)))) END",
     },
     {
         "p_random": f"least(1.0D, 3.0D * least({_q('x.z_chi')}, 2.0D * {_q('x.z_runs')}, 2.0D * {_q('x.z_serial')}))",
-        "p_text": f"CASE WHEN x.rate <= {TEXT_CHANGE}D THEN 1.0D WHEN x.rate >= 1.0D THEN exp((x.n - 1) * ln({TEXT_CHANGE}D)) ELSE exp(-(x.n - 1) * (x.rate * ln(x.rate / {TEXT_CHANGE}D) + (1.0D - x.rate) * ln((1.0D - x.rate) / (1.0D - {TEXT_CHANGE}D)))) END",
+        "q": f"greatest({_q('-x.t_chi')} * least(1.0D, 2.0D * least(x.p_runs, {_q('-x.t_serial')})), 1e-300D)",
     },
+    {"p_text": "x.q * (1.0D - ln(x.q))"},
     {
         "band": "CASE " + " ".join(f"WHEN x.n < {b} THEN {i}" for i, b in enumerate(BANDS)) + f" ELSE {len(BANDS)} END",
         "bin": "cast(floor(-10.0D * ln(greatest(x.p_text, 1e-300D))) AS int)",
@@ -174,7 +199,8 @@ def _duck_spans(pattern: str, kind: int, keep: str = "true", group: int = 0) ->
         FROM d WHERE regexp_matches(text, {p}))) WHERE {keep.replace('token', 'g')}"""
 
 
-_P = lambda z: f"(1.0 / (1.0 + exp(1.5976 * ({z}) + 0.070565 * pow({z}, 3))))"
+_Z = "least(20.0, greatest(-20.0, {z}))::DOUBLE"
+_P = lambda z: f"(1.0 / (1.0 + exp(1.5976 * {_Z.format(z=z)} + 0.070565 * pow({_Z.format(z=z)}, 3))))"
 #: DuckDB SQL of ``scan_secrets``.
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -185,7 +211,7 @@ base AS (
 tok AS (SELECT * FROM ({_duck_spans(RUN + "{20,}", 3, f"regexp_matches(token, '{MIXED}')")}) t
         WHERE NOT EXISTS (FROM base b WHERE b.r = t.r AND b.s < t.e AND t.s < b.e)),
 v1 AS (SELECT *, CASE WHEN regexp_matches(token, '^[0-9a-f]+$') THEN 'hex' WHEN regexp_matches(token, '^[0-9A-F]+$') THEN 'HEX' WHEN regexp_matches(token, '^[A-Z2-7]+$') THEN 'base32' WHEN regexp_matches(token, '^[A-Za-z0-9]+$') THEN 'base62' ELSE 'base64' END AS enc, length(token) AS n FROM tok),
-v2 AS (SELECT *, CASE enc WHEN 'hex' THEN 16 WHEN 'HEX' THEN 16 WHEN 'base32' THEN 32 WHEN 'base62' THEN 62 ELSE 64 END AS kk,
+v2 AS (SELECT *, {_by_encoding("enc", SIZES)} AS kk, ({_by_encoding("enc", MATCH)})::DOUBLE AS match,
   list_transform(generate_series(1, n), lambda i: instr(CASE enc WHEN 'hex' THEN '{HEX_LOWER}' WHEN 'HEX' THEN '{HEX_UPPER}' WHEN 'base32' THEN '{BASE32}' ELSE '{BASE64}' END, translate(token[i], '-_', '+/')) - 1) AS codes,
   list_transform(generate_series(1, n), lambda i: CASE WHEN token[i] BETWEEN 'a' AND 'z' THEN 1 WHEN token[i] BETWEEN 'A' AND 'Z' THEN 2 WHEN token[i] BETWEEN '0' AND '9' THEN 3 ELSE 4 END) AS cls FROM v1),
 v3 AS (SELECT *, list_sum(list_transform(list_distinct(codes), lambda c: len(list_filter(codes, lambda x: x = c)) ** 2)) AS squares,
@@ -196,11 +222,14 @@ v4 AS (SELECT *, list_sum(list_transform(codes, lambda c: (c - mean) * (c - mean
   list_sum(list_transform(generate_series(2, n), lambda i: (codes[i] - mean) * (codes[i - 1] - mean))) AS lag, 2.0::DOUBLE * high * (n - high) / n + 1.0 AS mu FROM v3),
 v5 AS (SELECT *, (kk::DOUBLE / n * squares - n - (kk - 1)) / sqrt(2.0::DOUBLE * (kk - 1) * (1.0 - 1.0::DOUBLE / n)) AS z1,
   CASE WHEN mu <= 2.0 THEN 0.0 ELSE abs(runs - mu) / sqrt((mu - 1.0) * (mu - 2.0) / (n - 1)) END::DOUBLE AS z2,
-  CASE WHEN ss = 0.0 THEN sqrt(n::DOUBLE) ELSE abs(lag / ss + 1.0 / n::DOUBLE) * sqrt(n::DOUBLE) END AS z3 FROM v4),
+  CASE WHEN ss = 0.0 THEN sqrt(n::DOUBLE) ELSE abs(lag / ss + 1.0 / n::DOUBLE) * sqrt(n::DOUBLE) END AS z3,
+  (kk::DOUBLE / n * squares - n - (kk - 1) - n * (kk * match - 1.0)) / sqrt(2.0::DOUBLE * (kk - 1) + 4.0 * n * (kk * match - 1.0)) AS t1,
+  CASE WHEN ss = 0.0 THEN 20.0 ELSE (lag / ss - {TEXT_SERIAL}) * sqrt(n::DOUBLE) END::DOUBLE AS t3,
+  CASE WHEN rate <= {TEXT_CHANGE} THEN 1.0 WHEN rate >= 1.0 THEN exp((n - 1) * ln({TEXT_CHANGE}::DOUBLE)) ELSE exp(-(n - 1) * (rate * ln(rate / {TEXT_CHANGE}::DOUBLE) + (1.0 - rate) * ln((1.0 - rate) / (1.0 - {TEXT_CHANGE}::DOUBLE)))) END::DOUBLE AS p_runs FROM v4),
 v6 AS (SELECT *, least(1.0, 3.0 * least({_P("z1")}, 2.0 * {_P("z2")}, 2.0 * {_P("z3")})) AS p_random,
-  CASE WHEN rate <= {TEXT_CHANGE} THEN 1.0 WHEN rate >= 1.0 THEN exp((n - 1) * ln({TEXT_CHANGE}::DOUBLE)) ELSE exp(-(n - 1) * (rate * ln(rate / {TEXT_CHANGE}::DOUBLE) + (1.0 - rate) * ln((1.0 - rate) / (1.0 - {TEXT_CHANGE}::DOUBLE)))) END::DOUBLE AS p_text,
+  greatest({_P("-t1")} * least(1.0, 2.0 * least(p_runs, {_P("-t3")})), 1e-300)::DOUBLE AS q,
   CASE {" ".join(f"WHEN n < {b} THEN {i}" for i, b in enumerate(BANDS))} ELSE {len(BANDS)} END AS band FROM v5),
-v7 AS (SELECT *, floor(-10.0 * ln(greatest(p_text, 1e-300)))::INT AS bin FROM v6),
+v7 AS (SELECT *, floor(-10.0 * ln(greatest(q * (1.0 - ln(q)), 1e-300)))::INT AS bin FROM v6),
 c AS (SELECT band, bin, count(*) AS n FROM v7 GROUP BY ALL),
 bh AS (SELECT band, min(bin) AS least FROM (SELECT band, bin, exp(-bin / 10.0) <= {FDR} * sum(n) OVER (PARTITION BY band ORDER BY bin DESC) / sum(n) OVER (PARTITION BY band) AS ok FROM c) WHERE ok GROUP BY band),
 spans AS (SELECT r, k, s, e FROM base UNION ALL SELECT r, k, s, e FROM v7 JOIN bh USING (band) WHERE bin >= least AND p_random >= {LEAST_RANDOM}),
