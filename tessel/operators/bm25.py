@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessel.functions.text import tokenize
+from tessel.session import settle
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 EMPTY = "__empty__"
@@ -23,9 +24,14 @@ def tokens_or_empty(text: Column) -> Column:
 
 
 def term_stats(corpus: DataFrame) -> DataFrame:
-    """``corpus(doc_id, tokens)`` to (term, df, cf, idf), idf with its floor."""
-    counted = corpus.select(F.explode("tokens").alias("term"), "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """``corpus(doc_id, tokens)`` to (term, df, cf, idf), idf with its floor.
+
+    Both counts go by term alone, so they combine before they move: what is shuffled is a row per term and task.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    counted = corpus.select(F.explode(F.array_distinct("tokens")).alias("term"), one.alias("df"), none.alias("cf"))
+    counted = counted.unionByName(corpus.select(F.explode("tokens").alias("term"), none.alias("df"), one.alias("cf")))
+    stats = settle(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), "term-counts")
     n = corpus.agg(F.count("*").alias("n"))
     raw = stats.join(F.broadcast(n)).select("term", "df", "cf", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -35,15 +41,17 @@ def term_stats(corpus: DataFrame) -> DataFrame:
 def score(corpus: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Scores (query_id, doc_id, score) of ``queries(query_id, tokens)`` against ``corpus(doc_id, tokens)``.
 
-    Only postings of query terms are kept, so rows grow with matches rather than with the corpus's tokens.
+    Only postings of query terms are kept, so rows grow with matches rather than with the corpus's tokens. What is about
+    query terms is settled first: with its true size Spark sends it to the postings if it is small, and else not.
     """
-    wanted = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    stats = term_stats(corpus).select("term", "idf").join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = settle(queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "query-terms")
+    terms = settle(wanted.select("term").distinct(), "terms")
+    stats = settle(term_stats(corpus).select("term", "idf").join(terms, "term", "left_semi"), "query-idf")
     average = corpus.agg(F.avg(F.size("tokens")).alias("avgdl"))
     ranked = corpus if allowed is None else corpus.join(allowed, "doc_id", "left_semi")
     postings = (
         ranked.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+        .join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     )
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return (

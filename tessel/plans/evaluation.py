@@ -26,10 +26,8 @@ m AS (SELECT *, CASE WHEN len(want) > 0 THEN len(list_filter(want, lambda x: lis
 def judged(spark, sf_dir) -> DataFrame:
     """(query_id, category, want, got): expected documents and the first five found."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    # the passages are the small side, sized by their file; every document is read once
-    want = docs.join(F.broadcast(items), F.contains("doc_text", "text")).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("want"))
-    found = bm25.ranked(bm25.score(R.corpus(spark, sf_dir), R.questions(spark, sf_dir)), 5)
+    want = R.passage_hits(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("want"))
+    found = bm25.ranked(R.scores(spark, sf_dir), 5)
     got = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("got"))
     none = F.array().cast("array<bigint>")
     category = F.when(F.length("text") % 2 == 0, "simple").otherwise("complex")
@@ -73,7 +71,7 @@ t AS (SELECT i / 20.0::DOUBLE AS threshold FROM range(0, 21) r(i))"""
 def threshold_sweep(spark, sf_dir):
     x = R.pool(spark, sf_dir).groupBy("query_id").agg(F.max("sigma").alias("x"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    real = table(spark, sf_dir, "documents").select(F.col("text").alias("doc_text")).join(F.broadcast(items), F.contains("doc_text", "text")).select("query_id").distinct().withColumn("real", F.lit(True))
+    real = R.passage_hits(spark, sf_dir).select("query_id").distinct().withColumn("real", F.lit(True))
     rows = settle(items.select("query_id").join(x, "query_id", "left").join(real, "query_id", "left").select(F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("real", F.lit(False)).alias("real")), "sweep")
     grid = spark.range(21).select((F.col("id") / 20.0).alias("threshold"))
     low = F.col("x") < F.col("threshold")

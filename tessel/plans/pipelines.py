@@ -107,9 +107,8 @@ def hits_with_fallback_text(spark, sf_dir):
 )
 def judged_pool(spark, sf_dir):
     """Expected documents and hits, each once, with the first place it came from (0: expected)."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    want = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text")).join(F.broadcast(items), F.contains("doc_text", "text")).select("query_id", "doc_id", F.lit(0).alias("o"))
-    hits = bm25.ranked(bm25.score(R.corpus(spark, sf_dir), R.questions(spark, sf_dir)), 5).select("query_id", "doc_id", F.col("rank").alias("o"))
+    want = R.passage_hits(spark, sf_dir).select("query_id", "doc_id", F.lit(0).alias("o"))
+    hits = bm25.ranked(R.scores(spark, sf_dir), 5).select("query_id", "doc_id", F.col("rank").alias("o"))
     return want.unionByName(hits).groupBy("query_id", "doc_id").agg(F.min("o").alias("origin"))
 
 

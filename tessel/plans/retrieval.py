@@ -42,10 +42,38 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(bm25.corpus_of(table(spark, sf_dir, "documents")), "tokens")
 
 
+def scores(spark: SparkSession, sf_dir: str, allowed: DataFrame | None = None) -> DataFrame:
+    """BM25 scores of all benchmark items, settled, so that a query which ranks them twice scores once."""
+    return settle(bm25.score(corpus(spark, sf_dir), questions(spark, sf_dir), allowed), "bm25-scores")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.queries_of(table(spark, sf_dir, "benchmark"), "text", "item_id")
 
 
+def passage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id) of the documents whose text holds a benchmark item's text, linear in both.
+
+    Words within a passage, its first and last one aside, are whole words of any text that holds it. So the hash of four
+    of them finds the documents, and the text decides. Passages of fewer words are compared with all documents.
+    """
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
+    fours = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 2), F.slice(p, 3, F.size(p) - 2), lambda a, b: F.xxhash64(a, b))
+    # as a lambda's argument an array is computed once
+    keys = lambda c: F.transform(F.transform(F.array(F.split(c, r"\s+")), pairs), fours)[0]
+    long = lambda c, n: F.size(F.split(c, r"\s+")) >= n
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    items = settle(items.withColumn("key", F.when(long("passage", 6), keys("passage")[1])), "passages")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    each = docs.filter(long("text", 4)).select("doc_id", F.explode(keys("text")).alias("key"))
+    found = settle(each.join(items.filter("key is not null").select("key", "query_id"), "key").select("doc_id", "query_id").distinct(), "passage-candidates")
+    held = found.join(docs, "doc_id").join(items, "query_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = items.filter("key is null")
+    if short.isEmpty():
+        return held
+    return held.unionByName(docs.join(short, F.contains("text", "passage")).select("query_id", "doc_id"))
+
+
 def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
@@ -115,12 +143,15 @@ def l2_normalize_q(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(v), 6).alias("norm"), F.round(l2_normalize(v)[0], 6).alias("first_value"))
 
 
-def legs(spark, sf_dir, k: int = 30, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The first k by vectors and by BM25 of each benchmark item; item i's query vector is vector i, document i has vector i."""
+def legs(spark, sf_dir, k: int = 30, allowed: DataFrame | None = None, scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first k by vectors and by BM25 of each benchmark item; item i's query vector is vector i, document i has vector i.
+
+    ``scored``: BM25 scores, if the caller has them.
+    """
     v = vectors_of(spark, sf_dir)
     asked = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
     base = v if allowed is None else v.join(allowed.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    lexical = bm25.ranked(bm25.score(corpus(spark, sf_dir), questions(spark, sf_dir), allowed), k)
+    lexical = bm25.ranked(scores(spark, sf_dir, allowed) if scored is None else scored, k)
     return vectors.top_k(asked, base, k), lexical
 
 
@@ -152,8 +183,8 @@ def top1_evidence(spark, sf_dir):
     return _evidence(spark, sf_dir).select("query_id", F.round("vec_top", 6).alias("vec_top"), F.round("bm25_top", 6).alias("bm25_top"))
 
 
-def _evidence(spark, sf_dir) -> DataFrame:
-    v, b = legs(spark, sf_dir)
+def _evidence(spark, sf_dir, scored: DataFrame | None = None) -> DataFrame:
+    v, b = legs(spark, sf_dir, scored=scored)
     ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     tops = [x.groupBy("query_id").agg(F.max("score").alias(n)) for x, n in ((v, "vec_top"), (b, "bm25_top"))]
     return ids.join(tops[0], "query_id", "left").join(tops[1], "query_id", "left").fillna(0.0, ["vec_top", "bm25_top"])
@@ -166,12 +197,12 @@ w AS (SELECT pool.*, {_DUCK_WORDS.format(c='benchmark.text')} AS qw, {_DUCK_WORD
 sg AS (SELECT query_id, doc_id, score, len(list_intersect(qw, dw)) / greatest(len(qw), 1)::DOUBLE AS sigma FROM w)"""
 
 
-def pool(spark, sf_dir, k: int = 20) -> DataFrame:
-    """(query_id, doc_id, score, sigma): the first k by BM25 with the stand-in reranker's score."""
-    found = bm25.ranked(bm25.score(corpus(spark, sf_dir), questions(spark, sf_dir)), k)
+def pool(spark, sf_dir, k: int = 20, scored: DataFrame | None = None, rerank=T.overlap) -> DataFrame:
+    """(query_id, doc_id, score, sigma): the first k by BM25 with the reranker's score; ``rerank`` maps query and text to it."""
+    found = settle(bm25.ranked(scores(spark, sf_dir) if scored is None else scored, k), "candidates")  # k rows a query
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return found.join(asked, "query_id").join(docs, "doc_id").select("query_id", "doc_id", "score", T.overlap(F.col("query"), F.col("text")).alias("sigma"))
+    return found.join(asked, "query_id").join(docs, "doc_id").select("query_id", "doc_id", "score", rerank(F.col("query"), F.col("text")).alias("sigma"))
 
 
 @query(
@@ -226,9 +257,10 @@ _DUCK_CJK = r"coalesce(length(regexp_replace({c}, '[^一-鿿㐀-䶿]', '', 'g'))
         SELECT query_id, round(p, 6) AS p_answerable, p < 0.4 AS rejected, format('p_answerable={{:.3f}}', p) AS reason FROM z""",
 )
 def calibrated_gate(spark, sf_dir):
-    sigma = pool(spark, sf_dir).groupBy("query_id").agg(F.max("sigma").alias("x"))
+    scored = scores(spark, sf_dir)
+    sigma = pool(spark, sf_dir, scored=scored).groupBy("query_id").agg(F.max("sigma").alias("x"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    rows = asked.join(_evidence(spark, sf_dir), "query_id").join(sigma, "query_id", "left")
+    rows = asked.join(_evidence(spark, sf_dir, scored), "query_id").join(sigma, "query_id", "left")
     p = fusion.p_answerable(F.coalesce("x", F.lit(0.0)), F.col("bm25_top"), F.col("vec_top"), T.names_code(F.col("text")), T.cjk_dominant(F.col("text")))
     return rows.withColumn("p", p).select("query_id", F.round("p", 6).alias("p_answerable"), (F.col("p") < fusion.REJECT_BELOW).alias("rejected"), F.format_string("p_answerable=%.3f", "p").alias("reason"))
 
