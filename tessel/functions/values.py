@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The pattern of a course code.
 CODE = r"^([A-Z]{2,4})\s?([0-9]{4}[A-Z]?)$"
 
 
@@ -71,12 +72,14 @@ def xml_attribute(c: Column) -> Column:
 
 def looks_complete(c: Column) -> Column:
     """6 to 140 characters and no dangling function word or comma at the end."""
+    # fixed values: words and marks that a complete text doesn't end with
     dangling = r"(?i)(?:(?:^|[^A-Za-z0-9_])(?:of|for|the|and|or|on|to|with|a|an|in)\s*$|(?:如何|与|和)\s*$|[,、，:：]\s*$)"
     return F.length(c).between(6, 140) & ~c.rlike(dangling)
 
 
 def redact(c: Column, domains: tuple[str, ...] = ("campus.example.edu",)) -> Column:
     """First pass over personal data: addresses of the given domains, US phones, profile links, in that order."""
+    # fixed values: the patterns of addresses, phones and profile links, in this order
     hosts = "|".join(d.replace(".", r"\.") for d in domains)
     c = F.regexp_replace(c, rf"\b[A-Za-z][A-Za-z0-9._%+-]*@(?:{hosts})\b", "[EMAIL]")
     c = F.regexp_replace(c, r"(?:\+?1[-. \t\n]?)?\(?[0-9]{3}\)?[-. \t\n]?[0-9]{3}[-. \t\n]?[0-9]{4}\b", "[PHONE]")

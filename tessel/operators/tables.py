@@ -37,6 +37,27 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: lis
     return old.unionByName(first.join(old, keys, "left_anti").select(*old.columns))
 
 
+def insert_strict(old: DataFrame, new: DataFrame, key: str, fixed: dict[str, Column]) -> DataFrame:
+    """``old`` and those of ``new`` whose key isn't taken, with ``fixed`` values; ``error`` at old rows whose key was asked for again."""
+    again = new.select(key, F.lit("duplicate key").alias("error")).dropDuplicates([key])
+    added = new.withColumns(fixed).join(old, key, "left_anti").select(*old.columns, F.lit(None).cast("string").alias("error"))
+    return old.join(again, key, "left").select(*old.columns, "error").unionByName(added)
+
+
+def update_any(rows: DataFrame, wanted: DataFrame, key: str, column: str) -> DataFrame:
+    """``rows(key, column)`` after ``wanted(key, to_<column>)``, from any value to any other; unknown keys have an ``error``."""
+    both = rows.withColumn("__old", F.lit(True)).join(wanted, key, "full")
+    known = F.col("__old").isNotNull()
+    return both.select(key, F.when(known, F.coalesce(f"to_{column}", column)).alias(column), F.when(~known, "unknown id").alias("error"))
+
+
+def add_vectors(old: DataFrame, new: DataFrame, dim: int) -> DataFrame:
+    """``old(id, vec)`` and ``new``, whose rows of another length or a taken id have an ``error`` and don't count as added."""
+    taken = old.select("id", F.lit(True).alias("__taken")).distinct()
+    fault = F.when(F.size("vec") != dim, "dimension").when(F.col("__taken"), "duplicate id")
+    return old.select("id", "vec", F.lit(None).cast("string").alias("error")).unionByName(new.join(taken, "id", "left").select("id", "vec", fault.alias("error")))
+
+
 def transition(rows: DataFrame, wanted: DataFrame, key: str, allowed: dict[str, str]) -> DataFrame:
     """``rows(key, status)`` after ``wanted(key, to_status)``, with ``error`` where a status doesn't allow it.
 

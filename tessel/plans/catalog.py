@@ -108,19 +108,24 @@ def alias_resolve(spark, sf_dir):
     return asked.withColumn("term", T.ascii_fold(F.col("c"))).join(lookup(spark, sf_dir), "term").groupBy("query_id", "course_id").agg(F.min("pos").alias("pos"))
 
 
+FILTERS = {
+    "lang": lambda v: F.col("lang") == v, "source": lambda v: F.col("source") == v, "source_prefix": lambda v: F.col("source").ilike(v + "%"), "min_chars": lambda v: F.col("n_chars") >= v,
+    "max_chars": lambda v: F.col("n_chars") <= v, "named": lambda v: F.col("source").ilike(f"%{v}%"),
+}
+
+
+def hard_filters(rows, given: dict):
+    """``rows`` that meet all filters given; one given as null equals nothing. All reach the scan."""
+    for k, v in given.items():
+        rows = rows.filter(F.lit(False) if v is None else FILTERS[k](v))
+    return rows
+
+
 @query("hard_filter", "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' AND source ILIKE 'src1%' AND n_chars BETWEEN 200 AND 2000")
 def hard_filter(spark, sf_dir):
     """Only filters that are given become predicates; all reach the scan."""
-    given = {"lang": "en", "source_prefix": "src1", "min_chars": 200, "max_chars": 2000, "professor": None}
-    made = {
-        "lang": lambda v: F.col("lang") == v, "source_prefix": lambda v: F.col("source").ilike(v + "%"), "min_chars": lambda v: F.col("n_chars") >= v,
-        "max_chars": lambda v: F.col("n_chars") <= v, "professor": lambda v: F.col("source").ilike(f"%{v}%"),
-    }
-    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    for k, v in given.items():
-        if v is not None:
-            df = df.filter(made[k](v))
-    return df
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return hard_filters(rows, {"lang": "en", "source_prefix": "src1", "min_chars": 200, "max_chars": 2000})
 
 
 @query("json_filter", "SELECT event_id, (props->>'$.k')::INT AS k FROM events WHERE (props->>'$.k')::INT >= 5")
