@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.html import attributes, tokens
 from tessel.llm.words import batches, slices
-from tessel.session import settle, table
+from tessel.session import release, settle, table
 
 WIDTH = 64
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "media", "embed": "media"}
@@ -83,15 +83,16 @@ def interleave(page: str | None) -> list[dict]:
     return out
 
 
-def parse_interleaved(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, html) to (key, sequence)."""
-    of = pages.schema[key].dataType.simpleString()
+def parse_interleaved(pages: DataFrame, *keys: str) -> DataFrame:
+    """(keys, html) to (keys, sequence)."""
+    keys = keys or ("doc_id",)
+    of = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys)
 
     def parse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(rows, "html"):
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([interleave(t) for t in texts], _SEQUENCE)], [key, "sequence"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([interleave(t) for t in texts], _SEQUENCE)], [*keys, "sequence"])
 
-    return pages.select(key, "html").mapInArrow(parse, f"{key} {of}, sequence {SEQUENCE}")
+    return pages.select(*keys, "html").mapInArrow(parse, f"{of}, sequence {SEQUENCE}")
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
@@ -132,22 +133,36 @@ def feature(samples: bytes) -> str:
     return f"{x.mean():.4f};{x.std():.4f};{entropy:.4f};{step:.4f};" + ",".join(map(str, counts.reshape(8, 32).sum(1)))
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, html, digest, media): each text as a payload in stored form, and a page that refers to it."""
+def page_of(text: str, digest: str) -> str:
+    """A text as a page: its first line, the payload as a figure whose caption is the line's head, the other lines."""
+    first, *rest = [html.escape(x, False) for x in text.split("\n")]
+    figure = f'<figure><img src="sha256:{digest}" alt="text"><figcaption>{html.escape(text[:40].strip(), False)}</figcaption></figure>'
+    return f"<p>{first}</p>{figure}" + "".join(f"<p>{x}</p>" for x in rest)
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, html): each text as an interleaved page that refers to its payload."""
     of = docs.schema["doc_id"].dataType.simpleString()
 
-    def store(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pages(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(rows):
             raw = [(t or "").encode() for t in texts]
-            payloads = [pad(r) for r in raw]
+            found = [page_of(t or "", hashlib.sha256(pad(r)).hexdigest()) for t, r in zip(texts, raw, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(found, pa.string())], ["doc_id", "n_bytes", "html"])
+
+    return docs.select("doc_id", "text").mapInArrow(pages, f"doc_id {of}, n_bytes long, html string")
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """(digest, media): each text as a payload in stored form."""
+
+    def store(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in batches(rows):
+            payloads = [pad((t or "").encode()) for t in texts]
             digests = [hashlib.sha256(p).hexdigest() for p in payloads]
-            pages = [f'<p>Text</p><figure><img src="sha256:{d}"><figcaption>{len(r)} bytes</figcaption></figure>' for r, d in zip(raw, digests, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array([encode_samples(p) for p in payloads], pa.binary())],
-                ["doc_id", "html", "digest", "media"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array([encode_samples(p) for p in payloads], pa.binary())], ["digest", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(store, f"doc_id {of}, html string, digest string, media binary")
+    return docs.select("text").mapInArrow(store, "digest string, media binary")
 
 
 MEASURED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -173,11 +188,10 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query: all ``documents`` as pages with a media reference, resolved and read back."""
-    stored = settle(store_texts(table(spark, sf_dir, "documents")), "media")
+    """The query: all ``documents`` as interleaved pages; their references resolved and the payloads read back."""
+    docs = table(spark, sf_dir, "documents")
+    stored = settle(store_texts(docs), "media")
     measured = settle(read_media(stored), "media-measures")
-    found = resolve(parse_interleaved(stored), measured).filter("kind = 'image'")
-    return found.select(
-        "doc_id", F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long").alias("n_bytes"),
-        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos",
-    )
+    release(stored)
+    found = resolve(parse_interleaved(text_pages(docs), "doc_id", "n_bytes"), measured).filter("kind = 'image'")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")

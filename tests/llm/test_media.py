@@ -1,5 +1,7 @@
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -24,15 +26,43 @@ def test_samples_are_lossless():
 
 def test_payloads_resolve(spark):
     docs = awkward(spark, TEXTS)
-    stored = media.store_texts(docs)
-    found = media.resolve(media.parse_interleaved(stored), media.read_media(stored)).filter("kind = 'image'").collect()
-    assert len(found) == docs.count()
-    for r in found:
+    pages = media.parse_interleaved(media.text_pages(docs), "doc_id", "n_bytes")
+    found = media.resolve(pages, media.read_media(media.store_texts(docs))).collect()
+    images = [r for r in found if r["kind"] == "image"]
+    assert len(images) == docs.count()
+    for r in images:
         if r["doc_id"] is not None:
-            p = media.pad((TEXTS[r["doc_id"]] or "").encode())
-            assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+            t = TEXTS[r["doc_id"]] or ""
+            p = media.pad(t.encode())
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
             assert r["media_sha256"] == hashlib.sha256(media.encode_samples(p)).hexdigest()
-            assert r["caption"] == f"{len((TEXTS[r['doc_id']] or '').encode())} bytes"
+            assert r["feature"] == plain_feature(p)
+            assert (r["caption"] or "") == (" ".join(t[:40].split()) or "text")
+            # the reference comes after the first line and before the others, which are whole and in order
+            lines = [" ".join(x.split()) for x in t.split("\n")]
+            mine = sorted((x["pos"], x["text"]) for x in found if x["doc_id"] == r["doc_id"] and x["kind"] == "text")
+            assert [x for p, x in mine if p < r["pos"]][:1] == [x for x in lines[:1] if x]
+            assert {x for p, x in mine if p > r["pos"]} == {x for x in lines[1:] if x}
+
+
+def plain_feature(p):
+    n = len(p)
+    mean = sum(p) / n
+    dev = math.sqrt(sum((x - mean) ** 2 for x in p) / n)
+    counts = Counter(p)
+    entropy = max(0.0, -sum(c / n * math.log2(c / n) for c in counts.values()))
+    rows = [sum(p[i : i + 64]) / 64 for i in range(0, n, 64)]
+    step = sum(abs(a - b) for a, b in zip(rows, rows[1:])) / (len(rows) - 1) if len(rows) > 1 else 0.0
+    bins = [sum(c for x, c in counts.items() if x // 32 == i) for i in range(8)]
+    return f"{mean:.4f};{dev:.4f};{entropy:.4f};{step:.4f};" + ",".join(map(str, bins))
+
+
+def test_real_pages_keep_order_and_captions(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = media.parse_interleaved(pages, "page_id").collect()
+    assert len(got) == pages.count()
+    for r in got:
+        assert [x["pos"] for x in r["sequence"]] == list(range(len(r["sequence"]))) and len(r["sequence"]) > 0
 
 
 def test_missing_payload_keeps_its_place(spark):
