@@ -5,7 +5,7 @@ from tests.llm.helpers import TEXTS, awkward, empty, prose
 
 
 def truth(texts):
-    """Least index of each text's component of links, by all pairs."""
+    """Least index of each text's component of links, by all pairs that share a window."""
     sets, up = [nd.weighted_set(t) for t in texts], list(range(len(texts)))
 
     def root(x):
@@ -13,8 +13,12 @@ def truth(texts):
             x = up[x]
         return x
 
+    seen = {}
     for i in range(len(texts)):
-        for j in range(i):
+        found = {j for k in sets[i][0].tolist() for j in seen.get(k, ())}  # texts that share no window aren't similar
+        for k in sets[i][0].tolist():
+            seen.setdefault(k, []).append(i)
+        for j in sorted(found):
             if nd.similarity(sets[i], sets[j]) >= nd.SIMILARITY:
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
