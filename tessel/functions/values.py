@@ -84,3 +84,27 @@ def redact(c: Column, domains: tuple[str, ...] = ("campus.example.edu",)) -> Col
     c = F.regexp_replace(c, rf"\b[A-Za-z][A-Za-z0-9._%+-]*@(?:{hosts})\b", "[EMAIL]")
     c = F.regexp_replace(c, r"(?:\+?1[-. \t\n]?)?\(?[0-9]{3}\)?[-. \t\n]?[0-9]{3}[-. \t\n]?[0-9]{4}\b", "[PHONE]")
     return F.regexp_replace(c, r"https?://(?:www\.)?(?:linkedin\.com/in/|github\.com/)[A-Za-z0-9_-]+/?", "[URL]")
+
+
+def industry(c: Column, groups: dict[str, list[str]], default: str = "other") -> Column:
+    """The group whose list has the company, by lower case; ``default`` for unknown ones."""
+    pairs = [F.lit(x) for g, names in groups.items() for n in names for x in (n.lower(), g)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(F.trim(c))), F.lit(default))
+
+
+def source_block(text: Column, attributes: dict[str, Column], tag: str = "source") -> Column:
+    """An XML element: attributes in order of their names, nulls left out; an end tag within the text can't close it."""
+    parts = [F.concat(F.lit(f' {k}="'), xml_attribute(v.cast("string")), F.lit('"')) for k, v in sorted(attributes.items())]
+    safe = F.regexp_replace(text, rf"(?i)</(\s*{tag})", "<\\\\/$1")
+    return F.concat(F.lit(f"<{tag}"), *[F.coalesce(p, F.lit("")) for p in parts], F.lit(">\n"), safe, F.lit(f"\n</{tag}>"))
+
+
+def capped(c: Column, n: int, mark: str = "…") -> Column:
+    """At most ``n`` characters, with a mark where something was cut."""
+    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(mark))).otherwise(c)
+
+
+def bullets(lists: dict[str, tuple[Column, int]]) -> Column:
+    """A line per list that has entries: its name and at most so many of them."""
+    line = lambda name, c, n: F.when(F.size(c) > 0, F.concat(F.lit(f"- {name}: "), F.array_join(F.slice(c, 1, n), ", ")))
+    return F.concat_ws("\n", *[line(k, c, n) for k, (c, n) in lists.items()])

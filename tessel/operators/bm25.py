@@ -72,3 +72,11 @@ def corpus_of(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataF
 
 def queries_of(rows: DataFrame, text: str, id_: str) -> DataFrame:
     return rows.select(F.col(id_).alias("query_id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+
+
+def corpus_text(rows: DataFrame, status: str | None = None, text: str = "text", expansion: str = "search_expansion") -> DataFrame:
+    """``rows`` of one status with ``text`` and its expansion as one text; a table of an older form may lack the expansion."""
+    if status is not None:
+        rows = rows.filter(F.col("status") == status)
+    more = [F.coalesce(F.col(expansion), F.lit(""))] if expansion in rows.columns else []
+    return rows.withColumn(text, F.concat_ws(" ", F.coalesce(F.col(text), F.lit("")), *more))

@@ -28,3 +28,19 @@ def redact_by_tier(contributions: Column, tiers: dict[str, int]) -> dict[str, Co
 def visible_to(rows: DataFrame, readers: DataFrame, level: str) -> DataFrame:
     """Rows whose ``level`` is at most the reader's ``contributions`` (unknown readers: 0)."""
     return rows.join(readers, "reader_id", "left").filter(F.col(level) <= F.coalesce("contributions", F.lit(0)))
+
+
+def release_queue(queue: DataFrame, arrived: DataFrame, keys: list[str], bucket: dict[str, Column], k: int = 2) -> DataFrame:
+    """``queue`` and ``arrived`` with ``decision`` and ``released_keys``: whole groups of ``k`` rows or more are released;
+    a smaller one whose keys, with the ``bucket`` columns coarser, are shared by ``k`` rows or more is released so; the rest is held."""
+    rows = queue.unionByName(arrived)
+    by = lambda of, name: rows.groupBy(*[c.alias(f"__{n}") for n, c in of.items()]).agg(F.count("*").alias(name))
+    exact = {c: F.col(c) for c in keys}
+    coarse = exact | bucket
+    for of, name in ((exact, "__exact"), (coarse, "__coarse")):
+        sizes = by(of, name)
+        rows = rows.join(sizes, [F.equal_null(c, F.col(f"__{n}")) for n, c in of.items()]).drop(*[f"__{n}" for n in of])
+    decision = F.when(F.col("__exact") >= k, "released").when(F.col("__coarse") >= k, "generalized").otherwise("held")
+    text = lambda of: F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in of.values()])
+    shown = F.when(F.col("__exact") >= k, text(exact)).when(F.col("__coarse") >= k, text(coarse))
+    return rows.withColumns({"decision": decision, "released_keys": shown}).drop("__exact", "__coarse")

@@ -120,3 +120,46 @@ def shared_pairs(rows: DataFrame, group: str, item: str, least: int = 2, k: int
     b = dealt.select("g", F.col("x").alias("b"), F.col("at").alias("j"), each.alias("i"))
     pairs = a.join(b.hint("shuffle_hash"), ["g", "i", "j"]).filter("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+
+
+def get_batch(rows: DataFrame, ids: list, key: str) -> DataFrame:
+    """The rows of the ids given, unknown ids left out; no ids, no scan. The ids reach the scan as a predicate."""
+    return rows.filter(F.col(key).isin(ids)) if ids else rows.limit(0)
+
+
+def add_edges(curated: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
+    """``curated(course_id, target, requirement)`` and ``found(course_id, code)``, whose code ``ids(code, target)`` resolves.
+
+    References to oneself, to nothing and to a pair that is already there are left out; a pair found twice comes once.
+    """
+    code = F.upper(F.trim("code"))
+    named = found.withColumn("code", code).join(ids, "code").filter("target <> course_id").select("course_id", "target").distinct()
+    fresh = named.join(curated, ["course_id", "target"], "left_anti").withColumn("requirement", F.lit("required"))
+    return curated.unionByName(fresh)
+
+
+def merge_fields(old: DataFrame, new: DataFrame, key: str, fields: list[str], valid: dict[str, Column] | None = None) -> DataFrame:
+    """``old`` with the listed fields of ``new`` where they hold something (no null, no empty text or list) that is ``valid``.
+
+    Fields that aren't listed are never touched; rows of ``new`` without one in ``old`` are left out.
+    """
+    types = dict(new.dtypes)
+    full = lambda c: F.size(c) > 0 if types[c].startswith("array") else F.trim(c) != "" if types[c] == "string" else F.col(c).isNotNull()
+    ok = lambda c: full(c) & (valid or {}).get(c, F.lit(True))
+    taken = new.select(F.col(key), *[F.when(ok(c), F.col(c)).alias(f"__{c}") for c in fields])
+    both = old.join(taken, key, "left")
+    return both.select(*[F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in old.columns])
+
+
+def violations(rows: DataFrame, key: str, checks: dict[str, Column], unique: dict[str, list[str]], refers: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """(key, rule) of each broken rule. ``checks``: must not be false (null passes); ``unique``: columns equal in no other row,
+    null equal to nothing; ``refers``: a column and a table of one column that must hold its values (null passes)."""
+    broken = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in checks.items()]))
+    out = rows.select(key, F.explode(broken).alias("rule"))
+    for name, columns in unique.items():
+        twice = rows.dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("__n")).filter("__n > 1").select(*columns)
+        out = out.unionByName(rows.join(twice, columns, "left_semi").select(key, F.lit(name).alias("rule")))
+    for name, (column, target) in refers.items():
+        there = target.toDF(column)
+        out = out.unionByName(rows.filter(F.col(column).isNotNull()).join(there, column, "left_anti").select(key, F.lit(name).alias("rule")))
+    return out

@@ -18,3 +18,9 @@ def block_rows(pages: DataFrame) -> DataFrame:
     """(page_id, pos, block), pos from 0."""
     clean = F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
     return pages.select("page_id", F.posexplode(F.regexp_extract_all(clean, F.lit(BLOCK), 1)).alias("pos", "block"))
+
+
+def index_links(pages: DataFrame, pattern: str) -> DataFrame:
+    """(page_id, slug, pos): first places of the slugs, group 1 of ``pattern``, which a link must match as a whole."""
+    links = link_rows(pages).select("page_id", "pos", F.regexp_extract("href", f"^(?:{pattern})$", 1).alias("slug")).filter("slug <> ''")
+    return links.groupBy("page_id", "slug").agg(F.min("pos").alias("pos"))

@@ -63,3 +63,29 @@ def not_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done, key, "left_anti")
 
 
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, record) of a document that is a list of objects or {"records": [...]}; keys that begin with _ are notes and go."""
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    as_list = lambda at: F.try_variant_get("v", at, "array<map<string,variant>>")
+    each = raw.select(F.posexplode(F.coalesce(as_list("$"), as_list("$.records"))).alias("pos", "m"))
+    return each.select("pos", F.map_filter("m", lambda k, v: ~F.startswith(k, F.lit("_"))).alias("record"))
+
+
+def read_program(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(program, required courses, prerequisites) of a seed document; the latter two carry the program's id."""
+    schema = (
+        "program struct<program_id:string,name:string>, required_courses array<struct<code:string,semester:int>>, prerequisites array<struct<code:string,prereq:string>>"
+    )
+    whole = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = lambda c: whole.select("program.program_id", F.explode(c).alias("e")).select("program_id", "e.*")
+    return whole.select("program.*"), rows("required_courses"), rows("prerequisites")
+
+
+def post_records(objects: DataFrame, kind: str) -> DataFrame:
+    """Posts (t3) or comments (t1) as records: prefixed id, and texts and numbers that are missing as '' and 0."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return objects.select(
+        F.concat(F.lit(f"{kind}_"), "id").alias("id"), text("title").alias("title"), text("body").alias("body"), F.coalesce("author", F.lit("[deleted]")).alias("author"), F.coalesce("score", F.lit(0)).alias("score")
+    )

@@ -33,3 +33,14 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 def append_log(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a Parquet log, once per available input; a restart resumes from the checkpoint."""
     return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def incremental_index(docs: DataFrame, out: str, checkpoint: str, build) -> StreamingQuery:
+    """Index documents as they arrive: ``build`` maps a batch of rows to index rows, written to a folder of its batch.
+
+    A batch that is repeated after a fault overwrites its own folder, so that nothing is indexed twice.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        build(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
