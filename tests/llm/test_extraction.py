@@ -95,35 +95,40 @@ def test_blocks_named_as_boilerplate_go(name):
 
 
 class Plain(HTMLParser):
-    """A tree of [tag, items, text, tags, links, link characters] for well-formed pages, to compute densities again."""
+    """A tree of tags and texts for well-formed pages without tags within links, to compute densities again."""
 
     def __init__(self, page):
         super().__init__()
         self.at = self.body = {"tag": "body", "items": [], "up": None}
-        self.links = 0
         self.feed(page)
 
     def handle_starttag(self, tag, attrs):
-        self.links += tag == "a"
         child = {"tag": tag, "items": [], "up": self.at}
         self.at["items"].append(child)
         self.at = child
 
     def handle_endtag(self, tag):
-        self.links -= tag == "a"
         self.at = self.at["up"]
 
     def handle_data(self, data):
-        if data.strip():
-            self.at["items"].append({"tag": "", "items": [], "text": " ".join(data.split()), "link": self.links > 0})
+        self.at["items"].append({"tag": "", "items": [], "text": data})
+
+    def raw(self, node):
+        return node["text"] if node["tag"] == "" else "".join(map(self.raw, node["items"]))
 
     def measures(self, node):
-        """(C, T, LC, LT) of a node."""
-        if node["tag"] == "":
-            n = len(node["text"])
-            return n, 0, n * node["link"], 0
-        c, t, lc, lt = map(sum, zip((0, 0, 0, 0), *map(self.measures, node["items"])))
-        return c, t + len([x for x in node["items"] if x["tag"]]), lc, lt + len([x for x in node["items"] if x["tag"] == "a"])
+        """(C, T, LC, LT) of a block; white space within a run of text and links is one space, as in the text given out."""
+        c, t, lc, lt, run = 0, 0, 0, 0, ""
+        for x in node["items"]:
+            if x["tag"] in ("", "a"):
+                run += self.raw(x)
+                if x["tag"] == "a":
+                    t, lc, lt = t + 1, lc + len(" ".join(self.raw(x).split())), lt + 1
+                continue
+            c, run = c + len(" ".join(run.split())), ""
+            inner = self.measures(x)
+            c, t, lc, lt = c + inner[0], t + inner[1] + 1, lc + inner[2], lt + inner[3]
+        return c + len(" ".join(run.split())), t, lc, lt
 
     def density(self, node):
         (c, t, lc, lt), (bc, _, blc, _) = self.measures(node), self.measures(self.body)
