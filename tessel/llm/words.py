@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -25,9 +25,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, alike on all machines."""
-    low = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    high = np.fromiter(map(zlib.adler32, words), np.uint64, len(words))
-    return mix64(low ^ (high << np.uint64(32)))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
