@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessel.llm import classifier, extraction, lines, media, mixing, near_dedup, pieces, rules, secrets, toxicity
+from tessel.llm import classifier, extraction, leaks, lines, media, mixing, near_dedup, periods, pieces, ranking, rules, secrets, toxicity
 
 QUERIES = {
     "op1_quality_rules": rules.quality_rules,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_source_mix": mixing.mixing,
     "op9_toxicity": toxicity.toxicity,
     "op10_minhash_near_dedup": near_dedup.minhash_near_dedup,
+    "op11_period_detection": periods.period_detection,
+    "op12_lexical_ranking": ranking.lexical_ranking,
+    "op13_decontamination": leaks.decontamination,
 }
 SQL = {
     "op2_secret_scan": secrets.SQL,
     "op8_source_mix": mixing.SQL,
+    "op11_period_detection": periods.SQL,
+    "op12_lexical_ranking": ranking.SQL,
+    "op13_decontamination": leaks.SQL,
 }
