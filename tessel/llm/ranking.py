@@ -85,9 +85,10 @@ def _bags(bits: np.ndarray):
             for text in texts:
                 words = terms_of(text)
                 counts = Counter(words)
-                for t in counts.keys() - asked.keys():
-                    b = _bit(t)
-                    asked[t] = bool(bits[b >> 3] >> (b & 7) & 1)
+                for t in counts:
+                    if t not in asked:
+                        b = _bit(t)
+                        asked[t] = bool(bits[b >> 3] >> (b & 7) & 1)
                 out.append(" ".join(f"{t.decode()} {counts[t]}" for t in sorted(t for t in counts if asked[t])))
                 n.append(len(words))
                 if len(asked) > 1 << 17:
