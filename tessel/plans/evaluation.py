@@ -27,7 +27,7 @@ def judged(spark, sf_dir) -> DataFrame:
     """(query_id, category, want, got): expected documents and the first five found."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     want = R.passage_hits(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("want"))
-    found = bm25.ranked(R.scores(spark, sf_dir), 5)
+    found = R.index(spark, sf_dir).top_k(R.questions(spark, sf_dir), 5)
     got = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("got"))
     none = F.array().cast("array<bigint>")
     category = F.when(F.length("text") % 2 == 0, "simple").otherwise("complex")
@@ -199,11 +199,10 @@ def ndjson_events(spark, sf_dir):
     f"""WITH {R.BM25_SQL.format(where='')} SELECT doc_id, term, rank FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(idf, 8) DESC, term) AS rank FROM p JOIN idf USING (term) WHERE term <> '__empty__') WHERE rank <= 3""",
 )
 def rarest_terms(spark, sf_dir):
-    corpus = R.corpus(spark, sf_dir)
-    terms = corpus.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).filter("term <> '__empty__'")
-    idf = bm25.term_stats(corpus).select("term", F.round("idf", 8).alias("idf"))
+    index = R.index(spark, sf_dir)
+    terms = index.postings(index.term_stats().filter("term <> '__empty__'").select("term", F.round("idf", 8).alias("idf")))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("idf"), "term"))
-    return terms.join(idf, "term").select("doc_id", "term", rank.alias("rank")).filter("rank <= 3")
+    return terms.select("doc_id", "term", rank.alias("rank")).filter("rank <= 3")
 
 
 @query("acronym_glossary", "WITH c AS (SELECT p_brand AS k, lower(p_name) AS sense, count(*) AS n FROM part GROUP BY ALL) SELECT k, sense, rn FROM (SELECT k, sense, row_number() OVER (PARTITION BY k ORDER BY n DESC, sense) AS rn FROM c) WHERE rn <= 3")

@@ -222,7 +222,7 @@ def gate_feature_table(spark, sf_dir, rerank=T.overlap):
 def hybrid_search_expanded(spark, sf_dir, expand=lambda q: F.concat_ws(" ", q, F.split_part(q, F.lit(" "), F.lit(1))), k: int = 5):
     """Hybrid search whose legs see an expanded query; three times k candidates a leg. The vectors of queries are given."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", expand(F.col("text")).alias("text"))
-    scored = settle(bm25.score(R.corpus(spark, sf_dir), bm25.queries_of(asked, "text", "item_id")), "bm25-scores")
+    scored = R.index(spark, sf_dir).top_k(bm25.queries_of(asked, "text", "item_id"), 3 * k).drop("rank")
     return bm25.ranked(fusion.convex(*R.legs(spark, sf_dir, 3 * k, scored=scored), w=0.7), k).withColumn("score", F.round("score", 6))
 
 
@@ -329,12 +329,12 @@ def constraint_violations(spark, sf_dir):
     return tables.violations(part, "id", checks, {"unique": ["p_brand", "p_type"]}, {"nation": ("p_size", table(spark, sf_dir, "nation").select("n_nationkey"))})
 
 
-@query(
-    "k_anon_queue",
-    f"""WITH {_COOP}, n AS (SELECT id, company, role, term, count(*) OVER (PARTITION BY company, role, term) AS e, count(*) OVER (PARTITION BY CASE WHEN company IS NULL THEN 'none' ELSE 'some' END, role, term) AS c FROM coop)
+K_ANON_SQL = f"""WITH {_COOP}, n AS (SELECT id, company, role, term, count(*) OVER (PARTITION BY company, role, term) AS e, count(*) OVER (PARTITION BY CASE WHEN company IS NULL THEN 'none' ELSE 'some' END, role, term) AS c FROM coop)
         SELECT id, CASE WHEN e >= 3 THEN 'released' WHEN c >= 3 THEN 'generalized' ELSE 'held' END AS decision,
-        CASE WHEN e >= 3 THEN coalesce(company, '') || '|' || coalesce(role, '') || '|' || coalesce(term, '') WHEN c >= 3 THEN CASE WHEN company IS NULL THEN 'none' ELSE 'some' END || '|' || coalesce(role, '') || '|' || coalesce(term, '') END AS released_keys FROM n""",
-)
+        CASE WHEN e >= 3 THEN coalesce(company, '') || '|' || coalesce(role, '') || '|' || coalesce(term, '') WHEN c >= 3 THEN CASE WHEN company IS NULL THEN 'none' ELSE 'some' END || '|' || coalesce(role, '') || '|' || coalesce(term, '') END AS released_keys FROM n"""
+
+
+@query("k_anon_queue", K_ANON_SQL)
 def k_anon_queue(spark, sf_dir):
     """Held records and new ones: released as groups, with a coarser company, or held on. A null key equals null and shows as ''."""
     rows = coop(spark, sf_dir).select("id", "company", "role", "term")

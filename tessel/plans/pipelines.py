@@ -108,7 +108,7 @@ def hits_with_fallback_text(spark, sf_dir):
 def judged_pool(spark, sf_dir):
     """Expected documents and hits, each once, with the first place it came from (0: expected)."""
     want = R.passage_hits(spark, sf_dir).select("query_id", "doc_id", F.lit(0).alias("o"))
-    hits = bm25.ranked(R.scores(spark, sf_dir), 5).select("query_id", "doc_id", F.col("rank").alias("o"))
+    hits = R.index(spark, sf_dir).top_k(R.questions(spark, sf_dir), 5).select("query_id", "doc_id", F.col("rank").alias("o"))
     return want.unionByName(hits).groupBy("query_id", "doc_id").agg(F.min("o").alias("origin"))
 
 

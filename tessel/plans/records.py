@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessel.functions import text as T
 from tessel.operators import tables
+from tessel.operators.lexical import LexicalIndex
+from tessel.operators.rescue import LEAST_P, rescue
 from tessel.plans import retrieval as R
 from tessel.plans.catalog import hard_filters
 from tessel.plans.registry import literal_rows, query
-from tessel.session import table
+from tessel.session import keep_until_exit, settle, shared_path, table
 
 
 @query(
@@ -61,14 +63,20 @@ def vector_table_remove(spark, sf_dir):
 
 @query(
     "index_rebuild",
-    """SELECT count(*) AS seen, count(*) FILTER (WHERE length(trim(coalesce(text, ''))) > 0) AS indexed, count(*) FILTER (WHERE length(trim(coalesce(text, ''))) = 0) AS skipped,
-       min(doc_id) FILTER (WHERE length(trim(coalesce(text, ''))) > 0) AS first_id FROM documents WHERE lang IN ('en', 'de')""",
+    f"""WITH r AS (SELECT *, {R.duck_tokens('text')} AS t FROM documents WHERE lang IN ('en', 'de')), f AS (SELECT * FROM r WHERE length(trim(coalesce(text, ''))) > 0)
+       SELECT (SELECT count(*) FROM r) AS seen, count(*) AS indexed, (SELECT count(*) FROM r) - count(*) AS skipped, min(doc_id) AS first_id, sum(greatest(len(t), 1))::BIGINT AS tokens,
+       (SELECT count(DISTINCT x) FROM (SELECT unnest(t) AS x FROM f UNION ALL SELECT '__empty__' FROM f WHERE len(t) = 0)) AS terms FROM f""",
 )
 def index_rebuild(spark, sf_dir):
-    """What a rebuild over rows of some status takes in and skips."""
+    """A new index of the rows of some status, blank ones skipped: what it took in, read from the index itself."""
     rows = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "de"))
     full = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
-    return rows.agg(F.count("*").alias("seen"), F.count_if(full).alias("indexed"), F.count_if(~full).alias("skipped"), F.min(F.when(full, F.col("doc_id"))).alias("first_id"))
+    index = LexicalIndex.build(rows.filter(full), shared_path(spark, "rebuilt-index"))
+    keep_until_exit(spark, index.path)
+    held = index.table("documents").agg(F.count("*").alias("indexed"), F.min("doc_id").alias("first_id"), F.sum("length").alias("tokens"))
+    terms = index.term_stats().agg(F.count("*").alias("terms"))
+    counts = rows.agg(F.count("*").alias("seen"), F.count_if(~full).alias("skipped"))
+    return counts.join(F.broadcast(held)).join(F.broadcast(terms))  # one row each
 
 
 @query(
@@ -168,24 +176,62 @@ def generated_query_pruning(spark, sf_dir, rerank=T.overlap, least: float = 0.2)
     return each.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(kept, lambda x: x["q"]), "\n")).alias("kept_md5"), F.count("*").alias("kept"))
 
 
+# user turns with all words but the first one spelt backwards, which the expansion puts right; short ones get none
+_MISSPELT = "array_to_string(list_transform(regexp_split_to_array(text, '\\s+'), lambda w, i: CASE WHEN i = 1 THEN w ELSE reverse(w) END), ' ')"
+_ASKED = f"asked AS (SELECT conv_id * 1000 + turn AS item_id, {_MISSPELT} AS text FROM conversations WHERE role = 'user')"
+_RIGHT = _MISSPELT.replace("text,", "asked.text,")
+_GATED = f"""{R.BM25_SQL.format(where='').replace('FROM benchmark)', 'FROM asked)')}, {R._SIGMA.replace('benchmark', 'asked')},
+g AS (SELECT item_id AS query_id, text, least(greatest(coalesce((SELECT max(sigma) FROM sg WHERE sg.query_id = item_id), 0), 1e-6), 1 - 1e-6)::DOUBLE AS x,
+     coalesce((SELECT max(score) FROM b WHERE b.query_id = item_id AND rank <= 20), 0)::DOUBLE AS bt, ({R._DUCK_CODE.format(c='text')})::INT AS code, ({R._DUCK_CJK.format(c='text')})::INT AS cjk FROM asked),
+gp AS (SELECT query_id, text, code, round(1 / (1 + exp(-(-1.6277::DOUBLE + 0.5944::DOUBLE * ln(x / (1 - x)) + 0.7822::DOUBLE * ln(1 + greatest(bt, 0)) * (1 - cjk) - 3.4026::DOUBLE * code + 1.7244::DOUBLE * cjk))), 8) AS p FROM g)"""
+
+
+def _misspelt(query):
+    return F.array_join(F.transform(F.split(query, r"\s+"), lambda w, i: F.when(i == 0, w).otherwise(F.reverse(w))), " ")
+
+
+def _expansion(query):
+    """The stand-in of a language model: the words spelt right, nothing for queries of fewer than four words."""
+    return F.when(F.size(F.split(query, r"\s+")) >= 4, _misspelt(query))
+
+
+def gated_turns(spark, sf_dir, rerank=T.overlap):
+    """(query_id, query, p) of misspelt user turns: the calibrated gate on the first 20 by BM25."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), _misspelt(F.col("text")).alias("query"))
+    found = R.index(spark, sf_dir).top_k(R.bm25.queries_of(asked, "query", "query_id"), 20)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tops = found.join(asked, "query_id").join(docs, "doc_id").groupBy("query_id").agg(F.max(rerank(F.col("query"), F.col("text"))).alias("x"), F.max("score").alias("bt"))
+    zero = F.lit(0.0)
+    p = R.fusion.p_answerable(F.coalesce("x", zero), F.coalesce("bt", zero), zero, T.names_code(F.col("query")), T.cjk_dominant(F.col("query")))
+    return asked.join(tops, "query_id", "left").select("query_id", "query", p.alias("p"))
+
+
+@query("rescue_gate", f"WITH {_ASKED}, {_GATED} SELECT query_id, round(p, 6) AS p, p < 0.4 AS rejected, p < 0.4 AND p >= 0.08 AND code = 0 AND len(regexp_split_to_array(text, '\\s+')) >= 4 AS rescued FROM gp")
+def rescue_gate(spark, sf_dir):
+    """Which queries the gate rejects, and which of those get a second pass."""
+    p = F.col("p")
+    rejected = p < R.fusion.REJECT_BELOW
+    rescued = rejected & (p >= LEAST_P) & ~T.names_code(F.col("query")) & _expansion(F.col("query")).isNotNull()
+    return gated_turns(spark, sf_dir).select("query_id", F.round("p", 6).alias("p"), rejected.alias("rejected"), rescued.alias("rescued"))
+
+
 @query(
     "rescue_search",
-    f"""WITH {R.BM25_SQL.format(where='')}, {R._SIGMA}, mx AS (SELECT query_id, max(sigma) AS x FROM sg GROUP BY 1),
-       r AS (SELECT item_id AS query_id, lower(text) || ' ' || lower(text) AS text FROM benchmark LEFT JOIN mx ON query_id = item_id WHERE coalesce(x, 0) < 0.75 AND NOT ({R._DUCK_CODE.format(c='text')})),
+    f"""WITH {_ASKED}, {_GATED},
+       r AS (SELECT query_id, asked.text || chr(10) || chr(10) || {_RIGHT} AS text FROM gp JOIN asked ON query_id = item_id WHERE p < 0.4 AND p >= 0.08 AND code = 0 AND len(regexp_split_to_array(asked.text, '\\s+')) >= 4),
        b2 AS (SELECT q2.query_id, p.doc_id, round(sum(times2 * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / (SELECT avg(len(toks)) FROM d)))), 8) AS score
               FROM (SELECT query_id, term, count(*) AS times2 FROM (SELECT query_id, unnest({R.duck_tokens('text')}) AS term FROM r) GROUP BY ALL) q2 JOIN p USING (term) JOIN idf USING (term) JOIN d USING (doc_id) GROUP BY ALL),
        k2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b2),
-       s2 AS (SELECT k2.query_id, k2.doc_id, len(list_intersect(qw, dw)) / greatest(len(qw), 1)::DOUBLE AS sigma FROM (SELECT k2.*, {R._DUCK_WORDS.format(c='benchmark.text')} AS qw, {R._DUCK_WORDS.format(c='documents.text')} AS dw
-              FROM k2 JOIN benchmark ON query_id = item_id JOIN documents USING (doc_id) WHERE rank <= 20) k2)
-       SELECT query_id, doc_id, round(sigma, 6) AS sigma, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sigma DESC, doc_id) AS rank FROM s2 WHERE sigma >= 0.08) WHERE rank <= 5""",
+       s2 AS (SELECT query_id, doc_id, score, len(list_intersect(qw, dw)) / greatest(len(qw), 1)::DOUBLE AS sigma FROM (SELECT k2.*, {R._DUCK_WORDS.format(c='asked.text')} AS qw, {R._DUCK_WORDS.format(c='documents.text')} AS dw
+              FROM k2 JOIN asked ON query_id = item_id JOIN documents USING (doc_id) WHERE rank <= 20)),
+       bl2 AS (SELECT query_id, doc_id, round(0.4::DOUBLE * {R._Z.format(c='score')} + (1 - 0.4::DOUBLE) * {R._Z.format(c='sigma')}, 8) AS blended FROM s2 WINDOW w AS (PARTITION BY query_id))
+       SELECT query_id, doc_id, round(blended, 6) AS blended, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, doc_id) AS rank FROM bl2) WHERE rank <= 5""",
 )
-def rescue_search(spark, sf_dir, expand=lambda q: F.concat_ws(" ", F.lower(q), F.lower(q)), rerank=T.overlap, bound: float = 0.75, least: float = 0.08):
-    """The second pass of rejected queries: retrieval by an expanded text, rerank on the original one, no threshold but ``least``."""
-    first = R.pool(spark, sf_dir, rerank=rerank).groupBy("query_id").agg(F.max("sigma").alias("x"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    rejected = items.join(first, "query_id", "left").filter((F.coalesce("x", F.lit(0.0)) < bound) & ~T.names_code(F.col("query"))).select("query_id", "query")
-    asked = R.bm25.queries_of(rejected.select("query_id", expand(F.col("query")).alias("text")), "text", "query_id")
-    found = R.bm25.ranked(R.bm25.score(R.corpus(spark, sf_dir), asked), 20)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = found.join(items, "query_id").join(docs, "doc_id").select("query_id", "doc_id", rerank(F.col("query"), F.col("text")).alias("sigma")).filter(F.col("sigma") >= least)
-    return R.bm25.ranked(scored, 5, "sigma").select("query_id", "doc_id", F.round("sigma", 6).alias("sigma"), "rank")
+def rescue_search(spark, sf_dir, expand=_expansion, rerank=T.overlap):
+    """The second pass of queries that the gate rejects without being sure, on the expanded text; these queries have no vectors."""
+    index = R.index(spark, sf_dir)
+    search = lambda q: index.top_k(R.bm25.queries_of(q, "query", "query_id"), 20)
+    gated = settle(gated_turns(spark, sf_dir, rerank), "gated")
+    out = rescue(gated, search, table(spark, sf_dir, "documents").select("doc_id", "text"), expand, rerank)
+    return out.withColumn("blended", F.round("blended", 6))

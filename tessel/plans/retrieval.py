@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
 from tessel.functions.vector import l2_normalize, norm
 from tessel.operators import bm25, fusion, vectors
+from tessel.operators.lexical import FORMAT, LexicalIndex
 from tessel.plans.registry import literal_rows, query
-from tessel.session import settle, table
+from tessel.session import at_path, settle, shared_dir, shared_path, table
+
+_building = threading.Lock()
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 
@@ -37,14 +43,30 @@ QUERY_SET = "a.vec_id % 50 = 0"
 PAIRED = "a.vec_id IN (SELECT item_id FROM benchmark)"
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index's token lists, written once: statistics, lengths and postings all read them."""
-    return settle(bm25.corpus_of(table(spark, sf_dir, "documents")), "tokens")
-
+def index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The stored index of ``documents``, built when it is first asked for.
 
-def scores(spark: SparkSession, sf_dir: str, allowed: DataFrame | None = None) -> DataFrame:
-    """BM25 scores of all benchmark items, settled, so that a query which ranks them twice scores once."""
-    return settle(bm25.score(corpus(spark, sf_dir), questions(spark, sf_dir), allowed), "bm25-scores")
+    Its folder is named after the table's files, so a changed table gets another one, and queries and sessions that share
+    a folder share the index. It stays in a folder that ``spark.checkpoint.dir`` names, else it goes with the driver.
+    """
+    files, at = at_path(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    found, names = files.listFiles(at, True), [f"{FORMAT} {sf_dir}"]
+    while found.hasNext():
+        of = found.next()
+        names.append(f"{of.getPath().getName()} {of.getLen()} {of.getModificationTime()}")
+    name = hashlib.sha256("\n".join(sorted(names)).encode()).hexdigest()[:32]
+    path = f"{shared_dir(spark).rstrip('/')}/lexical-index-{name}"
+    with _building:
+        try:
+            return LexicalIndex.load(spark, path)
+        except FileNotFoundError:
+            new = LexicalIndex.build(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_path(spark, "index-being-built"))
+            return new.move_to(path, keep=spark.conf.get("spark.checkpoint.dir", None) is not None)
+
+
+def scores(spark: SparkSession, sf_dir: str, allowed: DataFrame | None = None, k: int = 30) -> DataFrame:
+    """BM25 scores of the first k documents of each benchmark item."""
+    return index(spark, sf_dir).top_k(questions(spark, sf_dir), k, allowed).drop("rank")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,23 +74,21 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id) of the documents whose text holds a benchmark item's text, linear in both.
+    """(query_id, doc_id) of the documents whose text holds a benchmark item's text.
 
-    Words within a passage, its first and last one aside, are whole words of any text that holds it. So the hash of four
-    of them finds the documents, and the text decides. Passages of fewer words are compared with all documents.
+    Tokens within a passage, its first and last one aside, are whole tokens of any text that holds it. So the rarest of
+    them has all such documents in its postings, and the text decides. Passages without one are compared with all documents.
     """
-    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
-    fours = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 2), F.slice(p, 3, F.size(p) - 2), lambda a, b: F.xxhash64(a, b))
-    # as a lambda's argument an array is computed once
-    keys = lambda c: F.transform(F.transform(F.array(F.split(c, r"\s+")), pairs), fours)[0]
-    long = lambda c, n: F.size(F.split(c, r"\s+")) >= n
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    items = settle(items.withColumn("key", F.when(long("passage", 6), keys("passage")[1])), "passages")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    each = docs.filter(long("text", 4)).select("doc_id", F.explode(keys("text")).alias("key"))
-    found = settle(each.join(items.filter("key is not null").select("key", "query_id"), "key").select("doc_id", "query_id").distinct(), "passage-candidates")
-    held = found.join(docs, "doc_id").join(items, "query_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
-    short = items.filter("key is null")
+    raw = F.regexp_extract_all(F.lower("passage"), F.lit("([a-z0-9]+)"), 1)
+    inner = F.filter(F.slice(raw, 2, F.greatest(F.size(raw) - 2, F.lit(0))), lambda t: ~t.isin(T.STOPWORDS))
+    items = settle(items.withColumn("inner", inner), "passages")
+    found, docs = index(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
+    each = items.select("query_id", F.explode("inner").alias("term")).join(found.table("terms").groupBy("term").agg(F.sum("df").alias("df")), "term", "left")
+    rarest = settle(each.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")), "rarest")
+    candidates = settle(found.postings(rarest).select("query_id", "doc_id"), "passage-candidates")
+    held = candidates.join(docs, "doc_id").join(items, "query_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = items.filter(F.size("inner") == 0)
     if short.isEmpty():
         return held
     return held.unionByName(docs.join(short, F.contains("text", "passage")).select("query_id", "doc_id"))
@@ -101,23 +121,23 @@ def tokenize_cjk_bigrams(spark, sf_dir):
 
 @query("bm25_term_stats", f"WITH {BM25_SQL.format(where='')} SELECT term, df, cf, round(idf, 8) AS idf FROM idf")
 def bm25_term_stats(spark, sf_dir):
-    return bm25.term_stats(corpus(spark, sf_dir)).select("term", "df", "cf", F.round("idf", 8).alias("idf"))
+    return index(spark, sf_dir).term_stats().select("term", "df", "cf", F.round("idf", 8).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {BM25_SQL.format(where='')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM b WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return bm25.ranked(bm25.score(corpus(spark, sf_dir), questions(spark, sf_dir)), 10).withColumn("score", F.round("score", 6))
+    return index(spark, sf_dir).top_k(questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_filtered_topk", f"WITH {BM25_SQL.format(where='''WHERE lang = 'de' ''')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM b WHERE rank <= 3")
 def bm25_filtered_topk(spark, sf_dir):
     allowed = table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id")
-    return bm25.ranked(bm25.score(corpus(spark, sf_dir), questions(spark, sf_dir), allowed), 3).withColumn("score", F.round("score", 6))
+    return index(spark, sf_dir).top_k(questions(spark, sf_dir), 3, allowed).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_zero_overlap_excluded", f"WITH {BM25_SQL.format(where='')} SELECT query_id, count(*) AS eligible, count(*) FILTER (WHERE score <= 0) AS not_positive FROM s GROUP BY query_id")
 def bm25_zero_overlap_excluded(spark, sf_dir):
-    s = bm25.score(corpus(spark, sf_dir), questions(spark, sf_dir))
+    s = index(spark, sf_dir).score(questions(spark, sf_dir))
     return s.groupBy("query_id").agg(F.count("*").alias("eligible"), F.count_if(F.col("score") <= 0).alias("not_positive"))
 
 
@@ -146,12 +166,12 @@ def l2_normalize_q(spark, sf_dir):
 def legs(spark, sf_dir, k: int = 30, allowed: DataFrame | None = None, scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The first k by vectors and by BM25 of each benchmark item; item i's query vector is vector i, document i has vector i.
 
-    ``scored``: BM25 scores, if the caller has them.
+    ``scored``: BM25 scores of the first k or more, if the caller has them.
     """
     v = vectors_of(spark, sf_dir)
     asked = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
     base = v if allowed is None else v.join(allowed.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    lexical = bm25.ranked(scores(spark, sf_dir, allowed) if scored is None else scored, k)
+    lexical = bm25.ranked(scores(spark, sf_dir, allowed, k) if scored is None else scored, k)
     return vectors.top_k(asked, base, k), lexical
 
 
@@ -199,7 +219,7 @@ sg AS (SELECT query_id, doc_id, score, len(list_intersect(qw, dw)) / greatest(le
 
 def pool(spark, sf_dir, k: int = 20, scored: DataFrame | None = None, rerank=T.overlap) -> DataFrame:
     """(query_id, doc_id, score, sigma): the first k by BM25 with the reranker's score; ``rerank`` maps query and text to it."""
-    found = settle(bm25.ranked(scores(spark, sf_dir) if scored is None else scored, k), "candidates")  # k rows a query
+    found = settle(bm25.ranked(scores(spark, sf_dir, k=k) if scored is None else scored, k), "candidates")  # k rows a query
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return found.join(asked, "query_id").join(docs, "doc_id").select("query_id", "doc_id", "score", rerank(F.col("query"), F.col("text")).alias("sigma"))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark drops a query's shuffle files at its end if this is set.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folders written by ``settle`` and not released yet, in order.
-_held: list[str] = []
+#: Folders that the innermost ``scratch`` of this thread has to delete; a thread sees no other thread's.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+_lock, _writers, _before = threading.Lock(), 0, None
 
 
 def build_session(app: str = "tessel", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -49,48 +52,85 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is on as long as any thread writes; after the last one it is as before."""
+    global _writers, _before
+    with _lock:
+        if _writers == 0:
+            _before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if _writers == 0:
+                spark.conf.set(CLEANUP, _before) if _before else spark.conf.unset(CLEANUP)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def at_path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and gives the planner a true size, so that it
     broadcasts the table only if that size allows it. As the files stand for the result, its shuffle files go at once.
+    The folder goes with ``release``, with the ``scratch`` it was written in, or else when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    with _cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+    keep_until_exit(spark, path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
-    _held.append(path)
     return out
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    files, at = at_path(spark, path)
+    files.deleteOnExit(at)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, at = at_path(spark, path)
+    files.delete(at, True)
+    files.cancelDeleteOnExit(at)
+
+
 def release(*settled: DataFrame) -> None:
     """Delete the folders of settled tables that nothing reads any more: what was made of them is settled itself."""
     for df in settled:
-        _delete(df.sparkSession, df.settled_at)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if path in _held:
-        _held.remove(path)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete_folder(df.sparkSession, df.settled_at)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Deletes at its end what was settled within it, but for the tables put into the list it gives."""
-    first, keep = len(_held), []
+    """Deletes at its end what this thread settled within it, but for the tables put into the list it gives."""
+    outer, own, keep = _scope.get(), [], []
+    token = _scope.set(own)
     try:
         yield keep
     finally:
-        for path in set(_held[first:]) - {df.settled_at for df in keep}:
-            _delete(spark, path)
+        _scope.reset(token)
+        kept = {df.settled_at for df in keep}
+        for path in own:
+            if path not in kept:
+                delete_folder(spark, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
