@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from tessel.functions import text as T
 from tessel.functions import values as V
-from tessel.plans.registry import literal_rows, query
+from tessel.plans.registry import and_texts, and_texts_sql, literal_rows, over, query
 from tessel.session import table
 
 _ASKED = [(1, "workload of cs5800 and CS 5800?"), (2, "那aai 6640 怎么样"), (3, "5800"), (4, "compare AAI6600 with DS 5220"), (5, "Algo"), (6, "a very long question about nothing in particular at all"), (7, ""), (8, "fall 2025 INFO 6205a")]
@@ -18,13 +18,13 @@ _Q = literal_rows(_ASKED, "id, q")
 @query(
     "alias_candidates",
     rf"""WITH c AS (SELECT id, q, list_transform(list_zip(regexp_extract_all(q, '\b([A-Za-z]{{2,4}})\s?(\d{{4}}[A-Za-z]?)\b', 1), regexp_extract_all(q, '\b([A-Za-z]{{2,4}})\s?(\d{{4}}[A-Za-z]?)\b', 2)), lambda x: upper(x[1]) || ' ' || upper(x[2])) AS f,
-        regexp_extract_all(q, '\b(\d{{4}})\b', 1) AS n FROM {_Q})
+        regexp_extract_all(q, '\b(\d{{4}})\b', 1) AS n FROM {and_texts_sql(_Q, 'q')})
         SELECT id, pos - 1 AS pos, x[pos] AS candidate FROM (SELECT *, unnest(generate_series(1, len(x))) AS pos FROM
           (SELECT id, list_filter(y, lambda v, i: list_position(y, v) = i) AS x FROM
             (SELECT id, list_concat(f, list_filter(n, lambda v: len(list_filter(f, lambda w: contains(w, v))) = 0), CASE WHEN length(trim(q)) BETWEEN 2 AND 30 THEN [trim(q)] ELSE [] END) AS y FROM c)))""",
 )
 def alias_candidates(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_Q}").select("id", F.posexplode(T.code_candidates(F.col("q"))).alias("pos", "candidate"))
+    return and_texts(spark, sf_dir, _Q, "q").select("id", F.posexplode(T.code_candidates(F.col("q"))).alias("pos", "candidate"))
 
 
 _G = "map_from_arrays(array('AI', 'ML', 'NLP', 'BFS'), ARRAY(ARRAY('artificial intelligence'), ARRAY('machine learning', 'maximum likelihood'), ARRAY('natural language processing'), ARRAY('breadth-first search')))"
@@ -34,13 +34,13 @@ _ACRO = literal_rows([(1, "AI and ml courses"), (2, "NLP with machine learning M
 @query(
     "acronym_expand",
     rf"""WITH g(a, s) AS (VALUES ('AI', ['artificial intelligence']), ('ML', ['machine learning', 'maximum likelihood']), ('NLP', ['natural language processing']), ('BFS', ['breadth-first search'])),
-        t AS (SELECT id, q, pos, toks[pos] AS tok FROM (SELECT *, unnest(generate_series(1, len(toks))) AS pos FROM (SELECT id, q, regexp_extract_all(q, '\b[A-Za-z]{{2,6}}\b') AS toks FROM {_ACRO}))),
+        t AS (SELECT id, q, pos, toks[pos] AS tok FROM (SELECT *, unnest(generate_series(1, len(toks))) AS pos FROM (SELECT id, q, regexp_extract_all(q, '\b[A-Za-z]{{2,6}}\b') AS toks FROM {and_texts_sql(_ACRO, 'q')}))),
         e AS (SELECT id, min(pos * 10 + i) AS o, sense FROM (SELECT id, q, pos, unnest(s) AS sense, unnest(range(len(s))) AS i FROM t JOIN g ON a = upper(tok)
               WHERE lower(tok) NOT IN ({", ".join(f"'{w}'" for w in [*T.STOPWORDS, *T.NOT_ACRONYMS])}) AND (length(tok) <> 2 OR tok = upper(tok))) WHERE NOT contains(lower(q), lower(sense)) GROUP BY id, sense)
-        SELECT id, q || coalesce(' ' || (SELECT string_agg(sense, ' ' ORDER BY o) FROM e WHERE e.id = a.id), '') AS expanded FROM (SELECT * FROM {_ACRO}) a""",
+        SELECT id, q || coalesce(' ' || (SELECT string_agg(sense, ' ' ORDER BY o) FROM e WHERE e.id = a.id), '') AS expanded FROM (SELECT * FROM {and_texts_sql(_ACRO, 'q')}) a""",
 )
 def acronym_expand(spark, sf_dir):
-    return spark.sql(f"SELECT id, q, {_G} AS g FROM {_ACRO}").select("id", T.expand_acronyms(F.col("q"), F.col("g")).alias("expanded"))
+    return and_texts(spark, sf_dir, _ACRO, "q").withColumn("g", F.expr(_G)).select("id", T.expand_acronyms(F.col("q"), F.col("g")).alias("expanded"))
 
 
 _PRE = literal_rows([(1, "any info on AAI courses"), (2, "INFO program"), (3, "class about cs topics"), (4, "IE or ie"), (5, "那csye课"), (6, ""), (7, "aai and AAI"), (8, "information")], "id, q")
@@ -49,10 +49,10 @@ _DUCK_PRE = r"upper(regexp_extract(q, '\b((?i:CSYE|EECE|BINF|MATH|MGSC|STAT|AAI|
 
 @query(
     "prefix_filter",
-    rf"""SELECT id, {_DUCK_PRE} AS prefix, CASE WHEN {_DUCK_PRE} = '' THEN q ELSE regexp_replace(trim(regexp_replace(q, '\b((?i:CSYE|EECE|BINF|MATH|MGSC|STAT|AAI|ALY|CS|DS)|INFO|IE)\b', '')), '\s+', ' ', 'g') END AS sanitized FROM {_PRE}""",
+    rf"""SELECT id, {_DUCK_PRE} AS prefix, CASE WHEN {_DUCK_PRE} = '' THEN q ELSE regexp_replace(trim(regexp_replace(q, '\b((?i:CSYE|EECE|BINF|MATH|MGSC|STAT|AAI|ALY|CS|DS)|INFO|IE)\b', '')), '\s+', ' ', 'g') END AS sanitized FROM {and_texts_sql(_PRE, 'q')}""",
 )
 def prefix_filter(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_PRE}").select("id", T.program_prefix(F.col("q")).alias("prefix"), T.without_prefix(F.col("q")).alias("sanitized"))
+    return and_texts(spark, sf_dir, _PRE, "q").select("id", T.program_prefix(F.col("q")).alias("prefix"), T.without_prefix(F.col("q")).alias("sanitized"))
 
 
 _FOLLOW_SQL = r"NOT regexp_matches(text, '[A-Za-z]{2,4}\s?[0-9]{3,4}') AND regexp_matches(text, '(?i)(?:\bthis (?:course|class|one)\b|\bthat (?:course|class|one)\b|\bthe (?:course|class)\b|\bit\b|\bthem\b|\bthese\b|\bboth\b)')"
@@ -66,9 +66,9 @@ def followup_detect(spark, sf_dir):
 _INTENT = literal_rows([(1, "first-semester plan"), (2, "Foundational courses for CS"), (3, "入门课"), (4, "graph algorithms"), (5, "recommended for new students"), (6, "FIRST YEAR")], "id, q")
 
 
-@query("foundational_intent", f"SELECT id, regexp_matches(q, '{T.FOUNDATIONAL}') AS foundational FROM {_INTENT}")
+@query("foundational_intent", f"SELECT id, regexp_matches(q, '{T.FOUNDATIONAL}') AS foundational FROM {and_texts_sql(_INTENT, 'q')}")
 def foundational_intent(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_INTENT}").select("id", T.is_foundational(F.col("q")).alias("foundational"))
+    return and_texts(spark, sf_dir, _INTENT, "q").select("id", T.is_foundational(F.col("q")).alias("foundational"))
 
 
 _ALIASES_SQL = """courses AS (SELECT p_partkey AS course_id, 'PT ' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS code, p_name AS name FROM part),
@@ -262,13 +262,17 @@ def crosslist_semi(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target")).join(big, "target", "left_semi")
 
 
+#: Codes as people write them, from parts besides the cases.
 _CODES = literal_rows([(1, "cs5800"), (2, " AAI 6600 "), (3, "CS  5800"), (4, "DS5220a"), (5, "C 1"), (6, None), (7, "ABCDE1234")], "id, c")
 
 
-@query("code_normalize", rf"SELECT id, n AS code, 'cat-' || lower(replace(n, ' ', '-')) AS record_id FROM (SELECT id, CASE WHEN regexp_matches(upper(trim(c)), '^([A-Z]{{2,4}})\s?(\d{{4}}[A-Z]?)$') THEN regexp_replace(upper(trim(c)), '^([A-Z]{{2,4}})\s?(\d{{4}}[A-Z]?)$', '\1 \2') END AS n FROM {_CODES})")
+_CODES_ALL = f"(SELECT cast(id AS bigint) AS id, c FROM {_CODES} UNION ALL SELECT 1000 + p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cs' || lpad(cast(p_partkey % 10000 AS varchar(9)), 4, '0') WHEN 1 THEN ' DS ' || lpad(cast(p_partkey % 10000 AS varchar(9)), 4, '0') || 'a ' WHEN 2 THEN p_brand ELSE p_name END FROM part) AS t(id, c)"
+
+
+@query("code_normalize", rf"SELECT id, n AS code, 'cat-' || lower(replace(n, ' ', '-')) AS record_id FROM (SELECT id, CASE WHEN regexp_matches(upper(trim(c)), '^([A-Z]{{2,4}})\s?(\d{{4}}[A-Z]?)$') THEN regexp_replace(upper(trim(c)), '^([A-Z]{{2,4}})\s?(\d{{4}}[A-Z]?)$', '\1 \2') END AS n FROM {_CODES_ALL})")
 def code_normalize(spark, sf_dir):
     code = V.normalize_code(F.col("c"))
-    return spark.sql(f"SELECT * FROM {_CODES}").select("id", code.alias("code"), V.record_id(code).alias("record_id"))
+    return over(spark, sf_dir, "part", _CODES_ALL).select("id", code.alias("code"), V.record_id(code).alias("record_id"))
 
 
 @query("pay_bucket", "SELECT p_partkey, CASE WHEN n >= 100 THEN '$100+/hr' ELSE '$' || (n // 10 * 10) || '-' || (n // 10 * 10 + 10) || '/hr' END AS bucket FROM (SELECT p_partkey, floor(p_retailprice / 12)::BIGINT AS n FROM part)")
@@ -279,25 +283,34 @@ def pay_bucket(spark, sf_dir):
 _TAGS = literal_rows([(1, "Tough grader--Get ready to read -- "), (2, ""), (3, "Respected"), (4, None), (5, "----a--b")], "id, t")
 
 
-@query("tag_split", f"SELECT id, pos - 1 AS pos, x[pos] AS tag FROM (SELECT id, x, unnest(generate_series(1, len(x))) AS pos FROM (SELECT id, list_filter(list_transform(string_split(t, '--'), lambda x: trim(x)), lambda x: x <> '') AS x FROM {_TAGS}))")
+_TAGS_ALL = f"(SELECT cast(id AS bigint) AS id, t FROM {_TAGS} UNION ALL SELECT 1000 + p_partkey, replace(p_type, ' ', '-- ') || CASE WHEN p_size % 2 = 0 THEN '--' ELSE '' END FROM part) AS t(id, t)"
+
+
+@query("tag_split", f"SELECT id, pos - 1 AS pos, x[pos] AS tag FROM (SELECT id, x, unnest(generate_series(1, len(x))) AS pos FROM (SELECT id, list_filter(list_transform(string_split(t, '--'), lambda x: trim(x)), lambda x: x <> '') AS x FROM {_TAGS_ALL}))")
 def tag_split(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_TAGS}").select("id", F.posexplode(V.tags(F.col("t"))).alias("pos", "tag"))
+    return over(spark, sf_dir, "part", _TAGS_ALL).select("id", F.posexplode(V.tags(F.col("t"))).alias("pos", "tag"))
 
 
 _NUM = literal_rows([(1, "4.5"), (2, "-1"), (3, "x"), (4, None), (5, "5"), (6, "5.01"), (7, "3.0")], "id, x")
 
 
-@query("clamp", f"SELECT id, CASE WHEN TRY_CAST(x AS DOUBLE) BETWEEN 0 AND 5 THEN TRY_CAST(x AS DOUBLE) END AS rating, CASE WHEN TRY_CAST(x AS DOUBLE) = floor(TRY_CAST(x AS DOUBLE)) THEN TRY_CAST(x AS DOUBLE)::INT END AS credits FROM {_NUM}")
+_NUM_ALL = f"(SELECT cast(id AS bigint) AS id, x FROM {_NUM} UNION ALL SELECT 1000 + p_partkey, CASE p_partkey % 3 WHEN 0 THEN cast(p_size AS varchar(9)) WHEN 1 THEN cast(p_size % 6 AS varchar(9)) || '.5' ELSE p_brand END FROM part) AS t(id, x)"
+
+
+@query("clamp", f"SELECT id, CASE WHEN TRY_CAST(x AS DOUBLE) BETWEEN 0 AND 5 THEN TRY_CAST(x AS DOUBLE) END AS rating, CASE WHEN TRY_CAST(x AS DOUBLE) = floor(TRY_CAST(x AS DOUBLE)) THEN TRY_CAST(x AS DOUBLE)::INT END AS credits FROM {_NUM_ALL}")
 def clamp(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_NUM}").select("id", V.within(F.col("x"), 0, 5).alias("rating"), V.whole_credits(F.col("x")).alias("credits"))
+    return over(spark, sf_dir, "part", _NUM_ALL).select("id", V.within(F.col("x"), 0, 5).alias("rating"), V.whole_credits(F.col("x")).alias("credits"))
 
 
 _MAIL = literal_rows([(1, "a@Example.edu "), (2, "a@b@example.edu"), (3, "example.edu"), (4, "a@notexample.edu"), (5, "x@ college.org")], "id, e")
 
 
-@query("domain_whitelist", f"SELECT id, len(string_split(e, '@')) = 2 AND coalesce(lower(trim(string_split(e, '@')[2])) IN ('example.edu', 'college.org'), false) AS allowed FROM {_MAIL}")
+_MAIL_ALL = f"(SELECT cast(id AS bigint) AS id, e FROM {_MAIL} UNION ALL SELECT 1000 + c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || '@example.edu' WHEN 1 THEN c_name || '@' || c_mktsegment WHEN 2 THEN c_name ELSE c_name || '@College.org ' END FROM customer) AS t(id, e)"
+
+
+@query("domain_whitelist", f"SELECT id, len(string_split(e, '@')) = 2 AND coalesce(lower(trim(string_split(e, '@')[2])) IN ('example.edu', 'college.org'), false) AS allowed FROM {_MAIL_ALL}")
 def domain_whitelist(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_MAIL}").select("id", F.coalesce(V.email_allowed(F.col("e"), ["example.edu", "college.org"]), F.lit(False)).alias("allowed"))
+    return over(spark, sf_dir, "customer", _MAIL_ALL).select("id", F.coalesce(V.email_allowed(F.col("e"), ["example.edu", "college.org"]), F.lit(False)).alias("allowed"))
 
 
 @query("redact_first_pass", r"SELECT doc_id, md5(regexp_replace(text, '(?:\+?1[-. \t\n]?)?\(?[0-9]{3}\)?[-. \t\n]?[0-9]{3}[-. \t\n]?[0-9]{4}\b', '[PHONE]', 'g')) AS redacted_md5 FROM documents")
@@ -308,9 +321,9 @@ def redact_first_pass(spark, sf_dir):
 _DANGLING = literal_rows([(1, "courses about"), (2, "intro to the"), (3, "machine learning,"), (4, "short"), (5, "graph algorithms in practice"), (6, "机器学习 与"), (7, "band")], "id, q")
 
 
-@query("dangling_queries", rf"SELECT id, length(q) BETWEEN 6 AND 140 AND NOT regexp_matches(q, '(?i)(?:\b(?:of|for|the|and|or|on|to|with|a|an|in)\s*$|(?:如何|与|和)\s*$|[,、，:：]\s*$)') AS complete FROM {_DANGLING}")
+@query("dangling_queries", rf"SELECT id, length(q) BETWEEN 6 AND 140 AND NOT regexp_matches(q, '(?i)(?:\b(?:of|for|the|and|or|on|to|with|a|an|in)\s*$|(?:如何|与|和)\s*$|[,、，:：]\s*$)') AS complete FROM {and_texts_sql(_DANGLING, 'q')}")
 def dangling_queries(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_DANGLING}").select("id", V.looks_complete(F.col("q")).alias("complete"))
+    return and_texts(spark, sf_dir, _DANGLING, "q").select("id", V.looks_complete(F.col("q")).alias("complete"))
 
 
 @query("xml_escape", "SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM documents")

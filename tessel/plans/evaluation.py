@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from tessel.operators import bm25, fusion, metrics
 from tessel.plans import retrieval as R
-from tessel.plans.registry import literal_rows, query
+from tessel.plans.registry import literal_rows, over, query
 from tessel.session import settle, table
 from tessel.sources.html import block_rows, link_rows
 from tessel.streaming.events import conversation_events, tumbling
@@ -97,16 +97,21 @@ def alpha_sweep(spark, sf_dir):
     return first
 
 
-_GRID = literal_rows([(0.1, 0.62, 0.61), (0.2, 0.64, 0.605), (0.3, 0.65, 0.60), (0.4, 0.637, 0.606), (0.5, 0.5, 0.7)], "alpha, recall, mrr")
+# a grid of configurations: the cases, and one for each brand of parts
+_CASES = literal_rows([(0.1, 0.62, 0.61), (0.2, 0.64, 0.605), (0.3, 0.65, 0.60), (0.4, 0.637, 0.606), (0.5, 0.5, 0.7)], "alpha, recall, mrr")
+
+
+_GRID = f"(SELECT 'case' || cast(alpha AS varchar(9)) AS config, cast(alpha AS double) AS alpha, cast(recall AS double) AS recall, cast(mrr AS double) AS mrr FROM {_CASES} UNION ALL SELECT p_brand, avg(p_size) / 50, avg(p_size) / 42, avg(p_retailprice) / 2400 FROM part GROUP BY p_brand) AS t(config, alpha, recall, mrr)"
 
 
 @query(
     "pareto_winner",
-    f"""SELECT alpha::DOUBLE AS alpha, recall::DOUBLE AS recall, mrr::DOUBLE AS mrr, CASE WHEN recall >= 0.636 AND mrr >= 0.603 THEN 0 WHEN recall >= 0.62 THEN 1 ELSE 2 END AS tier FROM {_GRID}
+    f"""SELECT config, round(alpha, 8) AS alpha, round(recall, 8) AS recall, round(mrr, 8) AS mrr, CASE WHEN recall >= 0.636 AND mrr >= 0.603 THEN 0 WHEN recall >= 0.62 THEN 1 ELSE 2 END AS tier FROM {_GRID}
         ORDER BY tier, mrr DESC, recall DESC LIMIT 1""",
 )
 def pareto_winner(spark, sf_dir):
-    return metrics.winner(spark.sql(f"SELECT cast(alpha AS double) AS alpha, cast(recall AS double) AS recall, cast(mrr AS double) AS mrr FROM {_GRID}"))
+    best = metrics.winner(over(spark, sf_dir, "part", _GRID))
+    return best.select("config", *[F.round(c, 8).alias(c) for c in ("alpha", "recall", "mrr")], "tier")
 
 
 @query(
@@ -145,10 +150,10 @@ def matched_via_dist(spark, sf_dir):
     return n.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "event_type")))
 
 
-@query("strided_sample", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents WHERE lang = 'fr') SELECT doc_id FROM r WHERE rn % greatest(n // 20, 1) = 0 ORDER BY doc_id LIMIT 20")
+@query("strided_sample", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id FROM r WHERE rn % greatest(n // 20, 1) = 0 ORDER BY doc_id LIMIT 20")
 def strided_sample(spark, sf_dir, m: int = 20):
     """Every n/m-th by id, the first m: the sampling is the feature. Ids are ranked by ranges, not in one task."""
-    ids = table(spark, sf_dir, "documents").filter("lang = 'fr'").select("doc_id")
+    ids = table(spark, sf_dir, "documents").select("doc_id")
     placed = ranked_globally(ids, "doc_id")
     stride = F.greatest(F.floor(F.col("n") / m), F.lit(1))
     return placed.filter((F.col("place") - 1) % stride == 0).select("doc_id").orderBy("doc_id").limit(m)
@@ -177,10 +182,10 @@ def last_n_turns(spark, sf_dir):
     return last.filter(F.length(F.trim("text")) > 0).select("conv_id", "turn", "role", F.left("text", F.lit(4000)).alias("text"))
 
 
-@query("last_evidence_turn", "SELECT conv_id, max(turn) AS turn, max_by(left(text, 10), turn) AS evidence FROM conversations WHERE role = 'assistant' AND length(text) > 0 GROUP BY 1")
+@query("last_evidence_turn", "SELECT conv_id, max(turn) AS turn, md5(max_by(text, turn)) AS evidence_md5 FROM conversations WHERE role = 'assistant' AND length(text) > 0 GROUP BY 1")
 def last_evidence_turn(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").filter("role = 'assistant' AND length(text) > 0")
-    return rows.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by(F.left("text", F.lit(10)), "turn").alias("evidence"))
+    return rows.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.md5(F.max_by("text", "turn")).alias("evidence_md5"))
 
 
 @query("history_transcript", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS transcript_md5 FROM conversations GROUP BY 1")

@@ -11,7 +11,7 @@ from tessel.operators.lexical import LexicalIndex
 from tessel.operators.rescue import LEAST_P, rescue
 from tessel.plans import retrieval as R
 from tessel.plans.catalog import hard_filters
-from tessel.plans.registry import literal_rows, query
+from tessel.plans.registry import literal_rows, over, query
 from tessel.session import keep_until_exit, settle, shared_path, table
 
 
@@ -98,13 +98,21 @@ def dry_run_plan(spark, sf_dir):
 _REQUESTS = literal_rows([(1, "graphs", 5, "search", "{}"), (2, "", 5, "search", "{}"), (3, "x" * 501, 5, "search", "{}"), (4, "ml", 51, "search", "{}"), (5, "ml", 21, "chat", "{}"), (6, "ml", 20, "chat", '{"credits": 13}'), (7, "ml", 1, "chat", '{"credits": 12, "page": 2}'), (8, None, 3, "search", "{}"), (9, "ok", 50, "browse", "{}")], "id, query, k, route, filters")
 
 
+# turns as requests: the text asks, places and roles give the rest
+_ALL_REQUESTS = f"""(SELECT cast(id AS bigint) AS id, query, k, route, filters FROM {_REQUESTS} UNION ALL SELECT 1000 + conv_id * 1000 + turn, CASE WHEN conv_id % 9 = 0 THEN '' ELSE text END, cast((conv_id * 7 + turn * 11) % 60 AS int), CASE role WHEN 'user' THEN 'search' WHEN 'assistant' THEN 'chat' ELSE role END,
+CASE conv_id % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"credits": 13}}' WHEN 2 THEN '{{"credits": 4, "term": "fall"}}' ELSE '{{"credits": 12, "page": 2}}' END FROM conversations) AS t(id, query, k, route, filters)"""
+
+
 @query(
     "request_errors",
-    """SELECT * FROM (VALUES (2, 'query'), (3, 'query'), (4, 'k'), (5, 'k'), (6, 'credits'), (7, 'unknown key'), (8, 'query'), (9, 'route')) t(id, error)""",
+    f"""WITH r AS (SELECT *, TRY_CAST(json_extract_string(filters, '$.credits') AS DOUBLE) AS c FROM {_ALL_REQUESTS})
+       SELECT id, 'query' AS error FROM r WHERE query IS NULL OR length(query) NOT BETWEEN 1 AND 500 UNION ALL SELECT id, 'k' FROM r WHERE k < 1 OR k > CASE WHEN route = 'chat' THEN 20 ELSE 50 END
+       UNION ALL SELECT id, 'route' FROM r WHERE route NOT IN ('search', 'chat') UNION ALL SELECT id, 'credits' FROM r WHERE c < 0 OR c > 12
+       UNION ALL SELECT id, 'unknown key' FROM r WHERE len(list_filter(json_keys(filters), lambda x: x NOT IN ('credits', 'term'))) > 0""",
 )
 def request_errors(spark, sf_dir):
-    """Bounds, enumerations and unknown keys of requests; a row per fault. The SQL states the faults of these rows."""
-    rows = spark.sql(f"SELECT * FROM {_REQUESTS}")
+    """Bounds, enumerations and unknown keys of requests; a row per fault."""
+    rows = over(spark, sf_dir, "conversations", _ALL_REQUESTS)
     credits = F.get_json_object("filters", "$.credits").try_cast("double")
     most = F.when(F.col("route") == "chat", 20).otherwise(50)
     faults = {

@@ -12,10 +12,11 @@ from tessel.functions import text as T
 from tessel.functions.vector import l2_normalize, norm
 from tessel.operators import bm25, fusion, vectors
 from tessel.operators.lexical import FORMAT, LexicalIndex
-from tessel.plans.registry import literal_rows, query
+from tessel.plans.registry import and_texts, and_texts_sql, literal_rows, query
 from tessel.session import at_path, settle, shared_dir, shared_path, table
 
 _building = threading.Lock()
+_open: dict[str, LexicalIndex] = {}
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 
@@ -58,10 +59,13 @@ def index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     path = f"{shared_dir(spark).rstrip('/')}/lexical-index-{name}"
     with _building:
         try:
-            return LexicalIndex.load(spark, path)
+            if (kept := _open.get(path)) is None or kept.spark is not spark:
+                kept = _open[path] = LexicalIndex.load(spark, path)
+            return kept
         except FileNotFoundError:
             new = LexicalIndex.build(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_path(spark, "index-being-built"))
-            return new.move_to(path, keep=spark.conf.get("spark.checkpoint.dir", None) is not None)
+            _open[path] = new.move_to(path, keep=spark.conf.get("spark.checkpoint.dir", None) is not None)
+            return _open[path]
 
 
 def scores(spark: SparkSession, sf_dir: str, allowed: DataFrame | None = None, k: int = 30) -> DataFrame:
@@ -113,10 +117,10 @@ _CJK = literal_rows([(1, "Hello, World 123!"), (2, "Dr. Zhang's class — A+"),
 @query(
     "tokenize_cjk_bigrams",
     f"""SELECT id, array_to_string(list_concat({duck_tokens('t')}, flatten(list_transform(regexp_extract_all(t, '[一-鿿]+'),
-        lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: r[i:i + 1]) END))), '|') AS tokens FROM (SELECT * FROM {_CJK})""",
+        lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: r[i:i + 1]) END))), '|') AS tokens FROM {and_texts_sql(_CJK, 't')}""",
 )
 def tokenize_cjk_bigrams(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_CJK}").select("id", F.array_join(T.tokenize(F.col("t")), "|").alias("tokens"))
+    return and_texts(spark, sf_dir, _CJK, "t").select("id", F.array_join(T.tokenize(F.col("t")), "|").alias("tokens"))
 
 
 @query("bm25_term_stats", f"WITH {BM25_SQL.format(where='')} SELECT term, df, cf, round(idf, 8) AS idf FROM idf")

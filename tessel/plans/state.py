@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from tessel.functions import values as V
 from tessel.operators import privacy, tables
-from tessel.plans.registry import literal_rows, query
+from tessel.plans.registry import literal_rows, over, query
 from tessel.session import table
 
 _COOP = """coop AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'company' || (c_custkey % 40) END AS company, CASE c_custkey % 3 WHEN 0 THEN 'eng' WHEN 1 THEN 'data' END AS role,
@@ -162,10 +162,10 @@ def counter_increment(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(added, F.col("c_custkey") == F.col("reader_id"), "left").select("c_custkey", (F.col("c_nationkey") + F.coalesce("contributions", F.lit(0))).alias("contribution_count"))
 
 
-@query("query_log_export", "SELECT event_id, to_json({'user_id': user_id, 'route': event_type, 'latency_ms': value}) AS line FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 10 <> 0")
+@query("query_log_export", "SELECT event_id, to_json({'user_id': user_id, 'route': event_type, 'latency_ms': value}) AS line FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
 def query_log_export(spark, sf_dir):
     return (
-        table(spark, sf_dir, "events").filter((F.col("ts") >= F.to_timestamp(F.lit("2024-01-15"))) & (F.col("user_id") % 10 != 0))
+        table(spark, sf_dir, "events").filter(F.col("ts") >= F.to_timestamp(F.lit("2024-01-15")))
         .select("event_id", F.to_json(F.struct("user_id", F.col("event_type").alias("route"), F.col("value").alias("latency_ms"))).alias("line"))
     )
 
@@ -233,26 +233,32 @@ def audit_string(spark, sf_dir):
 _EXP = literal_rows([(1, "graphs|trees", " bfs |", "图"), (2, None, None, None), (3, "", "dfs", None)], "id, queries, keywords, zh")
 
 
-@query("expansion_text", rf"SELECT id, array_to_string(list_filter(list_transform(list_concat(coalesce(string_split(queries, '|'), []), coalesce(string_split(keywords, '|'), []), CASE WHEN zh IS NULL THEN [] ELSE [zh] END), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS expansion FROM {_EXP} WHERE id <> 2")
+_EXP_ALL = f"(SELECT cast(id AS bigint) AS id, queries, keywords, cast(zh AS varchar(99)) AS zh FROM {_EXP} UNION ALL SELECT 1000 + p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE replace(p_name, ' ', ' | ') END, CASE WHEN p_size % 3 = 0 THEN p_type || '| ' WHEN p_size % 3 = 1 THEN '' END, CASE WHEN p_size % 5 = 0 THEN ' 图 ' END FROM part) AS t(id, queries, keywords, zh)"
+
+
+@query("expansion_text", rf"SELECT * FROM (SELECT id, array_to_string(list_filter(list_transform(list_concat(coalesce(string_split(queries, '|'), []), coalesce(string_split(keywords, '|'), []), CASE WHEN zh IS NULL THEN [] ELSE [zh] END), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS expansion FROM {_EXP_ALL}) WHERE expansion <> ''")
 def expansion_text(spark, sf_dir):
     """Generated texts in one field, trimmed, blanks left out; rows without any are skipped."""
     none = F.array().cast("array<string>")
     split = lambda c: F.coalesce(F.split(c, r"\|"), none)
     parts = F.concat(split(F.col("queries")), split(F.col("keywords")), F.coalesce(F.array("zh"), none))
     text = F.array_join(F.filter(F.transform(F.filter(parts, lambda x: x.isNotNull()), lambda x: F.trim(x)), lambda x: x != ""), "\n")
-    return spark.sql(f"SELECT id, queries, keywords, cast(zh AS string) AS zh FROM {_EXP}").select("id", text.alias("expansion")).filter("expansion <> ''")
+    return over(spark, sf_dir, "part", _EXP_ALL).select("id", text.alias("expansion")).filter("expansion <> ''")
+
+
+_PAIRS = """WITH g AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS x FROM lineitem), k AS (SELECT g FROM g GROUP BY g HAVING count(*) >= 3), r AS (SELECT g.* FROM g JOIN k USING (g))
+SELECT a.x AS part_a, b.x AS part_b, count(*) AS shared FROM r a JOIN r b ON a.g = b.g AND a.x < b.x GROUP BY ALL HAVING count(*) >= 2"""
 
 
-@query("pair_overlap", "SELECT a.l_partkey AS part_a, b.l_partkey AS part_b, count(*) AS shared FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 45) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 45) b ON a.l_suppkey = b.l_suppkey AND a.l_partkey < b.l_partkey GROUP BY ALL HAVING count(*) >= 2")
+@query("pair_overlap", "SELECT shared, count(*) AS pairs, sum(part_a) AS sum_a, sum(part_b) AS sum_b FROM (" + _PAIRS + ") GROUP BY shared")
 def pair_overlap(spark, sf_dir):
-    """Pairs that share two groups or more."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_suppkey", "l_partkey").distinct()
-    a, b = rows.withColumnRenamed("l_partkey", "part_a"), rows.withColumnRenamed("l_partkey", "part_b")
-    return a.join(b, "l_suppkey").filter("part_a < part_b").groupBy("part_a", "part_b").agg(F.count("*").alias("shared")).filter("shared >= 2")
+    """Of all pairs that share two groups of three members or more: how many share how many."""
+    by = pair_overlap_whole(spark, sf_dir).groupBy("shared")
+    return by.agg(F.count("*").alias("pairs"), F.sum("part_a").alias("sum_a"), F.sum("part_b").alias("sum_b"))
 
 
-@query("pair_overlap_whole")
+@query("pair_overlap_whole", _PAIRS)
 def pair_overlap_whole(spark, sf_dir):
-    """Pairs that share two groups of three members or more, over all rows; without SQL, held against brute force."""
+    """Pairs that share two groups of three members or more, over all rows."""
     pairs = tables.shared_pairs(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", least=2, k=3)
     return pairs.withColumnsRenamed({"a": "part_a", "b": "part_b"})

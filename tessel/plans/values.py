@@ -1,11 +1,12 @@
-"""Queries on single values and records: parsing, formatting, validation. Their inputs are literal rows or parts."""
+"""Queries on single values and records: parsing, formatting, validation. Their inputs are the tables' texts, parts and orders, with
+literal cases besides."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tessel.functions import values as V
-from tessel.plans.registry import literal_rows, query
+from tessel.plans.registry import and_texts, and_texts_sql, literal_rows, over, query
 from tessel.session import table
 
 _TITLES = literal_rows([(1, "GEO 4107.  Rivers and Their Valleys.  (3 Hours)"), (2, "CS5800. Algorithms. (4 Hours)"), (3, "DS 5220. Supervised ML. (1.5 Hour)"), (4, "not a title"), (5, "BINF 6200A. Methods. Part 2. (0 Hours)")], "id, t")
@@ -13,13 +14,16 @@ _TITLES = literal_rows([(1, "GEO 4107.  Rivers and Their Valleys.  (3 Hours)"),
 _TITLE = r"^([A-Z]{2,4})\s?([0-9]{4}[A-Z]?)\.\s+(.+?)\.\s+\(([0-9.]+)\s*Hours?\)\s*$"
 
 
+_TITLES_ALL = f"(SELECT cast(id AS bigint) AS id, t FROM {_TITLES} UNION ALL SELECT 1000 + p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE 'PT ' || lpad(cast(p_partkey % 10000 AS varchar(9)), 4, '0') || '.  ' || p_name || '. ' || p_type || '.  (' || cast(p_size AS varchar(9)) || CASE WHEN p_partkey % 3 = 0 THEN '.5' ELSE '' END || ' Hours)' END FROM part) AS t(id, t)"
+
+
 @query(
     "title_parse",
-    rf"SELECT id, regexp_extract(t, '{_TITLE}', 1) || ' ' || regexp_extract(t, '{_TITLE}', 2) AS code, regexp_extract(t, '{_TITLE}', 3) AS name, CASE WHEN regexp_extract(t, '{_TITLE}', 4)::DOUBLE = floor(regexp_extract(t, '{_TITLE}', 4)::DOUBLE) THEN regexp_extract(t, '{_TITLE}', 4)::DOUBLE::INT END AS credits FROM {_TITLES} WHERE regexp_matches(t, '{_TITLE}')",
+    rf"SELECT id, regexp_extract(t, '{_TITLE}', 1) || ' ' || regexp_extract(t, '{_TITLE}', 2) AS code, regexp_extract(t, '{_TITLE}', 3) AS name, CASE WHEN regexp_extract(t, '{_TITLE}', 4)::DOUBLE = floor(regexp_extract(t, '{_TITLE}', 4)::DOUBLE) THEN regexp_extract(t, '{_TITLE}', 4)::DOUBLE::INT END AS credits FROM {_TITLES_ALL} WHERE regexp_matches(t, '{_TITLE}')",
 )
 def title_parse(spark, sf_dir):
     part = lambda i: F.regexp_extract("t", _TITLE, i)
-    rows = spark.sql(f"SELECT * FROM {_TITLES}").filter(F.col("t").rlike(_TITLE))
+    rows = over(spark, sf_dir, "part", _TITLES_ALL).filter(F.col("t").rlike(_TITLE))
     return rows.select("id", F.concat_ws(" ", part(1), part(2)).alias("code"), part(3).alias("name"), V.whole_credits(part(4)).alias("credits"))
 
 
@@ -32,11 +36,11 @@ _PAIR = r"\b([A-Z]{2,4})\s?([0-9]{4}[A-Z]?)\s+and\s+([A-Z]{2,4})\s?([0-9]{4}[A-Z
     "cross_listed",
     rf"SELECT id, upper(a[i]) || ' ' || upper(b[i]) AS code_a, upper(c[i]) || ' ' || upper(d[i]) AS code_b FROM (SELECT *, unnest(generate_series(1, len(a))) AS i FROM (SELECT id, "
     + ", ".join(rf"regexp_extract_all(t, '(?i){_PAIR}', {i}) AS {c}" for i, c in enumerate("abcd", 1))
-    + f" FROM {_CROSS}))",
+    + f" FROM {and_texts_sql(_CROSS, 't')}))",
 )
 def cross_listed(spark, sf_dir):
     groups = [F.regexp_extract_all("t", F.lit(f"(?i){_PAIR}"), i).alias(c) for i, c in enumerate("abcd", 1)]
-    rows = spark.sql(f"SELECT * FROM {_CROSS}").select("id", F.explode(F.arrays_zip(*groups)).alias("m"))
+    rows = and_texts(spark, sf_dir, _CROSS, "t").select("id", F.explode(F.arrays_zip(*groups)).alias("m"))
     code = lambda x, y: F.concat_ws(" ", F.upper(F.col(f"m.{x}")), F.upper(F.col(f"m.{y}")))
     return rows.select("id", code("a", "b").alias("code_a"), code("c", "d").alias("code_b"))
 
@@ -48,13 +52,18 @@ _CREDITS = r"(?:Credit\s+hours?|Credits?)\s*[:=]?\s*([0-9]{1,2})\b|\b([0-9]{1,2}
 _TEACHER = r"(?:Instructor|Full\s+name|Professor)\s*[:=]\s*([A-Z][A-Za-z.'\-]+(?:[ \t]+[A-Z][A-Za-z.'\-]+)+)"
 
 
+_TEACHER_SQL = _TEACHER.replace("'", "''")
+
+
 @query(
     "syllabus_guess",
-    """SELECT * FROM (VALUES (1, 'SPRING 2026', 3, 'Dr. Ada Lovelace'), (2, 'SUMMER II 2025', 4, NULL), (3, NULL, NULL, NULL), (4, 'FALL 2024', NULL, 'Alan M. Turing'), (5, NULL, 12, 'Mary O''Brien-Lee')) t(id, term, credits, instructor)""",
+    rf"""WITH r AS (SELECT id, left(t, 2000) AS t FROM {and_texts_sql(_SYLLABUS, 't')}), g AS (SELECT id, regexp_extract(t, '(?i){_TERM}', 1) AS season, regexp_extract(t, '(?i){_TERM}', 2) AS year,
+        coalesce(nullif(regexp_extract(t, '(?i){_CREDITS}', 1), ''), nullif(regexp_extract(t, '(?i){_CREDITS}', 2), ''))::INT AS credits, nullif(regexp_extract(t, '{_TEACHER_SQL}', 1), '') AS instructor FROM r)
+        SELECT id, CASE WHEN year <> '' THEN upper(season) || ' ' || year END AS term, credits, instructor FROM g""",
 )
 def syllabus_guess(spark, sf_dir):
     got = lambda p, i: F.nullif(F.regexp_extract("t", p, i), F.lit(""))
-    rows = spark.sql(f"SELECT id, left(t, 2000) AS t FROM {_SYLLABUS}")
+    rows = and_texts(spark, sf_dir, _SYLLABUS, "t").withColumn("t", F.left("t", F.lit(2000)))
     term = F.when(got("(?i)" + _TERM, 2).isNotNull(), F.concat_ws(" ", F.upper(got("(?i)" + _TERM, 1)), got("(?i)" + _TERM, 2)))
     return rows.select("id", term.alias("term"), F.coalesce(got("(?i)" + _CREDITS, 1), got("(?i)" + _CREDITS, 2)).cast("int").alias("credits"), got(_TEACHER, 1).alias("instructor"))
 
@@ -62,17 +71,23 @@ def syllabus_guess(spark, sf_dir):
 _DATES = literal_rows([(1, "2024-03-05 10:00:00 +0000 UTC"), (2, "March 2024"), (3, None), (4, "2024-13-01")], "id, d")
 
 
-@query("date_head", rf"SELECT id, TRY_CAST(nullif(regexp_extract(d, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') AS DATE) AS day FROM {_DATES}")
+_DATES_ALL = f"(SELECT cast(id AS bigint) AS id, d FROM {_DATES} UNION ALL SELECT 1000 + o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN left(cast(o_orderdate AS varchar(30)), 10) || ' 10:00:00 +0000 UTC' WHEN 1 THEN left(cast(o_orderdate AS varchar(30)), 10) ELSE o_orderpriority END FROM orders) AS t(id, d)"
+
+
+@query("date_head", rf"SELECT id, TRY_CAST(nullif(regexp_extract(d, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') AS DATE) AS day FROM {_DATES_ALL}")
 def date_head(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_DATES}").select("id", V.date_head(F.col("d")).alias("day"))
+    return over(spark, sf_dir, "orders", _DATES_ALL).select("id", V.date_head(F.col("d")).alias("day"))
 
 
 _EPOCH = literal_rows([(1, "1700000000"), (2, "x"), (3, None), (4, "0")], "id, e")
 
 
-@query("epoch_time", f"SELECT id, strftime(coalesce(make_timestamp((TRY_CAST(e AS DOUBLE) * 1000000)::BIGINT), TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS at FROM {_EPOCH}")
+_EPOCH_ALL = f"(SELECT cast(id AS bigint) AS id, e FROM {_EPOCH} UNION ALL SELECT 1000 + o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE cast(1000000000 + o_orderkey * 1000 AS varchar(20)) END FROM orders) AS t(id, e)"
+
+
+@query("epoch_time", f"SELECT id, strftime(coalesce(make_timestamp((TRY_CAST(e AS DOUBLE) * 1000000)::BIGINT), TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS at FROM {_EPOCH_ALL}")
 def epoch_time(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_EPOCH}").select("id", F.date_format(V.epoch_time(F.col("e")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return over(spark, sf_dir, "orders", _EPOCH_ALL).select("id", F.date_format(V.epoch_time(F.col("e")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("code_variants", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN c WHEN 1 THEN lower(replace(c, ' ', '')) ELSE replace(c, ' ', '') || ' course' END AS variant FROM (SELECT p_partkey, 'PT ' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS c FROM part)")
