@@ -133,5 +133,11 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
                 outer.append(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it comes in fewer parts than there are, as small tables do; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
