@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from tessel.operators.ranks import placed, values_at
 
 
 def recall_capped(expected: Column, retrieved: Column, k: int) -> Column:
@@ -25,29 +26,20 @@ def reciprocal_rank(expected: Column, retrieved: Column) -> Column:
     return F.when(F.size(expected) > 0, found).otherwise(F.when(F.size(retrieved) == 0, 1.0).otherwise(0.0))
 
 
-def nth(rows: DataFrame, value: str, by: list[str], indices: dict[str, Column]) -> DataFrame:
-    """Values at 0-based places of the sorted group, by name; a place is a Column of ``n``.
-
-    Places are found by rank, not by collecting the group.
-    """
-    w = W.partitionBy(*by)
-    placed = rows.select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return placed.groupBy(*by).agg(*[F.max(F.when(F.col("i") == at, F.col(value))).alias(name) for name, at in indices.items()])
+def interpolated(rows: DataFrame, value: str, by: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """(by, names): quantiles by linear interpolation between the two places next to q * (n - 1)."""
+    at = lambda q: F.lit(q) * (F.col("n") - 1)
+    ends = {f"__{end}_{name}": f(at(q)) for name, q in quantiles.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    low, high = (lambda n: F.col(f"__low_{n}")), (lambda n: F.col(f"__high_{n}"))
+    return values_at(rows, value, by, ends).select(*by, *[(low(n) + (high(n) - low(n)) * (at(q) - F.floor(at(q)))).alias(n) for n, q in quantiles.items()])
 
 
 def auc_ordinal(rows: DataFrame, score: str, label: str, tie: str) -> DataFrame:
-    """Mann-Whitney AUC on ordinal ranks, ties in order of ``tie``.
-
-    Ranks come from counts of distinct scores, summed up in order, so that one sort of all rows isn't needed on one task:
-    a row's rank is what precedes its score plus its place within the score.
-    """
-    per = rows.groupBy(score).agg(F.count("*").alias("n"))
-    before = per.select(F.col(score).alias("__s"), (F.sum("n").over(W.orderBy(score)) - F.col("n")).alias("before"))
-    placed = rows.withColumn("within", F.row_number().over(W.partitionBy(score).orderBy(tie))).join(before, F.equal_null(F.col(score), F.col("__s")))
-    pos = F.count_if(F.col(label) == 1)
-    neg = F.count_if(F.col(label) == 0)
-    ranks = F.sum(F.when(F.col(label) == 1, F.col("before") + F.col("within")))
-    return placed.agg(pos.alias("n_pos"), neg.alias("n_neg"), F.round((ranks - pos * (pos + 1) / 2) / (pos * neg), 8).alias("auc"))
+    """Mann-Whitney AUC on ordinal ranks, ties in order of ``tie``."""
+    at, _ = placed(rows.select(score, label, tie), [score, tie])
+    pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    ranks = F.sum(F.when(F.col(label) == 1, F.col("place")))
+    return at.agg(pos.alias("n_pos"), neg.alias("n_neg"), F.round((ranks - pos * (pos + 1) / 2) / (pos * neg), 8).alias("auc"))
 
 
 def winner(rows: DataFrame, mrr: str = "mrr", recall: str = "recall", soft: tuple[float, float] = (0.636, 0.603), floor: float = 0.62) -> DataFrame:

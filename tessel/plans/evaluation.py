@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessel.operators import bm25, fusion, metrics
+from tessel.operators import bm25, fusion, logistic, metrics, models
+from tessel.operators.ranks import placed, values_at
 from tessel.plans import retrieval as R
 from tessel.plans.registry import literal_rows, over, query
 from tessel.session import settle, table
@@ -24,22 +26,19 @@ m AS (SELECT *, CASE WHEN len(want) > 0 THEN len(list_filter(want, lambda x: lis
 
 
 def judged(spark, sf_dir) -> DataFrame:
-    """(query_id, category, want, got): expected documents and the first five found."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    """(query_id, query, category, want): benchmark items with the documents that hold them."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.when(F.length("text") % 2 == 0, "simple").otherwise("complex").alias("category"))
     want = R.passage_hits(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("want"))
-    found = R.index(spark, sf_dir).top_k(R.questions(spark, sf_dir), 5)
-    got = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("got"))
-    none = F.array().cast("array<bigint>")
-    category = F.when(F.length("text") % 2 == 0, "simple").otherwise("complex")
-    out = items.join(want, "query_id", "left").join(got, "query_id", "left")
-    return out.select("query_id", category.alias("category"), F.coalesce("want", none).alias("want"), F.coalesce("got", none).alias("got"))
-
-
-def measured(spark, sf_dir) -> DataFrame:
-    want, got = F.col("want"), F.col("got")
-    return judged(spark, sf_dir).select(
-        "*", metrics.recall_capped(want, got, 5).alias("recall"), metrics.recall_uncapped(want, got, 5).alias("recall_all"), metrics.reciprocal_rank(want, got).alias("rr")
-    )
+    return items.join(want, "query_id", "left")
+
+
+def lexical_search(spark, sf_dir, k: int = 5):
+    """A search to evaluate: (query_id, query) to the first k by BM25."""
+    return lambda asked: R.index(spark, sf_dir).top_k(bm25.queries_of(asked, "query", "query_id"), k)
+
+
+def measured(spark, sf_dir, search=None) -> DataFrame:
+    return models.evaluate(search or lexical_search(spark, sf_dir), judged(spark, sf_dir))
 
 
 @query("recall_at_k", _TRUTH + " SELECT query_id, round(recall, 6) AS recall, round(recall_all, 6) AS recall_all FROM m")
@@ -133,15 +132,16 @@ def auc(spark, sf_dir):
 def latency_pctl_floor(spark, sf_dir):
     n = F.col("n")
     at = lambda p: F.least(n - 1, F.floor(n * p))
-    return metrics.nth(table(spark, sf_dir, "events"), "value", ["event_type"], {"p50": at(0.5), "p95": at(0.95), "p95_low": F.greatest(F.lit(0), F.floor(n * 0.95) - 1)})
+    return values_at(table(spark, sf_dir, "events"), "value", ["event_type"], {"p50": at(0.5), "p95": at(0.95), "p95_low": F.greatest(F.lit(0), F.floor(n * 0.95) - 1)}).drop("n")
 
 
 @query("latency_pctl_interp", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stdev, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1")
 def latency_pctl_interp(spark, sf_dir):
     r = lambda c: F.round(c, 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        r(F.percentile("value", 0.95)).alias("p95"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("stdev"), r(F.percentile("value", 0.5)).alias("median")
-    )
+    rows = table(spark, sf_dir, "events")
+    means = rows.groupBy("event_type").agg(r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("stdev"))
+    quantiles = metrics.interpolated(rows.filter("value is not null"), "value", ["event_type"], {"p95": 0.95, "median": 0.5})
+    return means.join(quantiles, "event_type", "left").select("event_type", r("p95").alias("p95"), "mean", "stdev", r("median").alias("median"))
 
 
 @query("matched_via_dist", "SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY 1")
@@ -154,18 +154,8 @@ def matched_via_dist(spark, sf_dir):
 def strided_sample(spark, sf_dir, m: int = 20):
     """Every n/m-th by id, the first m: the sampling is the feature. Ids are ranked by ranges, not in one task."""
     ids = table(spark, sf_dir, "documents").select("doc_id")
-    placed = ranked_globally(ids, "doc_id")
-    stride = F.greatest(F.floor(F.col("n") / m), F.lit(1))
-    return placed.filter((F.col("place") - 1) % stride == 0).select("doc_id").orderBy("doc_id").limit(m)
-
-
-def ranked_globally(rows: DataFrame, by: str) -> DataFrame:
-    """``rows(by)`` with 1-based ``place`` and the total ``n``: ranges of ids are counted, summed up and ranked within."""
-    cell = F.floor(F.col(by) / 4096)
-    cells = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("in_cell"))
-    cells = cells.select("cell", (F.sum("in_cell").over(W.orderBy("cell")) - F.col("in_cell")).alias("before"), F.sum("in_cell").over(W.partitionBy()).alias("n"))
-    within = rows.withColumn("cell", cell).withColumn("w", F.row_number().over(W.partitionBy("cell").orderBy(by)))
-    return within.join(cells, "cell").select(*rows.columns, (F.col("before") + F.col("w")).alias("place"), "n")
+    rows, n = placed(ids, ["doc_id"])
+    return rows.filter((F.col("place") - 1) % max(n // m, 1) == 0).select("doc_id").orderBy("doc_id").limit(m)
 
 
 @query("stratified_round_robin", "SELECT doc_id, source, rn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) ORDER BY rn, source LIMIT 50")
@@ -281,13 +271,29 @@ def prereq_closure(spark, sf_dir):
 
 @query("logreg_fit")
 def logreg_fit(spark, sf_dir):
-    """Logistic regression of quality on standardized length features; coefficients by name. Iterative: no SQL twin."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
+    """Logistic regression of quality on two features of texts; coefficients by name. Iterative: no SQL twin."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(
-        F.col("quality").cast("double").alias("label"), F.log1p(F.col("n_chars")).alias("log_chars"), (F.length(F.regexp_replace("text", "[A-Za-z ]", "")) / F.greatest(F.col("n_chars"), F.lit(1))).alias("other_share")
+        F.col("quality").alias("label"), F.log1p(F.col("n_chars")).alias("log_chars"), (F.length(F.regexp_replace("text", "[A-Za-z ]", "")) / F.greatest(F.col("n_chars"), F.lit(1))).alias("other_share")
     )
     names = ["log_chars", "other_share"]
-    model = LogisticRegression(regParam=1e-2, elasticNetParam=0.0, standardization=True, maxIter=200).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
-    return spark.createDataFrame([(n, float(c)) for n, c in zip(names, model.coefficients, strict=True)] + [("bias", float(model.intercept))], "name string, weight double")
+    weights, bias, _ = logistic.fit(rows, names, "label")
+    return spark.createDataFrame([*zip(names, map(float, weights), strict=True), ("bias", bias)], "name string, weight double")
+
+
+def load_overlap():
+    """A stand-in reranker as a task loads it: the share of the query's words that the text has."""
+    words = lambda t: {w for w in t.lower().split() if w}
+    return lambda pairs: np.array([len(words(q) & words(t)) / max(1, len(words(q))) for q, t in pairs])
+
+
+@query(
+    "rerank_batched",
+    f"""WITH {R.BM25_SQL.format(where='')}, {R._SIGMA} SELECT query_id, doc_id, round(sigma, 6) AS score, rank FROM
+        (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sigma DESC, doc_id) AS rank FROM sg) WHERE rank <= 5""",
+)
+def rerank_batched(spark, sf_dir, load=load_overlap):
+    """The rerank of ``rerank_overlap`` by a model that tasks load and that sees batches of pairs."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    pool = R.scores(spark, sf_dir, k=20).join(asked, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    scored = models.rerank(pool, "query", "text", load).select("query_id", "doc_id", F.col("sigma").alias("score"))
+    return bm25.ranked(scored, 5).withColumn("score", F.round("score", 6))

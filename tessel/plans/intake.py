@@ -3,6 +3,7 @@ Parts stand in for records, customers for contributors, benchmark items for quer
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 from tessel.functions import text as T
 from tessel.functions import values as V
 from tessel.functions.vector import l2_normalize
-from tessel.operators import bm25, fusion, privacy, tables
+from tessel.operators import bm25, fusion, models, privacy, tables
 from tessel.plans import retrieval as R
 from tessel.plans.registry import query
 from tessel.plans.state import _COOP, coop
@@ -184,12 +185,24 @@ def encode_distinct(rows: DataFrame, text: str, encode=counts_encoder) -> DataFr
     return rows.join(once.withColumnRenamed(text, "__text"), F.equal_null(F.col(text), F.col("__text"))).drop("__text")
 
 
-@query(
-    "encode_queries",
-    """WITH q AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'same question' ELSE text END AS text FROM benchmark),
+_ENCODED = """WITH q AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'same question' ELSE text END AS text FROM benchmark),
        e AS (SELECT item_id, length(text)::DOUBLE AS a, len(string_split(text, ' '))::DOUBLE AS b, len(regexp_extract_all(text, '[aeiou]'))::DOUBLE AS c FROM q)
-       SELECT item_id, round(a / sqrt(a * a + b * b + c * c), 6) AS x0, round(c / sqrt(a * a + b * b + c * c), 6) AS x2 FROM e""",
-)
+       SELECT item_id, round(a / sqrt(a * a + b * b + c * c), 6) AS x0, round(c / sqrt(a * a + b * b + c * c), 6) AS x2 FROM e"""
+
+
+def load_counts():
+    """The stand-in encoder as a task loads it."""
+    return lambda texts: np.array([[len(t), len(t.split(" ")), sum(t.count(v) for v in "aeiou")] for t in texts], float)
+
+
+@query("encode_batched", _ENCODED)
+def encode_batched(spark, sf_dir, load=load_counts):
+    """The encoding of ``encode_queries`` by a model that tasks load and that sees batches of different texts."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 5 == 0, "same question").otherwise(F.col("text")).alias("text"))
+    return models.encode(asked, "text", load).select("item_id", F.round(F.col("vector")[0], 6).alias("x0"), F.round(F.col("vector")[2], 6).alias("x2"))
+
+
+@query("encode_queries", _ENCODED)
 def encode_queries(spark, sf_dir, encode=counts_encoder):
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 5 == 0, "same question").otherwise(F.col("text")).alias("text"))
     return encode_distinct(asked, "text", encode).select("item_id", F.round(F.col("vector")[0], 6).alias("x0"), F.round(F.col("vector")[2], 6).alias("x2"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessel.functions import text as T
 from tessel.operators import tables
 from tessel.operators.lexical import LexicalIndex
+from tessel.operators.stored import VectorTable, upsert_partitions
 from tessel.operators.rescue import LEAST_P, rescue
 from tessel.plans import retrieval as R
 from tessel.plans.catalog import hard_filters
@@ -61,6 +62,49 @@ def vector_table_remove(spark, sf_dir):
     return tables.delete_cascade(v.select(F.col("vec_id").alias("id")), gone, "id")
 
 
+@query(
+    "vector_table_ids",
+    """SELECT count(*) FILTER (WHERE vec_id % 2 = 1 OR label <> 0) AS vectors, count(*) FILTER (WHERE vec_id % 2 = 1 OR label <> 0) AS ids, count(*) FILTER (WHERE vec_id % 2 = 0 AND label = 0) AS removed,
+       count(*) + count(*) FILTER (WHERE vec_id % 2 = 0 AND label = 0 AND vec_id % 4 = 0) AS next_id, count(*) FILTER (WHERE vec_id % 2 = 0 AND label = 0 AND vec_id % 4 = 0) AS again FROM embeddings""",
+)
+def vector_table_ids(spark, sf_dir):
+    """A stored table of vectors: half of them added, some removed, the rest and some of those removed added again; ids are new ones each time."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    path = shared_path(spark, "vector-table")
+    keep_until_exit(spark, path)
+    held = VectorTable(spark, path, v.select(F.size("vec")).first()[0])
+    held.add(v.filter("id % 2 = 0"))
+    removed = held.remove(v.filter("label = 0").select("id"))
+    held.add(v.filter("id % 2 = 1"))
+    held = VectorTable.load(spark, path)
+    back = v.filter("id % 2 = 0 and label = 0 and id % 4 = 0")
+    again = held.add(back)
+    held.remove(back.select("id"))
+    return held.rows.agg(F.count("*").alias("vectors"), F.count_distinct("int_id").alias("ids")).select("vectors", "ids", F.lit(removed).cast("long").alias("removed"), F.lit(held.next_id).cast("long").alias("next_id"), F.lit(again).cast("long").alias("again"))
+
+
+@query(
+    "partition_upsert",
+    """WITH n AS (SELECT o_orderkey AS k, o_totalprice + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS p, o_totalprice AS was FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0),
+       i AS (SELECT count(*) AS n, sum(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 = 0)
+       SELECT (SELECT n FROM i) AS inserted, count(*) FILTER (WHERE p <> was) AS updated, count(*) FILTER (WHERE p = was) AS same, true AS as_planned, (SELECT count(*) FROM orders) + (SELECT n FROM i) AS rows,
+       round((SELECT sum(o_totalprice) FROM orders) + coalesce((SELECT p FROM i), 0) + sum(p - was), 2) AS total FROM n""",
+)
+def partition_upsert(spark, sf_dir):
+    """An upsert into a stored table in folders by status, first as a dry run, which counts what the write then does."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path = shared_path(spark, "orders-by-status")
+    keep_until_exit(spark, path)
+    orders.write.partitionBy("o_orderstatus").parquet(path)
+    finished = orders.filter("o_orderstatus = 'F'")
+    new = finished.filter("o_orderkey % 5 = 0").withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 10 == 0, 1).otherwise(0))
+    new = new.unionByName(finished.filter("o_orderkey % 7 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey")))
+    planned = upsert_partitions(spark, path, new, "o_orderkey", "o_orderstatus", dry_run=True)
+    done = upsert_partitions(spark, path, new, "o_orderkey", "o_orderstatus")
+    after = spark.read.parquet(path).agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return after.select(*[F.lit(done[c]).cast("long").alias(c) for c in ("inserted", "updated", "same")], F.lit(planned == done).alias("as_planned"), "rows", "total")
+
+
 @query(
     "index_rebuild",
     f"""WITH r AS (SELECT *, {R.duck_tokens('text')} AS t FROM documents WHERE lang IN ('en', 'de')), f AS (SELECT * FROM r WHERE length(trim(coalesce(text, ''))) > 0)
