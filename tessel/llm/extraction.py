@@ -1,9 +1,11 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree of its blocks; inline tags belong to their block and only count as tags and links. What is never
-main text by its tag or role (menus, headers, footers, asides, forms, scripts, styles) is taken out first. A class or id
-that names such a thing as a whole (``cookieNotice``, ``sidebar-left``, not ``no-sidebar`` or ``social-history``) puts a
-block in doubt; it goes too, unless it holds half of the page's text with its heading or main part, or all of its text.
+A page becomes a tree of its blocks; inline tags belong to their block and only count as tags and links. What no text is
+(scripts, styles, controls) is taken out first. A block is in doubt if its tag or role says that it is no main text (menus,
+headers, footers, asides, forms), or if a class, or outside articles an id, names such a thing as a whole (``cookieNotice``,
+``sidebar-left``, not ``no-sidebar`` or ``social-history``); names of headings, of parts of tables and of inline elements say
+nothing. A block in doubt goes, unless it is the page: it has half of its text and all its headings of first order and main
+parts, or all of its text; of a form half of the text is enough.
 For every block with C characters, T tags, LC characters and LT tags in links the
 composite text density is
 
@@ -14,7 +16,7 @@ are summed; the block of greatest sum is the core of the page. The least density
 threshold. Every block off that path is then judged by itself, from the body down: a block whose text is half or more
 in links and less dense than the threshold goes with all it holds, all else stays, however sparse. A single link with
 text beside it, or within the core or an article on the path, is no list and stays; that is all that article and main
-weigh here. The rest of the text is returned, block by block, in page order.
+weigh here, but for numbered lists there, as of references, stay too. The rest of the text is returned, block by block, in page order.
 
 Cases: a null or empty page has an empty text; a page without markup is its own text; unclosed, stray and misnested
 tags are closed as HTML closes them, by block; repeated rows get equal results; an empty table gives an empty result;
@@ -40,11 +42,14 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "picture",
     "q", "ruby", "rp", "rt", "s", "samp", "small", "source", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-#: Elements that are never main text.
+#: Elements whose content is no text of the page.
 DROPPED = {
-    "head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "button", "select", "textarea", "option", "dialog", "menu",
-    "svg", "canvas", "object", "embed", "audio", "video", "map", "noframes", "noembed", "title",
+    "head", "script", "style", "noscript", "template", "iframe", "button", "select", "textarea", "option", "svg", "canvas", "object", "embed", "audio", "video", "map", "noframes", "noembed", "title",
 }
+#: Elements that are no main text unless they are the page; a header within an article is part of it.
+ASIDE = {"nav", "footer", "aside", "form", "dialog", "menu"}
+#: Elements whose class and id say nothing about what they are.
+UNNAMED = {"h1", "h2", "h3", "h4", "h5", "h6", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "pre", "li", "dt", "dd", "article", "main", "html", "body"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"}
 #: Words that name what is no main text, and words that go with them in the name of such an element.
 HINTS = set(
@@ -69,7 +74,7 @@ _CLOSES = {
 
 
 class Block:
-    __slots__ = ("tag", "up", "items", "text", "tags", "links", "link_chars", "chars", "density", "total", "article", "anchors", "last", "doubt", "headed")
+    __slots__ = ("tag", "up", "items", "text", "tags", "links", "link_chars", "chars", "density", "total", "article", "anchors", "last", "doubt", "form", "heads")
 
     def __init__(self, tag: str, up: Block | None):
         self.tag, self.up, self.items, self.text = tag, up, [], None  # items: blocks and anonymous runs of text, in order
@@ -77,8 +82,8 @@ class Block:
         self.anchors = self.last = 0  # links that have text, and the number of the last one
         self.density = self.total = 0.0
         self.article = tag in ("article", "main")
-        self.doubt = False  # its class or id names something that is no main text
-        self.headed = tag in ("main", "h1")  # it holds one of these
+        self.doubt = self.form = False  # its tag, role, class or id says that it is no main text; it is a form
+        self.heads = int(tag in ("main", "h1"))  # how many of these it holds
 
     def add(self, text: str, link: int) -> None:
         """Text of this block; ``link`` is the number of the link it is in, 0 if none."""
@@ -94,24 +99,29 @@ class Block:
                 run.anchors, run.last = run.anchors + 1, link
 
 
-def hidden(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether an element is none of the main text by its tag, role or what hides it."""
-    if tag in DROPPED or tag == "header" and not in_article:
+def hidden(tag: str, of: dict[str, str]) -> bool:
+    """Whether an element is no text of the page by its tag or by what hides it."""
+    if tag in DROPPED:
         return True
-    if not rest or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main"):
         return False
-    of = attributes(rest)
-    return of.get("role", "").lower() in ROLES or "hidden" in of or of.get("aria-hidden", "").lower() == "true" or "display:none" in of.get("style", "").replace(" ", "").lower()
+    return "hidden" in of or of.get("aria-hidden", "").lower() == "true" or "display:none" in of.get("style", "").replace(" ", "").lower()
 
 
-def hinted(rest: str) -> bool:
-    """Whether a whole class or the id names something that is no main text: a hint and words that go with it, nothing else."""
-    of = attributes(rest)
-    for name in f"{of.get('class', '')} {of.get('id', '')}".split():
-        words = [w for w in _WORDS.findall(_CAMEL.sub("-", name).lower()) if not w[0].isdigit()]
-        if any(w in HINTS for w in words) and all(w in HINTS or w in BESIDE for w in words):
-            return True
-    return False
+def doubted(tag: str, of: dict[str, str], in_article: bool) -> bool:
+    """Whether a block's tag, role, class or id says that it is no main text."""
+    if tag in ASIDE or tag == "header" and not in_article or tag not in ("article", "main") and of.get("role", "").lower() in ROLES:
+        return True
+    if tag in UNNAMED:
+        return False
+    names = of.get("class", "") if in_article else f"{of.get('class', '')} {of.get('id', '')}"
+    return any(hinted(n) for n in names.split())
+
+
+def hinted(name: str) -> bool:
+    """Whether a class or id as a whole names something that is no main text: a hint and words that go with it, nothing else."""
+    words = [w for w in _WORDS.findall(_CAMEL.sub("-", name).lower()) if not w[0].isdigit()]
+    return any(w in HINTS for w in words) and all(w in HINTS or w in BESIDE for w in words)
 
 
 def parse(page: str) -> Block:
@@ -150,12 +160,8 @@ def parse(page: str) -> Block:
             if name in VOID:
                 at.tags += 1
                 continue
-            if hidden(name, rest, any(x in ("article", "main") for x in open_)):
-                open_.append(name)
-                skip = len(open_)
-                continue
-            doubt = bool(rest) and name not in ("article", "main") and hinted(rest)
-            if inline and doubt:
+            of = attributes(rest) if rest else {}
+            if hidden(name, of):
                 open_.append(name)
                 skip = len(open_)
                 continue
@@ -167,7 +173,8 @@ def parse(page: str) -> Block:
                     linked, link = linked + 1, link + 1
             else:
                 child = Block(name, at)
-                child.doubt = doubt
+                child.doubt = doubted(name, of, any(x in ("article", "main") for x in open_[:-1]))
+                child.form = name == "form" or of.get("role", "").lower() == "form"
                 at.items.append(child)
                 at = child
         elif name in open_:
@@ -193,7 +200,7 @@ def _pop(open_: list[str], i: int, at: Block, skip: int, linked: int) -> tuple[B
 
 
 def settle_doubts(body: Block) -> None:
-    """Take out the blocks in doubt, but for those that are the page: with half of its text or more and its heading or main part, or all of its text."""
+    """Take out the blocks in doubt, but for those that are the page."""
     order, stack = [], [body]
     while stack:
         b = stack.pop()
@@ -202,11 +209,15 @@ def settle_doubts(body: Block) -> None:
     size: dict[int, int] = {}
     for b in reversed(order):
         size[id(b)] = len("".join(b.text).strip()) if b.text is not None else sum(size[id(c)] for c in b.items)
-        b.headed = b.headed or any(c.headed for c in b.items)
-    whole, stack = size[id(body)], [body]
+        b.heads += sum(c.heads for c in b.items)
+    whole, heads, stack = size[id(body)], body.heads, [body]
+
+    def is_page(b: Block) -> bool:
+        return 2 * size[id(b)] >= whole > 0 and (b.form or b.heads == heads > 0 or size[id(b)] == whole)
+
     while stack:
         b = stack.pop()
-        b.items = [c for c in b.items if not c.doubt or 2 * size[id(c)] >= whole > 0 and (c.headed or size[id(c)] == whole)]
+        b.items = [c for c in b.items if not c.doubt or is_page(c)]
         stack += b.items
 
 
@@ -260,15 +271,16 @@ def main_text(body: Block) -> list[str]:
         b = b.up
     least = min(b.density for b in path)
     on, texts = set(map(id, path)), []
-    stack = [(body, False)]
+    stack = [(body, False, False)]
     while stack:
-        b, inside = stack.pop()
+        b, inside, listed = stack.pop()
         inside = inside or b is best or b.article and id(b) in on
-        if id(b) not in on and b.tag not in HEADINGS and b.density < least and linked(b, inside):
+        listed = listed or inside and b.tag == "ol"
+        if id(b) not in on and b.tag not in HEADINGS and not listed and b.density < least and linked(b, inside):
             continue
         if b.text:
             texts.append(b.text)
-        stack += [(c, inside) for c in b.items[::-1]]
+        stack += [(c, inside, listed) for c in b.items[::-1]]
     return texts
 
 

@@ -3,6 +3,7 @@ from html.parser import HTMLParser
 
 import pytest
 
+from tessel.llm.html import tokens
 from tessel.llm import extraction
 from tessel.llm.extraction import extract
 
@@ -159,3 +160,57 @@ def test_densities_and_sums_equal_an_independent_computation():
         assert g.density == pytest.approx(plain.density(w)), w["tag"]
         if all(x["tag"] not in ("", "a") for x in w["items"]):
             assert g.total == pytest.approx(sum(plain.density(x) for x in w["items"]))
+
+
+PROSE = " ".join(f"Sentence {i} of the story tells what the people of the town did next." for i in range(12))
+
+
+def article(inner):
+    return f"<html><body><nav><a href='/'>Home</a> <a href='/x'>More</a></nav><article><h1>Title</h1><p>{PROSE}</p>{inner}<p>The end of it all.</p></article><footer>Imprint</footer></body></html>"
+
+
+@pytest.mark.parametrize("name", ["comments", "related", "copyright", "sharing", "search", "navigation", "notice", "legal"])
+def test_names_of_headings_and_sections_delete_nothing(name):
+    assert extraction.extract(article(f'<h2 id="{name}" class="{name}">About {name}</h2><p>Text on it.</p>')) == f"Title {PROSE} About {name} Text on it. The end of it all."
+    assert extraction.extract(article(f'<section id="{name}"><p>Text on it.</p></section>')) == f"Title {PROSE} Text on it. The end of it all."
+
+
+def test_rows_and_code_stay():
+    assert "Year Sum 1 2" in extraction.extract(article('<table><tr class="header"><td>Year</td><td>Sum</td></tr><tr><td>1</td><td>2</td></tr></table>'))
+    assert "x = 1 # why" in extraction.extract(article('<pre>x = 1 <span class="comment"># why</span></pre>'))
+
+
+def test_pages_in_forms_and_open_menus_stay():
+    inner = f"<h1>Title</h1><p>{PROSE}</p><input type='text'><select><option>one</option></select><button>Send</button>"
+    for page in (f"<body><form action='/'>{inner}</form></body>", f"<body><div role='form'>{inner}</div></body>", f"<body><form>{inner}</form><div>Imprint</div></body>"):
+        assert extraction.extract(page).removesuffix(" Imprint") == f"Title {PROSE}"
+    menu = "".join(f"<li><a href='/{i}'>Place {i}</a></li>" for i in range(8))
+    assert extraction.extract(f"<body><nav><ul>{menu}</ul><div><h1>Title</h1><p>{PROSE}</p></div></body>") == f"Title {PROSE}"
+    assert extraction.extract(article("<form><p>Subscribe here</p><button>Go</button></form>")) == f"Title {PROSE} The end of it all."
+
+
+def test_comments_with_a_heading_go():
+    page = f"<body><div><h1>Title</h1><p>{PROSE}</p></div><div class='comments'><h1>Replies</h1><p>{PROSE} {PROSE}</p></div></body>"
+    assert extraction.extract(page) == f"Title {PROSE}"
+
+
+def test_numbered_references_stay_and_link_lists_go():
+    items = "".join(f"<li><a href='/{i}'>A book of some title {i}</a></li>" for i in range(6))
+    assert "References A book of some title 0" in extraction.extract(article(f"<h2>References</h2><ol>{items}</ol>"))
+    assert "A book" not in extraction.extract(article(f"<ul>{items}</ul>"))
+
+
+@pytest.mark.parametrize("page", ["<a " * 1_000_000, "<a '" * 300_000, '<a "' * 300_001 + ">", "<a \"'" * 200_000 + "> x", "<" * 1_000_000, "<!" * 500_000, "</" * 500_000, "<a>" * 30_000])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    n = sum(1 for _ in tokens(page))
+    assert time.process_time() - began < 3 and n < len(page)
+
+
+def test_quotes_that_nothing_closes():
+    assert list(tokens('<a title="x>y</a> z')) == [("open", "a", ' title="x'), ("text", "", "y"), ("close", "a", ""), ("text", "", " z")]
+    assert list(tokens("<p class='a>b'>it's <b x=\"1>2\">bold</b> 1 < 2 <")) == [
+        ("open", "p", " class='a>b'"), ("text", "", "it's "), ("open", "b", ' x="1>2"'), ("text", "", "bold"), ("close", "b", ""), ("text", "", " 1 < 2 <"),
+    ]
