@@ -56,6 +56,7 @@ HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
+CHUNK = 256
 SPAN = "array<struct<start:bigint,end:bigint,token:string>>"
 
 
@@ -66,17 +67,21 @@ def _lit(s: str) -> str:
 def spans_of(text: str, pattern: str, group: int = 0) -> Column:
     """All leftmost non-overlapping matches of ``pattern`` with their places, and the text of ``group``.
 
-    The text split at the matches gives what lies between them, so places are running sums of both lengths.
+    The text split at the matches gives what lies between them, so places are running sums of both lengths. Appending copies
+    what is there, so matches are taken ``CHUNK`` at a time, and chunks put together at the end.
     """
     p = _lit(pattern)
+    chunk = f"""aggregate(c, struct(a.at AS at, cast(array() AS {SPAN}) AS spans),
+        (b, m) -> struct(b.at + length(m.`0`) + length(m.`1`) AS at, array_append(b.spans, named_struct(
+          'start', b.at + length(m.`0`), 'end', b.at + length(m.`0`) + length(m.`1`), 'token', m.`2`)) AS spans))"""
     return F.expr(
-        f"""CASE WHEN rlike({text}, {p}) THEN aggregate(
+        f"""CASE WHEN rlike({text}, {p}) THEN transform(array(
               arrays_zip(slice(split({text}, {p}, -1), 1, regexp_count({text}, {p})),
-                         regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})),
-              struct(0L AS at, cast(array() AS {SPAN}) AS spans),
-              (a, m) -> struct(a.at + length(m.`0`) + length(m.`1`) AS at, array_append(a.spans, named_struct(
-                'start', a.at + length(m.`0`), 'end', a.at + length(m.`0`) + length(m.`1`), 'token', m.`2`)) AS spans),
-              a -> a.spans) ELSE cast(array() AS {SPAN}) END"""
+                         regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))),
+              all -> aggregate(transform(sequence(0, (size(all) - 1) div {CHUNK}), i -> slice(all, i * {CHUNK} + 1, {CHUNK})),
+                struct(0L AS at, cast(array() AS array<{SPAN}>) AS parts),
+                (a, c) -> transform(array({chunk}), x -> struct(x.at AS at, array_append(a.parts, x.spans) AS parts))[0],
+                a -> flatten(a.parts)))[0] ELSE cast(array() AS {SPAN}) END"""
     ).cast(SPAN)
 
 

@@ -116,3 +116,13 @@ def test_a_token_of_a_megabyte(spark):
 
 def test_empty_table(spark):
     assert secrets.scan_secrets(empty(spark)).count() == 0
+
+
+def test_very_many_matches_of_one_text(spark):
+    """Places by chunks are those of a plain scan, and appending doesn't take time with the square of the matches."""
+    text = "".join(f"x{'é' * (i % 3)} token={'ab' * (3 + i % 5)}; \n" for i in range(60_000))
+    began = time.time()
+    row = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.time() - began < 60
+    spans, counts = brute(text)
+    assert [row.n_assign, row.n_access, row.n_hex] == counts == [60_000, 0, 0] and row.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
