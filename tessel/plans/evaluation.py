@@ -12,6 +12,7 @@ from tessel.operators.ranks import placed, values_at
 from tessel.plans import retrieval as R
 from tessel.plans.registry import literal_rows, over, query
 from tessel.session import settle, table
+from tessel.sources.catalog import course_records
 from tessel.sources.html import block_rows, link_rows
 from tessel.streaming.events import conversation_events, tumbling
 
@@ -297,3 +298,23 @@ def rerank_batched(spark, sf_dir, load=load_overlap):
     pool = R.scores(spark, sf_dir, k=20).join(asked, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     scored = models.rerank(pool, "query", "text", load).select("query_id", "doc_id", F.col("sigma").alias("score"))
     return bm25.ranked(scored, 5).withColumn("score", F.round("score", 6))
+
+
+# each paragraph of a page as a course block; every seventh isn't closed, every fifth has no course's title
+_COURSES = f"""WITH b AS (SELECT page_id, i - 1 AS pos, md5(bs[i]) AS h FROM (SELECT page_id, bs, unnest(generate_series(1, len(bs))) AS i FROM (SELECT page_id, {_BLOCKS} AS bs FROM pages)))
+SELECT page_id, pos::INT AS pos, CASE WHEN pos % 7 <> 6 THEN 'PT ' || lpad(pos::VARCHAR, 4, '0') END AS code, CASE WHEN pos % 7 <> 6 THEN 'Part ' || left(h, 6) END AS name, CASE WHEN pos % 7 <> 6 AND pos % 2 = 0 THEN (pos % 6)::INT END AS credits,
+       CASE WHEN pos % 7 <> 6 THEN h || ' & more' END AS description, CASE WHEN pos % 7 <> 6 THEN 'DS 1000' || CASE WHEN pos % 3 = 0 THEN ',CS 2000A' ELSE '' END END AS prereqs, CASE WHEN pos % 7 = 6 THEN 'unclosed block' END AS error
+FROM b WHERE pos % 7 = 6 OR pos % 5 <> 4"""
+
+
+@query("course_records", _COURSES)
+def course_records_q(spark, sf_dir):
+    """Records of catalog pages that hold the paragraphs of the pages, an error row for each bad block."""
+    pos, h = F.col("pos"), F.md5("block")
+    title = F.concat(F.when(pos % 5 == 4, "Section ").otherwise("PT "), F.lpad(pos.cast("string"), 4, "0"), F.lit(". Part "), F.left(h, F.lit(6)), F.lit(". ("), (pos % 6).cast("string"), F.when(pos % 2 == 0, "").otherwise(".5"), F.lit(" Hours)"))
+    link = lambda code: f'<a class="bubblelink code" href="/x">{code}</a>'
+    extra = F.concat(F.lit('<p class="courseblockextra"><strong>Prerequisite(s):</strong> ' + link("DS1000")), F.when(pos % 3 == 0, link("CS 2000A")).otherwise(link("none of these")), F.lit("</p>"))
+    html = F.concat(F.lit('<div class="courseblock wide"><p class="courseblocktitle"><strong>'), title, F.lit('</strong></p><p class="cb_desc">'), h, F.lit(" &amp; <i>more</i></p><div>"), extra, F.lit("</div>"), F.when(pos % 7 == 6, "").otherwise("</div>"))
+    blocks = block_rows(table(spark, sf_dir, "pages")).select("page_id", "pos", html.alias("html"))
+    pages = blocks.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "html"))), lambda x: x["html"]), "").alias("html"))
+    return course_records(pages).select("page_id", "pos", "code", "name", "credits", "description", F.array_join("prereqs", ",").alias("prereqs"), "error")

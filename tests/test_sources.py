@@ -41,3 +41,21 @@ def test_posts_and_what_is_left_to_do(spark):
     assert [(r["id"], r["score"]) for r in J.merge_posts(posts, comments, "cs 5800").collect()] == [("t3_1", 5), ("t1_9", 4)]
     work = spark.range(5)
     assert sorted(r["id"] for r in J.not_done(work, work.filter("id < 3"), "id").collect()) == [3, 4]
+
+
+def test_course_blocks_to_records(spark):
+    from tessel.sources.catalog import course_records
+
+    page = """<h1>List</h1><div class="courseblock"><p class="courseblocktitle"><strong>CS 5800.  Algorithms &amp; Data.  (4 Hours)</strong></p>
+    <p class="cb_desc">Covers <b>graphs</b>.  CS 5800 and ds 5800 are cross-listed.</p><p class="courseblockextra"><strong>Prerequisite(s):</strong> <a class="bubblelink code">CS 5002</a> or <a class="bubblelink code">CS 5002</a>
+    <a class="bubblelink code">CS5800</a> <a class="bubblelink">a talk</a></p><p class="courseblockextra"><strong>Corequisite(s):</strong> <a class="bubblelink code">CS 5801</a></p></div>
+    <div class="courseblock"><p class="courseblocktitle">Electives</p></div>
+    <div class="courseblock"><p class="courseblocktitle">CS 1. Never closed. (4 Hours)</p>
+    <div class="courseblock"><div><p class="courseblocktitle">DS 5110A. Data. (1.5 Hours)</p></div></div><div class="courseblock"><p class="courseblocktitle">DS 5120. Odd. (1..5 Hours)</p></div>"""
+    pages = spark.createDataFrame([(1, page, "u"), (2, None, "u"), (3, "", "u"), (4, "<p>no block</p>", "u"), (5, '<div class="courseblock"><p>', "u")], "page_id int, html string, url string")
+    got = sorted(tuple(r) for r in course_records(pages).fillna(-1, ["credits"]).select("page_id", "url", "pos", "code", "credits", "error").fillna("").collect())
+    assert got == [
+        (1, "u", 0, "CS 5800", 4, ""), (1, "u", 2, "", -1, "unclosed block"), (1, "u", 3, "DS 5110A", -1, ""), (1, "u", 4, "DS 5120", -1, ""), (5, "u", 0, "", -1, "unclosed block"),
+    ]
+    first = course_records(pages).filter("code = 'CS 5800'").first()
+    assert (first.name, first.description, first.prereqs, first.cross_listed) == ("Algorithms & Data", "Covers graphs .  CS 5800 and ds 5800 are cross-listed.", ["CS 5002"], ["DS 5800"])
