@@ -99,6 +99,14 @@ def source_block(text: Column, attributes: dict[str, Column], tag: str = "source
     return F.concat(F.lit(f"<{tag}"), *[F.coalesce(p, F.lit("")) for p in parts], F.lit(">\n"), safe, F.lit(f"\n</{tag}>"))
 
 
+def source_list(sources: Column, tag: str = "source") -> Column:
+    """Elements of ``sources``, an array of struct(id, type, text), a blank line between; an id that is empty or comes twice is an error."""
+    ids = F.transform(sources, lambda s: s["id"])
+    empty = F.exists(ids, lambda i: F.coalesce(i, F.lit("")) == "")
+    text = F.array_join(F.transform(sources, lambda s: source_block(s["text"], {"id": s["id"], "type": s["type"]}, tag)), "\n\n")
+    return F.when(empty, F.raise_error(F.lit("a source has no id"))).when(F.size(F.array_distinct(ids)) < F.size(ids), F.raise_error(F.concat(F.lit("a source id comes twice: "), F.array_join(ids, ", ")))).otherwise(text)
+
+
 def capped(c: Column, n: int, mark: str = "…") -> Column:
     """At most ``n`` characters, with a mark where something was cut."""
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(mark))).otherwise(c)

@@ -276,6 +276,17 @@ def source_blocks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(block).alias("block_md5"))
 
 
+@query(
+    "source_list",
+    """SELECT conv_id, md5(string_agg('<source id="t' || turn || '" type="' || role || '">' || chr(10) || text || chr(10) || '</source>', chr(10) || chr(10) ORDER BY turn)) AS sources_md5 FROM conversations GROUP BY 1""",
+)
+def source_list(spark, sf_dir):
+    """The turns of a conversation as the sources of a prompt; an id that comes twice would be an error."""
+    each = F.struct("turn", F.struct(F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("type"), "text").alias("source"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["source"]).alias("sources"))
+    return rows.select("conv_id", F.md5(V.source_list(F.col("sources"))).alias("sources_md5"))
+
+
 @query(
     "bullet_block",
     """WITH p AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents) SELECT doc_id, md5(concat_ws(chr(10), CASE WHEN len(w) > 0 THEN '- words: ' || array_to_string(w[1:8], ', ') END,

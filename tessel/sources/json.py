@@ -58,6 +58,23 @@ def merge_posts(posts: DataFrame, comments: DataFrame, code: str) -> DataFrame:
     return both.groupBy("id").agg(F.max_by("body", F.struct("score", "body")).alias("body"), F.max("score").alias("score")).orderBy(F.desc("score"), "id")
 
 
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, category, query, want) of an evaluation set {"queries": [...]}: what ``models.evaluate`` takes. No expectations: an empty array."""
+    rows = read_config(spark, path, "queries array<struct<query_id:string,category:string,query:string,expected_course_ids:array<string>>>", "queries")
+    return rows.select("query_id", "category", "query", F.coalesce("expected_course_ids", F.array().cast("array<string>")).alias("want"))
+
+
+# Fixed value: what a department's slug looks like.
+SLUG = "^[a-z]{2,8}$"
+
+
+def departments_to_fetch(slugs: DataFrame, done: DataFrame) -> DataFrame:
+    """(slug, error): the slugs whose output isn't there yet, each once; one that is no slug is an error and isn't fetched."""
+    asked = slugs.select("slug").distinct()
+    error = F.when(~F.coalesce(F.col("slug").rlike(SLUG), F.lit(False)), "not a slug")
+    return not_done(asked, done.select("slug"), "slug").withColumn("error", error)
+
+
 def not_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a restart still has to do."""
     return work.join(done, key, "left_anti")

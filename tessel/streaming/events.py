@@ -30,6 +30,12 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
 
 
+def log_rows(answers: DataFrame) -> DataFrame:
+    """Rows of the query log: ``answers`` with the ids they gave, an array, as a JSON list in their order; none is []."""
+    ids = F.coalesce("result_ids", F.array().cast(answers.schema["result_ids"].dataType))
+    return answers.withColumn("result_ids", F.to_json(F.transform(ids, lambda i: i.cast("string"))))
+
+
 def append_log(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a Parquet log, once per available input; a restart resumes from the checkpoint."""
     return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

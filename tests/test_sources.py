@@ -4,6 +4,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessel.sources import json as J
 
 
@@ -59,3 +61,36 @@ def test_course_blocks_to_records(spark):
     ]
     first = course_records(pages).filter("code = 'CS 5800'").first()
     assert (first.name, first.description, first.prereqs, first.cross_listed) == ("Algorithms & Data", "Covers graphs .  CS 5800 and ds 5800 are cross-listed.", ["CS 5002"], ["DS 5800"])
+
+
+def test_evaluation_set_is_evaluated(spark, tmp_path):
+    import json
+
+    from tessel.operators import models
+
+    path = tmp_path / "set.json"
+    path.write_text(json.dumps({"_note": "x", "queries": [{"query_id": "q1", "category": "simple", "query": "graphs", "expected_course_ids": ["c1", "c2"]}, {"query_id": "q2", "category": "adversarial", "query": "pizza"}]}, indent=1))
+    questions = J.read_questions(spark, str(path))
+    search = lambda asked: asked.filter("query = 'graphs'").select("query_id", F.lit("c2").alias("doc_id"), F.lit(1).alias("rank"))
+    got = {r.query_id: (r.category, r.want, r.got, r.recall, r.rr) for r in models.evaluate(search, questions).collect()}
+    assert got == {"q1": ("simple", ["c1", "c2"], ["c2"], 0.5, 1.0), "q2": ("adversarial", [], [], None, 1.0)}
+
+
+def test_departments_to_fetch(spark):
+    slugs = spark.createDataFrame([("cs",), ("cs",), ("ds",), ("CS",), ("a",), ("toolongname",), ("x/y",), (None,)], "slug string")
+    done = spark.createDataFrame([("ds",)], "slug string")
+    got = sorted((r.slug or "", r.error) for r in J.departments_to_fetch(slugs, done).collect())
+    assert got == [("", "not a slug"), ("CS", "not a slug"), ("a", "not a slug"), ("cs", None), ("toolongname", "not a slug"), ("x/y", "not a slug")]
+
+
+def test_log_rows_and_source_lists(spark):
+    from tessel.functions import values as V
+    from tessel.streaming.events import log_rows
+
+    rows = spark.createDataFrame([(1, ["b", 'a"']), (2, []), (3, None)], "id int, result_ids array<string>")
+    assert sorted(tuple(r) for r in log_rows(rows).collect()) == [(1, '["b","a\\""]'), (2, "[]"), (3, "[]")]
+    of = lambda *s: spark.createDataFrame([(list(s),)], "sources array<struct<id:string,type:string,text:string>>").select(V.source_list(F.col("sources")).alias("x"))
+    assert of(("1", "a<", "t </source>"), ("2", None, "u")).first().x == '<source id="1" type="a&lt;">\nt <\\/source>\n</source>\n\n<source id="2">\nu\n</source>'
+    for bad in ([("1", "a", "t"), ("1", "b", "u")], [("", "a", "t")], [(None, "a", "t")]):
+        with pytest.raises(Exception, match="source"):
+            of(*bad).collect()
