@@ -58,6 +58,19 @@ def add_vectors(old: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     return old.select("id", "vec", F.lit(None).cast("string").alias("error")).unionByName(new.join(taken, "id", "left").select("id", "vec", fault.alias("error")))
 
 
+def queue_outcomes(candidates: DataFrame, known: DataFrame, keys: list[str], confidence: str, order: str, least: float = 0.4) -> DataFrame:
+    """``candidates`` with ``outcome``: skipped_low_confidence, skipped_already_known (in ``known`` or queued before, by ``order``), or queued.
+
+    The first sure one of equal keys goes on; whether that is known decides for it, the later ones are known by then.
+    """
+    sure = F.coalesce(F.col(confidence) >= least, F.lit(False))
+    first = candidates.filter(sure).groupBy(*keys).agg(F.min(order).alias("__first")).toDF(*[f"__{k}" for k in keys], "__first")
+    there = known.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.lit(True).alias("__known")).distinct()
+    rows = candidates.join(first, [F.equal_null(F.col(k), F.col(f"__{k}")) for k in keys], "left").join(there, [F.equal_null(F.col(k), F.col(f"__k_{k}")) for k in keys], "left")
+    outcome = F.when(~sure, "skipped_low_confidence").when(F.col("__known") | (F.col(order) > F.col("__first")), "skipped_already_known").otherwise("queued")
+    return rows.select(*candidates.columns, outcome.alias("outcome"))
+
+
 def transition(rows: DataFrame, wanted: DataFrame, key: str, allowed: dict[str, str]) -> DataFrame:
     """``rows(key, status)`` after ``wanted(key, to_status)``, with ``error`` where a status doesn't allow it.
 

@@ -13,7 +13,7 @@ from tessel.functions.vector import l2_normalize, norm
 from tessel.operators import bm25, fusion, vectors
 from tessel.operators.lexical import FORMAT, LexicalIndex
 from tessel.plans.registry import and_texts, and_texts_sql, literal_rows, query
-from tessel.session import at_path, settle, shared_dir, shared_path, table
+from tessel.session import at_path, keep_until_exit, settle, shared_dir, shared_path, table
 
 _building = threading.Lock()
 _open: dict[str, LexicalIndex] = {}
@@ -310,6 +310,26 @@ def hybrid_search(spark, sf_dir):
     return bm25.ranked(fused, 5).join(docs.select("doc_id", "source"), "doc_id").select("query_id", "rank", "doc_id", "source", F.round("score", 6).alias("score"))
 
 
+_SCOPED = "scoped AS (SELECT * FROM documents WHERE n_chars % 3 <> 0)"
+
+
+@query(
+    "hybrid_indexed_only",
+    f"""WITH {_SCOPED}, {BM25_SQL.format(where='').replace('FROM documents)', 'FROM scoped)')}, {VECTOR_SQL.format(where=PAIRED + ' AND b.vec_id IN (SELECT doc_id FROM scoped)')},
+        vk AS (SELECT * FROM v WHERE rank <= 15), bk AS (SELECT * FROM b WHERE rank <= 15), {_CONVEX} {_TOP.format(of='cx').replace('<= 10', '<= 5')}""",
+)
+def hybrid_indexed_only(spark, sf_dir, k: int = 5):
+    """Hybrid search over the rows of one status: the lexical statistics, too, are those of these rows, and both legs see the same."""
+    rows = table(spark, sf_dir, "documents").withColumn("status", F.when(F.col("n_chars") % 3 != 0, "indexed").otherwise("pending")).filter("status = 'indexed'")
+    own = LexicalIndex.build(rows.select("doc_id", "text"), shared_path(spark, "indexed-only"))
+    keep_until_exit(spark, own.path)
+    v = vectors_of(spark, sf_dir)
+    asked = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
+    near = vectors.top_k(asked, v.join(rows.select(F.col("doc_id").alias("id")), "id", "left_semi"), 3 * k)
+    fused = fusion.convex(near, own.top_k(questions(spark, sf_dir), 3 * k), w=0.7)
+    return bm25.ranked(fused, k).withColumn("score", F.round("score", 6))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark item."""
     return bm25_topk(spark, sf_dir)

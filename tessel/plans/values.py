@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessel.functions import values as V
+from tessel.operators import tables
 from tessel.plans.registry import and_texts, and_texts_sql, literal_rows, over, query
 from tessel.session import table
 
@@ -148,6 +149,21 @@ def alias_queue(spark, sf_dir):
     return part.filter("confidence >= 0.4").join(known, ["alias_text", "course_id"], "left_anti").select("p_partkey", "evidence")
 
 
+@query(
+    "alias_queue_counts",
+    """WITH c AS (SELECT p_partkey AS id, left(p_type, 9) AS alias_text, p_partkey % 50 AS course_id, (p_size % 10) / 10.0::DOUBLE AS confidence FROM part), k AS (SELECT DISTINCT left(p_type, 9) AS alias_text, p_partkey % 50 AS course_id FROM part WHERE p_size > 47),
+       o AS (SELECT CASE WHEN confidence < 0.4 THEN 'low' WHEN EXISTS (FROM k WHERE k.alias_text = c.alias_text AND k.course_id = c.course_id) THEN 'known'
+             WHEN row_number() OVER (PARTITION BY alias_text, course_id, confidence >= 0.4 ORDER BY id) > 1 THEN 'known' ELSE 'queued' END AS outcome FROM c)
+       SELECT count(*) FILTER (WHERE outcome = 'queued') AS queued, count(*) FILTER (WHERE outcome = 'low') AS skipped_low_confidence, count(*) FILTER (WHERE outcome = 'known') AS skipped_already_known FROM o""",
+)
+def alias_queue_counts(spark, sf_dir):
+    """How many candidates were queued, and how many not and why; of equal ones the first is queued."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.left("p_type", F.lit(9)).alias("alias_text"), (F.col("p_partkey") % 50).alias("course_id"), (F.col("p_size") % 10 / 10.0).alias("confidence"), "p_size")
+    rows = tables.queue_outcomes(part.drop("p_size"), part.filter("p_size > 47"), ["alias_text", "course_id"], "confidence", "id")
+    names = ("queued", "skipped_low_confidence", "skipped_already_known")
+    return rows.agg(*[F.count_if(F.col("outcome") == n).alias(n) for n in names])
+
+
 @query("multiset_equality", "SELECT p_partkey, list_sort(string_split(p_name, ' ')) = list_sort(string_split(p_type, ' ')) AS equal, list_sort(string_split(p_name, ' ')) = list_sort(list_reverse(string_split(p_name, ' '))) AS equal_reversed FROM part")
 def multiset_equality(spark, sf_dir):
     a, b = F.split("p_name", " "), F.split("p_type", " ")
