@@ -180,3 +180,8 @@ def test_pair_overlap_reads_the_whole_table(spark, sf_dir):
     counts = Counter(p for m in members.values() if len(m) >= 3 for p in combinations(sorted(m), 2))
     got = {(r["part_a"], r["part_b"]): r["shared"] for r in QUERIES["pair_overlap_whole"](spark, sf_dir).collect()}
     assert got == {p: n for p, n in counts.items() if n >= 2}
+
+
+def test_shared_pairs_are_not_shuffled(spark, sf_dir):
+    plan = tables.shared_pairs(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_suppkey", "l_partkey", 2, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
