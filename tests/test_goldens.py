@@ -182,6 +182,21 @@ def test_pair_overlap_reads_the_whole_table(spark, sf_dir):
     assert got == {p: n for p, n in counts.items() if n >= 2}
 
 
+def test_first_matches_of_hot_terms_shuffle_no_pairs(spark):
+    asked = [(q, pos, t) for q in range(60) for pos, t in ((0, f"c{q % 7}"), (1, "hot"), (2, f"c{q % 7}" if q % 2 else None))] + [(None, 0, "c1"), (3, 0, "hot")]
+    known = [("hot", i) for i in range(40)] + [(f"c{i % 9}", i) for i in range(50)] + [("hot", 3), (None, 4), ("c2", None)]
+    got = tables.first_matches(spark.createDataFrame(asked, "query_id long, pos int, term string"), spark.createDataFrame(known, "term string, id long"), size=6)
+    want = {}
+    for q, pos, t in asked:
+        for u, i in known:
+            if t is not None and t == u:
+                want[q, i] = min(pos, want.get((q, i), pos))
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["query_id"], r["id"]): r["pos"] for r in rows} == want
+    # pairs come out of the join itself, nothing groups them afterwards
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 def test_shared_pairs_are_not_shuffled(spark, sf_dir):
     plan = tables.shared_pairs(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_suppkey", "l_partkey", 2, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
