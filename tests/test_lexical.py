@@ -149,3 +149,21 @@ def test_two_queries_at_a_time_as_one_by_one(spark, sf_dir):
     for t in threads:
         t.join(300)
     assert together == alone
+
+
+def test_tasks_hold_few_texts_and_give_small_batches():
+    texts = ["w " * n for n in (10, 40_000, 5, 90_000, 7, 7)] + [None, ""] + [" ".join(f"x{i}y{j}" for j in range(200)) for i in range(300)]
+    batch = lexical.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    lexical_text, lexical.TEXT = lexical.TEXT, 60_000
+    try:
+        cut = [x.column("text").to_pylist() for x in lexical._portions(iter([batch]))]
+        assert [t for c in cut for t in c] == texts
+        assert all(len(c) == 1 or sum(len(t or "") for t in c) <= 60_000 for c in cut)
+        out = list(lexical._blocks(32)(iter([batch])))
+    finally:
+        lexical.TEXT = lexical_text
+    # a row per block and term: a reader's batch of rows holds few documents, whatever a block holds
+    assert max(x.num_rows for x in out) <= lexical.ENTRIES
+    assert all(len(d) <= 32 for x in out for d in x.column("docs").to_pylist())
+    docs = sorted(d for x in out for t, ds in zip(x.column("term").to_pylist(), x.column("docs").to_pylist(), strict=True) if t is None for d in ds)
+    assert docs == list(range(len(texts)))
