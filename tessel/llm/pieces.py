@@ -37,6 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, FAN = 16384, 64
 #: No piece has more characters.
 MARGIN = 16
+#: Pairs of neighbours that a task remembers.
+LASTING = 50_000
 SPACE = "▁"
 
 
@@ -66,7 +68,7 @@ class Pieces:
 
     def lasts(self, a: str, b: str) -> bool:
         if (a, b) not in self.lasting:
-            if len(self.lasting) > 500_000:
+            if len(self.lasting) > LASTING:
                 self.lasting.clear()
             self.lasting[a, b] = self.merged(a + b) == [a, b]
         return self.lasting[a, b]
@@ -281,23 +283,40 @@ def encode_giants(giants: DataFrame, path: str = MODEL, size: int = CHUNK, fan:
     return whole.select("doc_id", "t", "copies", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"))
 
 
-def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """(doc_id, t, token_ids) for each row of ``docs``; t is the text's MD5."""
+def _same_text(model: sentencepiece.SentencePieceProcessor, ids: list[list[int] | None], digests: pa.Array) -> pa.Array:
+    """Whether token ids decode to the text of the MD5 digest; null for a null text."""
+    return pa.array([None if x is None else hashlib.md5(model.decode(x).encode()).digest() == t for x, t in zip(ids, digests.to_pylist(), strict=True)], pa.bool_())
+
+
+def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN, check: bool = False) -> DataFrame:
+    """(doc_id, t, token_ids) for each row of ``docs``; t is the text's MD5. With ``check`` also round_trip.
+
+    Whole texts are encoded and checked in one Python step: a second one would be a further process for each core.
+    """
     of = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("t"), "text")
     giant = F.length("text") > size
+    names = ["doc_id", "t", "token_ids", *["round_trip"] * check]
+    schema = f"doc_id {of}, t binary, token_ids array<int>" + ", round_trip boolean" * check
 
     def encode_whole(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         for batch, texts in batches(batched):
             ids = [None if t is None else model.encode(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "t", "token_ids"])
+            more = [_same_text(model, ids, batch.column("t"))] if check else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(ids, pa.list_(pa.int32())), *more], names)
+
+    def check_giants(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        for batch in slices(batched, 32):
+            same = _same_text(model, batch.column("token_ids").to_pylist(), batch.column("t"))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "t", "token_ids")] + [same], names)
 
-    small = rows.filter(~giant | F.col("text").isNull()).mapInArrow(encode_whole, f"doc_id {of}, t binary, token_ids array<int>")
+    small = rows.filter(~giant | F.col("text").isNull()).mapInArrow(encode_whole, schema)
     giants = rows.filter(giant).groupBy("doc_id", "t").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     found = encode_giants(giants, path, size, fan)
     copies = found.select("doc_id", "t", "token_ids", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("col")
-    return small.unionByName(copies)
+    return small.unionByName(copies.mapInArrow(check_giants, schema) if check else copies)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -316,16 +335,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
 def encode_checked(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip (whether the ids decode to the text) for each row of ``docs``."""
-    encoded = encode(docs, path)
-    of = docs.schema["doc_id"].dataType.simpleString()
-
-    def check(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in slices(rows):
-            same = [None if x is None else hashlib.md5(model.decode(x).encode()).digest() == t for x, t in zip(batch.column("token_ids").to_pylist(), batch.column("t").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("token_ids"), pa.array(same, pa.bool_())], ["doc_id", "token_ids", "round_trip"])
-
-    checked = encoded.select("doc_id", "t", "token_ids").mapInArrow(check, f"doc_id {of}, token_ids array<int>, round_trip boolean")
+    checked = encode(docs, path, check=True)
     return checked.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 

@@ -51,3 +51,10 @@ def test_round_trip(spark, library):
 
 def test_empty_table(spark):
     assert pieces.encode_checked(empty(spark)).count() == 0
+
+
+def test_whole_texts_take_one_python_step(spark, docs_schema="doc_id long, text string"):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], docs_schema)
+    plan = pieces.encode_checked(docs)._jdf.queryExecution().optimizedPlan().toString()
+    whole = plan[plan.index("Union") :].split("\n:- ")[-1].split("\n+- ")[0]
+    assert "MapInArrow encode_whole" in whole and whole.count("MapInArrow") == 1 and plan[: plan.index("Union")].count("MapInArrow") == 0
