@@ -167,3 +167,20 @@ def test_tasks_hold_few_texts_and_give_small_batches():
     assert all(len(d) <= 32 for x in out for d in x.column("docs").to_pylist())
     docs = sorted(d for x in out for t, ds in zip(x.column("term").to_pylist(), x.column("docs").to_pylist(), strict=True) if t is None for d in ds)
     assert docs == list(range(len(texts)))
+
+
+def test_entries_leave_tasks_in_order_with_bounds_and_counts(spark):
+    data = corpus(4, 90)
+    batch = lexical.pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in data], "text": [t for _, t in data]})
+    out = [r for x in lexical._blocks(8)(iter([batch])) for r in x.to_pylist()]
+    postings = [r for r in out if r["term"] is not None and r["block"] is not None]
+    assert [r["term"] for r in postings] == sorted(r["term"] for r in postings)
+    assert all((r["most"], r["least"]) == (max(r["tfs"]), min(r["lengths"])) for r in postings)
+    counts = {r["term"]: (r["df"], r["cf"]) for r in out if r["block"] is None}
+    texts = [lexical.tokens(t) for _, t in data]
+    assert counts == {w: (sum(w in t for t in texts), sum(t.count(w) for t in texts)) for w in set(sum(texts, []))}
+    # what a task gives is what is stored: nothing is sorted or written a second time
+    index = LexicalIndex.build(docs_of(spark, data), shared_path(spark, "index"), block=8)
+    files, at = at_path(spark, index.path)
+    assert sorted(x.getPath().getName() for x in files.listStatus(at)) == ["documents", "entries", "segments", "terms"]
+    assert index.table("postings").count() == index.table("entries").filter("size(tfs) > 0").count() > 0
