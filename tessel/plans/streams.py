@@ -82,7 +82,10 @@ def response_stream(spark, sf_dir):
     rows = parts(spark, sf_dir)
     late = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).alias("seq"), F.lit("start").alias("part"), F.lit(None).cast("string").alias("text"), F.timestamp_seconds(F.lit(1700003600)).alias("ts"))
     path = _folder(spark, "response-parts")
-    rows.repartition(2, "seq").write.mode("append").parquet(path)
+    # two batches, of every other part each, so many come early; each in as many files as there are cores
+    files = spark.sparkContext.defaultParallelism
+    for i in (0, 1):
+        rows.filter(F.col("seq") % 2 == i).repartition(files).write.mode("append").parquet(path)
     late.coalesce(1).write.mode("append").parquet(path)
-    stream = S.stream_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = S.stream_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     return finished(S.response_stream(stream), _folder(spark, "response-stream")).filter("conv_id >= 0").select("conv_id", "n", "kind", F.md5("text").alias("text_md5"))

@@ -172,46 +172,64 @@ _EVENTS = "conv_id long, n int, kind string, text string"
 
 
 class _Response(StatefulProcessor):
-    """State of one response: the next part it waits for, parts that came early, how many events it has given."""
+    """State of one response: the next part it waits for, parts that came early, how many events it has given.
+
+    Each use of state goes to the executor and back, so parts in their turn don't touch it: only those that stay early do.
+    """
 
     def __init__(self, patience_ms: int):
         self.patience = patience_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "next int, given int, ended boolean")
+        self.at = handle.getValueState("at", "next int, given int, ended boolean, waiting boolean, timer long")
         self.early = handle.getMapState("early", "seq int", "part string, text string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
-        wanted, given, ended = self.at.get() or (0, 0, False)
-        latest = 0
+        wanted, given, ended, waiting, timer = self.at.get() or (0, 0, False, False, None)
+        latest, new = 0, {}
         for r in rows:
             latest = max(latest, int(r.ts.timestamp() * 1000))
             if not ended and r.seq >= wanted:
-                self.early.updateValue((r.seq,), (r.part, r.text))
-        while not ended and self.early.containsKey((wanted,)):
-            part, text = self.early.getValue((wanted,))
-            self.early.removeKey((wanted,))
+                new[r.seq] = r.part, r.text
+        while not ended:
+            if wanted in new:
+                part, text = new.pop(wanted)
+                if waiting and self.early.containsKey((wanted,)):
+                    self.early.removeKey((wanted,))
+            elif waiting and self.early.containsKey((wanted,)):
+                part, text = self.early.getValue((wanted,))
+                self.early.removeKey((wanted,))
+            else:
+                break
             wanted += 1
             for kind, text_ in _events(part, text):
                 yield Row(conv_id=key[0], n=given, kind=kind, text=text_)
                 given += 1
             ended = part in ("end", "fault")
-        if ended:
-            self.early.clear()
-        self.at.update((wanted, given, ended))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
         if not ended:
-            self.handle.registerTimer(latest + self.patience)
+            for seq, kept in new.items():
+                self.early.updateValue((seq,), kept)
+            waiting = waiting or bool(new)
+        elif waiting:
+            self.early.clear()
+            waiting = False
+        next_ = None if ended else latest + self.patience
+        if timer != next_:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if next_ is not None:
+                self.handle.registerTimer(next_)
+        self.at.update((wanted, given, ended, waiting, next_))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        wanted, given, ended = self.at.get() or (0, 0, False)
+        wanted, given, ended, waiting, _ = self.at.get() or (0, 0, False, False, None)
         if not ended:
             for i, (kind, text) in enumerate(_events("fault", "timeout")):
                 yield Row(conv_id=key[0], n=given + i, kind=kind, text=text)
-            self.early.clear()
-            self.at.update((wanted, given + 2, True))
+            if waiting:
+                self.early.clear()
+            self.at.update((wanted, given + 2, True, False, None))
 
     def close(self) -> None:
         pass

@@ -1,5 +1,6 @@
 """Streams with state against their batch twins: replays, restarts, faults, timeouts, any order of arrival."""
 
+import datetime
 import random
 
 import pytest
@@ -113,3 +114,46 @@ def test_responses(spark, tmp_path):
         1: ["meta", "a", "b", "done"], 2: ["meta", "a", "broken", "done"], 3: ["meta", "a", "timeout", "done"], 4: ["meta", "timeout", "done"],
         5: ["meta", "a", "done"], 6: ["at once", "done"], 7: ["meta", "done"],
     }
+
+
+class _State:
+    """Stands in for the state of one key; counts what would go to the executor and back."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k],
+                "updateValue": self.map.__setitem__, "removeKey": self.map.pop, "clear": self.map.clear,
+                "listTimers": lambda: list(self.timers), "registerTimer": self.timers.add, "deleteTimer": self.timers.remove,
+            }[name](*args)
+
+        if name.startswith("get") and name.endswith("State"):
+            return lambda *args: self
+        return call
+
+
+def test_parts_in_their_turn_leave_the_state_alone():
+    row = lambda seq, kind: S.Row(seq=seq, part=kind, text=str(seq), ts=datetime.datetime.fromtimestamp(1700000000 + seq))
+    whole = [row(0, "start"), *(row(i, "chunk") for i in range(1, 30)), row(30, "end")]
+
+    def run(batches):
+        state, out = _State(), []
+        response = S._Response(600_000)
+        response.init(state)
+        for b in batches:
+            out += [(r.n, r.kind) for r in response.handleInputRows((1,), iter(b), None)]
+        return out, state
+
+    want, state = run([whole])
+    assert [n for n, _ in want] == list(range(31)) and want[-1][1] == "done"
+    assert state.calls <= 4 and not state.map and not state.timers
+    rng = random.Random(5)
+    for _ in range(20):
+        mixed = rng.sample(whole, len(whole))
+        cuts = sorted(rng.sample(range(len(whole)), 4))
+        got, state = run([mixed[i:j] for i, j in zip([0, *cuts], [*cuts, len(whole)], strict=True)])
+        assert got == want and not state.map and not state.timers
