@@ -184,3 +184,34 @@ def test_entries_leave_tasks_in_order_with_bounds_and_counts(spark):
     files, at = at_path(spark, index.path)
     assert sorted(x.getPath().getName() for x in files.listStatus(at)) == ["documents", "entries", "segments", "terms"]
     assert index.table("postings").count() == index.table("entries").filter("size(tfs) > 0").count() > 0
+
+
+def test_tasks_keep_the_best_of_blocks_whatever_their_batches():
+    """What a task sends on is k a query, not a row for each query and document, and blocks may straddle batches."""
+    rng = random.Random(5)
+    rows_of = [{"term": f"w{t}", "block": b, "docs": [b * 8 + d for d in range(8)], "tfs": [rng.randrange(1, 4) for _ in range(8)], "lengths": [20 + d for d in range(8)]} for b in range(60) for t in range(6) if rng.random() < 0.7]
+    schema = lexical.pa.schema([("term", "string"), ("block", "int64"), ("docs", lexical.pa.list_(lexical.pa.int64())), ("tfs", lexical.pa.list_(lexical.pa.int32())), ("lengths", lexical.pa.list_(lexical.pa.int32()))])
+    asked = [(q, f"w{t}", (q % 3 - 1) * 1.5 if t == 0 else 1.0 + t + q / 7) for q in range(5) for t in range(q, 6)]
+    want = {}
+    for q, term, weight in asked:
+        for r in rows_of:
+            for doc, tf, n in zip(*(r[c] for c in ("docs", "tfs", "lengths")), strict=True) if r["term"] == term else ():
+                want[q, doc] = want.get((q, doc), 0.0) + weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 25.0))
+    given = lexical.pa.table({c: [a[i] for a in asked] for i, c in enumerate(("query_id", "term", "weight"))})
+    batches = [lexical.pa.RecordBatch.from_pylist(rows_of[i : i + 7], schema) for i in range(0, len(rows_of), 7)]
+    at_once, lexical.AT_ONCE = lexical.AT_ONCE, 2
+    try:
+        every = [r for x in lexical._Asked(given, 25.0, False, None).all(iter(batches)) for r in x.to_pylist()]
+        best = [r for x in lexical._Asked(given, 25.0, False, 3).best(iter(batches)) for r in x.to_pylist()]
+    finally:
+        lexical.AT_ONCE = at_once
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in every} == pytest.approx(want, abs=1e-7) and len(every) == len(want)
+    first = {q: [d for _, d in sorted((-round(v, 8), d) for (p, d), v in want.items() if p == q)[:3]] for q in range(5)}
+    assert len(best) == 15 and {q: [r["doc_id"] for r in best if r["query_id"] == q] for q in range(5)} == first
+
+
+def test_queries_in_parts_and_allowed_documents_as_bm25(spark, found, monkeypatch):
+    docs, queries, index = found
+    monkeypatch.setattr(lexical, "ASKED", 6)
+    allowed, plain = docs.filter("doc_id % 3 = 0").select("doc_id"), bm25.corpus_of(docs)
+    assert rows(index.top_k(queries, 5, allowed)) == rows(bm25.ranked(bm25.score(plain, queries, allowed), 5))
