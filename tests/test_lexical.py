@@ -1,5 +1,6 @@
 """The stored index: its tokens, statistics and scores against BM25 over the texts, its blocks, and growth by segments."""
 
+import math
 import random
 import threading
 
@@ -215,3 +216,18 @@ def test_queries_in_parts_and_allowed_documents_as_bm25(spark, found, monkeypatc
     monkeypatch.setattr(lexical, "ASKED", 6)
     allowed, plain = docs.filter("doc_id % 3 = 0").select("doc_id"), bm25.corpus_of(docs)
     assert rows(index.top_k(queries, 5, allowed)) == rows(bm25.ranked(bm25.score(plain, queries, allowed), 5))
+
+
+def test_tasks_not_what_each_sorts_grow_with_the_index(spark, found, monkeypatch):
+    docs, queries, index = found
+    (n, average), before = index.totals(), index.score(queries).rdd.getNumPartitions()
+    monkeypatch.setattr(lexical, "TOKENS", 1000)
+    more = math.ceil(n * average / 1000) - spark.sparkContext.defaultParallelism
+    assert more > 0 and index.score(queries).rdd.getNumPartitions() == before + more
+    assert rows(index.top_k(queries, 5)) == rows(bm25.ranked(bm25.score(bm25.corpus_of(docs), queries), 5))
+
+
+def test_statistics_of_some_terms(spark, found):
+    _, _, index = found
+    of = spark.createDataFrame([("t1w3", 1), ("t1w3", 2), ("c1", 1), ("nowhere", 1)], "term string, query_id int")
+    assert rows(index.term_stats(of)) == [r for r in rows(index.term_stats()) if r[0] in ("t1w3", "c1")]
