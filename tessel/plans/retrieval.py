@@ -88,7 +88,8 @@ def passage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.filter(F.slice(raw, 2, F.greatest(F.size(raw) - 2, F.lit(0))), lambda t: ~t.isin(T.STOPWORDS))
     items = settle(items.withColumn("inner", inner), "passages")
     found, docs = index(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
-    each = items.select("query_id", F.explode("inner").alias("term")).join(found.table("terms").groupBy("term").agg(F.sum("df").alias("df")), "term", "left")
+    inner = settle(items.select("query_id", F.explode("inner").alias("term")), "inner-tokens")
+    each = inner.join(found.term_stats(inner).select("term", "df"), "term", "left")
     rarest = settle(each.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")), "rarest")
     candidates = settle(found.postings(rarest).select("query_id", "doc_id"), "passage-candidates")
     held = candidates.join(docs, "doc_id").join(items, "query_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tessel.operators import bm25, lexical
 from tessel.operators.lexical import LexicalIndex
 from tessel.operators.rescue import rescue
-from tessel.plans import QUERIES
-from tessel.session import at_path, scratch, settle, shared_path
+from tessel.plans import QUERIES, retrieval
+from tessel.session import at_path, scratch, settle, shared_path, table
 
 
 def docs_of(spark, rows):
@@ -231,3 +231,11 @@ def test_statistics_of_some_terms(spark, found):
     _, _, index = found
     of = spark.createDataFrame([("t1w3", 1), ("t1w3", 2), ("c1", 1), ("nowhere", 1)], "term string, query_id int")
     assert rows(index.term_stats(of)) == [r for r in rows(index.term_stats()) if r[0] in ("t1w3", "c1")]
+
+
+def test_passages_are_found_by_statistics_of_their_own_terms(spark, sf_dir, monkeypatch):
+    asked, own = [], LexicalIndex.term_stats
+    monkeypatch.setattr(LexicalIndex, "term_stats", lambda self, of=None: asked.append(of) or own(self, of))
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    assert rows(retrieval.passage_hits(spark, sf_dir)) == rows(docs.join(items, F.contains("text", "passage")).select("item_id", "doc_id"))
+    assert asked and None not in asked
