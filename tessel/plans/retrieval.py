@@ -222,12 +222,20 @@ w AS (SELECT pool.*, {_DUCK_WORDS.format(c='benchmark.text')} AS qw, {_DUCK_WORD
 sg AS (SELECT query_id, doc_id, score, len(list_intersect(qw, dw)) / greatest(len(qw), 1)::DOUBLE AS sigma FROM w)"""
 
 
+def candidates(spark, sf_dir, k: int = 20, scored: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, query, text): the first k by BM25 with the texts of both.
+
+    They meet the documents first: by their written size they are sent to the texts, which stay where they are.
+    """
+    found = settle(bm25.ranked(scores(spark, sf_dir, k=k) if scored is None else scored, k).drop("rank"), "candidates")  # k rows a query
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    texts = found.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return texts.join(asked, "query_id").select("query_id", "doc_id", "score", "query", "text")
+
+
 def pool(spark, sf_dir, k: int = 20, scored: DataFrame | None = None, rerank=T.overlap) -> DataFrame:
     """(query_id, doc_id, score, sigma): the first k by BM25 with the reranker's score; ``rerank`` maps query and text to it."""
-    found = settle(bm25.ranked(scores(spark, sf_dir, k=k) if scored is None else scored, k), "candidates")  # k rows a query
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return found.join(asked, "query_id").join(docs, "doc_id").select("query_id", "doc_id", "score", rerank(F.col("query"), F.col("text")).alias("sigma"))
+    return candidates(spark, sf_dir, k, scored).select("query_id", "doc_id", "score", rerank(F.col("query"), F.col("text")).alias("sigma"))
 
 
 @query(
