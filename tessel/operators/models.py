@@ -23,9 +23,9 @@ def _batched(load: Callable[[], Callable[[list], np.ndarray]], columns: list[str
         def out(some: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in zip(*some, strict=True)), finish(np.asarray(model([s[0] if len(columns) == 1 else s for s in some])))], [*columns, name])
 
-        for batch in rows:
+        for batch in (x.slice(i, size) for x in rows for i in range(0, x.num_rows, size)):  # few texts at a time become Python's
             held += zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
-            while len(held) >= size:
+            if len(held) >= size:
                 model = model or load()  # a task without rows loads none
                 yield out(held[:size])
                 held = held[size:]

@@ -294,8 +294,7 @@ def load_overlap():
 )
 def rerank_batched(spark, sf_dir, load=load_overlap):
     """The rerank of ``rerank_overlap`` by a model that tasks load and that sees batches of pairs."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    pool = R.scores(spark, sf_dir, k=20).join(asked, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    pool = settle(R.candidates(spark, sf_dir), "pairs")  # read twice: for the different pairs and for all
     scored = models.rerank(pool, "query", "text", load).select("query_id", "doc_id", F.col("sigma").alias("score"))
     return bm25.ranked(scored, 5).withColumn("score", F.round("score", 6))
 

@@ -2,14 +2,17 @@
 
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessel.operators import logistic, metrics, models
 from tessel.operators.ranks import placed, values_at
 from tessel.operators.stored import VectorTable, snapshot, upsert_partitions
+from tessel.plans import QUERIES
 
 
 def vectors(spark, *ids, dim=2):
@@ -87,6 +90,20 @@ def test_models_are_loaded_once_a_task_and_see_each_text_once(spark, tmp_path):
     assert sorted((r.q or "", r.sigma) for r in scored.collect()) == [("", 1.0), ("a", 2.0), ("a", 2.0)]
 
 
+def test_models_take_a_few_texts_of_a_batch_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i} " + "x" * 20_000 for i in range(1000)])], ["t"])
+    run = models._batched(lambda: lambda texts: np.array([len(t) for t in texts], float), ["t"], 32, lambda x: pa.array(x, pa.float64()), "n")
+    tracemalloc.start()
+    sizes = [out.num_rows for out in run(iter([batch.slice(0, 40), batch.slice(40)]))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [32] * 31 + [8] and most < 5_000_000  # of 20,000,000
+
+
+def test_pairs_to_rerank_are_written_before_they_are_read_twice(spark, sf_dir):
+    assert not any("documents.parquet" in f for f in QUERIES["rerank_batched"](spark, sf_dir).inputFiles())
+
+
 def test_any_search_is_evaluated(spark):
     questions = spark.createDataFrame([(1, "x", [10, 11]), (2, "y", []), (3, "z", [12]), (4, "nothing", None)], "query_id int, query string, want array<int>")
     found = spark.createDataFrame([("x", 11, 2), ("x", 5, 1), ("x", 10, 9), ("y", 1, 1)], "query string, doc_id int, rank int")
