@@ -7,9 +7,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from tessel.functions import text as T
 from tessel.operators import bm25, lexical
 from tessel.operators.lexical import LexicalIndex
-from tessel.operators.rescue import rescue
+from tessel.operators.rescue import reranked, rescue
 from tessel.plans import QUERIES, retrieval
 from tessel.session import at_path, scratch, settle, shared_path, table
 
@@ -250,3 +251,30 @@ def test_candidates_are_sent_to_the_texts(spark, sf_dir):
     finally:
         spark.conf.set(name, before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_queries_of_the_same_terms_are_asked_once(spark, found, monkeypatch):
+    docs, _, index = found
+    queries, asked, own = asked_of(spark, ["t1w3 c1", "c1 t1w3 nowhere", "c1 c1 t1w3", "t1w3 c1", "nowhere"]), [], LexicalIndex._scored
+    monkeypatch.setattr(LexicalIndex, "_scored", lambda self, of, *rest: asked.append(of.select("query_id").distinct().count()) or own(self, of, *rest))
+    assert rows(index.top_k(queries, 4)) == rows(bm25.ranked(bm25.score(bm25.corpus_of(docs), queries), 4))
+    assert asked == [2]
+
+
+@pytest.mark.parametrize("often", [1, 2, 1000])
+def test_frequent_and_rare_terms_and_few_postings_at_once_as_bm25(spark, found, often, monkeypatch):
+    docs, queries, index = found
+    monkeypatch.setattr(lexical, "OFTEN", often)
+    monkeypatch.setattr(lexical, "POSTINGS", 50)
+    monkeypatch.setattr(lexical, "LEAVE", 7)
+    plain = bm25.score(bm25.corpus_of(docs), queries)
+    assert rows(index.top_k(queries, 5)) == rows(bm25.ranked(plain, 5)) and rows(index.score(queries)) == rows(plain)
+
+
+def test_rerankers_in_parts_prepare_texts_before_the_pairs(spark):
+    pairs = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.5), (2, 10, 0.5), (2, 12, 0.5)], "query_id int, doc_id int, score double")
+    asked = spark.createDataFrame([(1, "Red  cat"), (2, "dog")], "query_id int, query string")
+    texts = spark.createDataFrame([(10, "the red dog"), (11, "CAT red\ncat"), (12, None)], "doc_id int, text string")
+    got = reranked(pairs, asked, texts, T.overlap)
+    assert rows(got) == rows(reranked(pairs, asked, texts, lambda q, t: T.overlap(q, t))) == [(1, 10, 0.5, 0.5), (1, 11, 0.5, 1.0), (2, 10, 0.5, 1.0), (2, 12, 0.5, 0.0)]
+    assert "split" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
