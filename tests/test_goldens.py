@@ -200,3 +200,26 @@ def test_first_matches_of_hot_terms_shuffle_no_pairs(spark):
 def test_shared_pairs_are_not_shuffled(spark, sf_dir):
     plan = tables.shared_pairs(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_suppkey", "l_partkey", 2, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_shared_pairs_are_written_and_sent_as_packed_rows(spark, tmp_path, monkeypatch):
+    """Members in order of nothing, doubles, negative and far items, items of other types: the pairs are the same, and files hold a byte or two an item."""
+    written, own = {}, tables.settle
+    monkeypatch.setattr(tables, "settle", lambda df, name="step": written.update({name: own(df, name)}) or written[name])
+    monkeypatch.setattr(tables, "ROWS", 500)
+    monkeypatch.setattr(tables, "LEAVE", 3)
+    rows = [(g, g * 10**12 + (x * 7919) % 1500 - 3) for g in (-1, 0, 2**20) for x in range(600)] * 2 + [(None, 5), (7, None), (7, -(2**63)), (7, 2**63 - 1), (8, -(2**63)), (8, 2**63 - 1)]
+    df = spark.createDataFrame(rows, "g long, x long").repartition(3)
+    members = {}
+    for g, x in rows:
+        if g is not None and x is not None:
+            members.setdefault(g, set()).add(x)
+    want = Counter(p for m in members.values() for p in combinations(sorted(m), 2))
+    assert {(r["a"], r["b"]): r["shared"] for r in tables.shared_pairs(df, "g", "x", 1, 1, size=400).collect()} == want
+    assert written["dealt-members"].selectExpr("sum(length(xs)) / sum(m)").first()[0] < 2.5
+    text = spark.createDataFrame([(g, f"ü{x % 5}-{x}") for g in range(4) for x in range(g, 9)], "g int, x string")
+    got = {(r["a"], r["b"]): r["shared"] for r in tables.shared_pairs(text, "g", "x", 2, 6, size=2).collect()}
+    sets = [{f"ü{x % 5}-{x}" for x in range(g, 9)} for g in range(4)]
+    counts = Counter(p for m in sets if len(m) >= 6 for p in combinations(sorted(m), 2))
+    assert got == {p: n for p, n in counts.items() if n >= 2}
+    assert tables.shared_pairs(df.limit(0), "g", "x").collect() == []
