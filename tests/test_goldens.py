@@ -208,7 +208,7 @@ def test_shared_pairs_are_written_and_sent_as_packed_rows(spark, tmp_path, monke
     monkeypatch.setattr(tables, "settle", lambda df, name="step": written.update({name: own(df, name)}) or written[name])
     monkeypatch.setattr(tables, "ROWS", 500)
     monkeypatch.setattr(tables, "LEAVE", 3)
-    rows = [(g, g * 10**12 + (x * 7919) % 1500 - 3) for g in (-1, 0, 2**20) for x in range(600)] * 2 + [(None, 5), (7, None), (7, -(2**63)), (7, 2**63 - 1), (8, -(2**63)), (8, 2**63 - 1)]
+    rows = [(g, g * 10**12 + (x * 7919) % 1500 - 3) for g in (-1, 0, 2**20) for x in range(150)] * 2 + [(None, 5), (7, None), (7, -(2**63)), (7, 2**63 - 1), (8, -(2**63)), (8, 2**63 - 1)]
     df = spark.createDataFrame(rows, "g long, x long").repartition(3)
     members = {}
     for g, x in rows:
@@ -223,3 +223,17 @@ def test_shared_pairs_are_written_and_sent_as_packed_rows(spark, tmp_path, monke
     counts = Counter(p for m in sets if len(m) >= 6 for p in combinations(sorted(m), 2))
     assert got == {p: n for p, n in counts.items() if n >= 2}
     assert tables.shared_pairs(df.limit(0), "g", "x").collect() == []
+
+
+def test_first_matches_send_a_row_to_few_blocks_whatever_the_number_of_pairs(spark, monkeypatch):
+    asked = spark.range(3000).selectExpr("id AS query_id", "1 AS pos", "'hot' AS term").unionByName(spark.range(3000).selectExpr("id AS query_id", "0 AS pos", "concat('c', id % 50) AS term"))
+    known = spark.range(2500).selectExpr("'hot' AS term", "id").unionByName(spark.range(2500).selectExpr("concat('c', id % 60) AS term", "id"))
+    seen, own, written, settled = [], tables.SIDES, {}, tables.settle
+    monkeypatch.setattr(tables, "settle", lambda df, name="step": written.update({name: settled(df, name)}) or written[name])
+    for sides in ((100, 100), (100, own[1])):  # all joins of 100 by 100; as large as leaves the cores enough of them
+        monkeypatch.setattr(tables, "SIDES", sides)
+        got = tables.first_matches(asked, known)
+        seen.append(got.selectExpr("count(*)", "sum(xxhash64(query_id, id, pos) % 1000)").first())
+        assert "string" not in written["asked-terms"].dtypes[3][1] + written["known-terms"].dtypes[1][1]  # numbers are sent, no texts
+    assert seen[0] == seen[1] and seen[0][0] == 3000 * 2500
+    assert own[0] <= 2000 and own[1] >= 16384
